@@ -7,9 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import to_double
-from ..functions.pricing import loi_bucket, loi_key, quote_columns
+from ..functions.pricing import breakpoint_ir, ir_factor, ir_tier, local_price, loi_bucket, loi_key
 from ..params import DEFAULT_PARAMS, VALID_COMPANIES, QuoteParams
 from ..schemas import FACTOR_CURRENCY, FACTOR_KEYS, FACTOR_NUMERIC
+from ..plans.stages import stage
 from .broadcast import row_count_at_most
 
 # Pricer slots: (prefix, company column, inputs kind).
@@ -93,22 +94,34 @@ def price(df: DataFrame, factors: DataFrame, fits: bool, prefix: str, company, l
     joined = df.join(side, cond, "left")
     fcols = {f: F.col(f"_{prefix}_{f}") for f in FACTOR_NUMERIC + (FACTOR_CURRENCY,)}
     hit = F.col(f"_{prefix}_hit").isNotNull()
-    q = quote_columns(c(job_ir), F.col(bucket), fcols, params.cpi_scale)
-    cpi = F.when(hit, q["cpi"])
+    # Three projections, each intermediate computed once: tier and
+    # breakpoint, then the price, then the outputs that test the price.
+    tier = ir_tier(c(job_ir), fcols)
+    t = {k: f"_{prefix}_t_{k}" for k in tier}
+    irb = f"_{prefix}_irb"
+    staged = joined.withColumns({**{t[k]: v for k, v in tier.items()},
+                                 irb: breakpoint_ir(c(job_ir), [fcols[f"Break{i}"] for i in range(1, 7)])})
+    price_col = local_price(ir_factor(F.col(irb), F.col(t["step"])),
+                            ir_factor(F.col(t["used"]), F.col(t["step"])),
+                            F.col(t["anchor"]), F.col(t["xfactor"]))
+    staged = staged.withColumn(f"_{prefix}_price", F.bround(price_col, params.cpi_scale))
+    cpi_raw = F.col(f"_{prefix}_price")
+    cpi = F.when(hit, cpi_raw)
     if params.on_missing == "raise":
         key = F.concat_ws("|", *[rk.cast("string") for rk in row_keys])
         cpi = F.when(~hit, F.raise_error(F.concat(F.lit("no price factor for key "), key))).otherwise(cpi)
     out = {
         f"{prefix}_cpi": cpi,
-        f"{prefix}_ir_used": F.when(hit, q["ir_used"]),
-        f"{prefix}_loi_used": F.when(hit, q["loi_used"]),
-        f"{prefix}_currency": F.when(hit, q["currency"]),
+        f"{prefix}_ir_used": F.when(hit, F.col(irb)),
+        f"{prefix}_loi_used": F.when(hit, F.col(bucket)),
+        f"{prefix}_currency": F.when(hit, fcols[FACTOR_CURRENCY]),
         f"{prefix}_status": F.when(~hit, F.lit("missing_factor"))
-                             .when(q["cpi"].isNull(), F.lit("invalid_factor"))
+                             .when(cpi_raw.isNull(), F.lit("invalid_factor"))
                              .otherwise(F.lit("ok")),
     }
-    drop = [f"_{prefix}_{f}" for f in factors.columns] + [f"_{prefix}_hit", bucket]
-    return joined.withColumns(out).drop(*drop)
+    drop = ([f"_{prefix}_{f}" for f in factors.columns] + [f"_{prefix}_hit", bucket, irb,
+            f"_{prefix}_price"] + list(t.values()))
+    return stage(staged.withColumns(out).drop(*drop), f"{prefix}_quotes")
 
 
 def with_fieldwork_company(df: DataFrame, commission: DataFrame, fits: bool,

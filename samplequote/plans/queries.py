@@ -56,17 +56,32 @@ class Ctx:
     @property
     def lookups(self):
         if self._lk is None:
-            self._lk = prepare_lookups(fx.fx_price_factors(self.t), fx.fx_commission(self.t),
-                                       fx.fx_rates(self.t), self.params)
+            self._lk = _lookups(self.spark, self.t, self.params)
         return self._lk
 
     def scored(self, scorers=None) -> DataFrame:
-        return scored_rows(self.audience, scorers or demo_scorers(), self.params)
+        return scored_rows(self.audience, scorers or demo_scorers(), self.params, keep=KEYS)
 
     def priced(self) -> DataFrame:
         return priced_rows(self.scored(), self.lookups, self.params)
 
 
+_LOOKUPS: dict = {}
+
+
+def _lookups(spark: SparkSession, t: Tables, params: QuoteParams):
+    """Lookups of one folder, prepared (and size-checked) once per session
+    while the folder's files are unchanged."""
+    import os
+    stamp = tuple(sorted((f, os.path.getmtime(os.path.join(t.sf_dir, f)))
+                         for f in os.listdir(t.sf_dir))) if os.path.isdir(t.sf_dir) else ()
+    key = (id(spark), t.sf_dir, stamp, params.max_broadcast_factors, params.max_broadcast_rates,
+           params.max_broadcast_commission)
+    if key not in _LOOKUPS:
+        _LOOKUPS[key] = prepare_lookups(fx.fx_price_factors(t), fx.fx_commission(t), fx.fx_rates(t), params)
+    return _LOOKUPS[key]
+
+
 def _ctx(spark, sf_dir, params=DEFAULT_PARAMS) -> Ctx:
     return Ctx(spark, sf_dir, params)
 

@@ -22,6 +22,7 @@ from ..operators.pricing import four_way_quotes, prepare_factors, pricing_inputs
 from ..operators.scoring import needs_column, score
 from ..params import DEFAULT_PARAMS, QuoteParams
 from ..schemas import FEATURE_RENAMES, OUTPUT_COLUMNS
+from .stages import stage
 
 
 @dataclass(frozen=True)
@@ -55,15 +56,32 @@ def prepare_lookups(price_factors: DataFrame, commission: DataFrame, rates: Data
     )
 
 
+# Flat columns the quote plan reads after scoring (plus the scores).
+QUOTE_INPUTS = (
+    "proposal_id", "proposal_uuid", "revision_number", "proposal_country_code", "audience_uuid",
+    "currency_code", "account_company_number", "project_type", "brand",
+    "audience_incidence_rate", "audience_length_of_interview", "proposal_strategic_index",
+    "competitive_intensity_index", "client_strategic_index",
+)
+SCORES = ("Athena_IR", "Athena_CR", "Athena_LOI")
+
+
 def scored_rows(flat: DataFrame, scorers: Mapping[str, object],
-                params: QuoteParams = DEFAULT_PARAMS) -> DataFrame:
+                params: QuoteParams = DEFAULT_PARAMS, keep=None) -> DataFrame:
     """Flat rows plus clamped Athena_IR / Athena_CR / Athena_LOI. The
-    per-country count feature is computed only when a scorer may read it."""
+    per-country count feature is computed only when a scorer may read it.
+
+    ``keep=None`` keeps every flat column; a sequence keeps only the columns
+    the quote plan needs plus ``keep``, so later stages carry narrow rows."""
     scope = params.country_count_scope if needs_column(scorers, COUNTRY_COUNT) else None
     feats = with_features(flat, scope, params)
     scored = score(feats, scorers, params)
     drop = [dst for src, dst in FEATURE_RENAMES.items() if src != dst]
-    return scored.drop(*drop, COUNTRY_COUNT, "feaAudienceCountryIsAccountCountry")
+    scored = scored.drop(*drop, COUNTRY_COUNT, "feaAudienceCountryIsAccountCountry")
+    if keep is not None:
+        cols = list(dict.fromkeys([*keep, *QUOTE_INPUTS, *SCORES]))
+        scored = scored.select(*[c for c in cols if c in scored.columns])
+    return stage(scored, "scored")
 
 
 def priced_rows(scored: DataFrame, lk: Lookups, params: QuoteParams = DEFAULT_PARAMS,
@@ -90,7 +108,7 @@ def priced_rows(scored: DataFrame, lk: Lookups, params: QuoteParams = DEFAULT_PA
         ("Account_Sold_CPI", "Account_Sold_Currency", "Account_Sold_CPI_USD", "_rate_as"),
     ):
         rows = to_usd(rows, lk.rates, lk.rates_fit, amount, cur, out, rate)
-    return rows
+    return stage(rows, "usd_quotes")
 
 
 def band_rows(priced: DataFrame, params: QuoteParams = DEFAULT_PARAMS) -> DataFrame:
@@ -98,8 +116,8 @@ def band_rows(priced: DataFrame, params: QuoteParams = DEFAULT_PARAMS) -> DataFr
     adjudicated: their prices stay NULL."""
     out = price_band(adjudicate(adjudication_inputs(priced, params), params))
     priced_ok = F.col("fieldwork_company").isNotNull()
-    return out.withColumns({c: F.when(priced_ok, F.col(c))
-                            for c in ("HighPriceUSD", "LowPriceUSD", "Strand2PriceUSD")})
+    return stage(out.withColumns({c: F.when(priced_ok, F.col(c))
+                                  for c in ("HighPriceUSD", "LowPriceUSD", "Strand2PriceUSD")}), "band")
 
 
 def local_rows(banded: DataFrame, lk: Lookups, params: QuoteParams = DEFAULT_PARAMS) -> DataFrame:
@@ -113,7 +131,8 @@ def quote(flat: DataFrame, lookups: Lookups, scorers: Mapping[str, object],
           params: QuoteParams = DEFAULT_PARAMS, extra_columns=("fieldwork_company",)) -> DataFrame:
     """End to end: one output row per audience and fieldwork company (one
     row with NULL prices when the audience country has no company)."""
-    rows = local_rows(band_rows(priced_rows(scored_rows(flat, scorers, params), lookups, params),
+    keep = [c for c in extra_columns if c in flat.columns]
+    rows = local_rows(band_rows(priced_rows(scored_rows(flat, scorers, params, keep), lookups, params),
                                 params), lookups, params)
     cols = [F.col(c) for c in OUTPUT_COLUMNS]
     if params.output_scale is not None:

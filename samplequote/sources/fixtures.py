@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.broadcast import bounded_broadcast
-from .tables import Tables
+from .tables import Tables, spread_small
 
 # --- Fixed values of the fixtures ------------------------------------------------
 EXCLUDED_FIELDWORK_COUNTRY = "NATION_7"      # no commission row: audiences stay unpriced
@@ -112,7 +112,8 @@ def fx_audience(t: Tables) -> DataFrame:
     ac = nation.select(F.col("n_nationkey").alias("ac_key"), F.col("n_name").alias("ac_name"),
                        F.col("n_regionkey").alias("ac_region"))
     fw = nation.select(F.col("n_nationkey").alias("fw_key"), F.col("n_name").alias("fw_name"))
-    j = (t.lineitem
+    lines = spread_small(t.lineitem, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    j = (lines
          .join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
          .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
          .join(ac, F.col("c_nationkey") == F.col("ac_key"))

@@ -17,6 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread_small(df: DataFrame, keys) -> DataFrame:
+    """Hash-spread an input that has fewer partitions than the session has
+    task slots (a small file, or one large row group that only one task can
+    read), so downstream map-only work uses every core. Large inputs already
+    have at least as many splits and are returned unchanged: no shuffle is
+    added at scale. Hashing on the full row key keeps a hot key from landing
+    in one task and is deterministic, so a re-run task after executor loss
+    reads the same rows."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots, *keys)
+
+
 class Tables:
     """Attribute access to the tables of one scale-factor folder."""
 
