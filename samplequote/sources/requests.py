@@ -52,13 +52,17 @@ def nest_requests(flat: DataFrame, page_size: int = DEFAULT_PAGE_SIZE) -> DataFr
     rows = (rows.join(sizes, "_doc")
             .withColumn("_page", F.pmod(F.xxhash64("aud", "_country"), pages.cast("bigint")))
             .drop("_n"))
-    by_country = (rows.groupBy("_doc", "_page", *doc_fields, "_country")
-                  .agg(F.collect_list("aud").alias("audiences")))
-    country = F.struct(F.col("_country").alias("country_code"),
-                       F.array_sort(F.col("audiences")).alias("audiences"))
-    docs = (by_country.groupBy("_doc", "_page", *doc_fields)
-            .agg(F.array_sort(F.collect_list(country)).alias("countries")))
-    return docs.select(*doc_fields, "countries")
+    # One aggregation per page; countries are then formed inside the page
+    # (at most about page_size audiences) with array functions.
+    items = (rows.groupBy("_doc", "_page", *doc_fields)
+             .agg(F.collect_list(F.struct(F.col("_country").alias("c"), F.col("aud").alias("a")))
+                  .alias("_items")))
+    codes = F.array_sort(F.array_distinct(F.transform("_items", lambda x: x["c"])))
+    countries = F.transform(codes, lambda code: F.struct(
+        code.alias("country_code"),
+        F.array_sort(F.transform(F.filter("_items", lambda x: x["c"].eqNullSafe(code)),
+                                 lambda x: x["a"])).alias("audiences")))
+    return items.select(*doc_fields, countries.alias("countries"))
 
 
 def request_json(requests: DataFrame) -> DataFrame:
