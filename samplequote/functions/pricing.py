@@ -90,3 +90,47 @@ def quote_columns(job_ir, loi_bucket_col, factors: Mapping[str, Column],
         "loi_used": col(loi_bucket_col),
         "currency": factors["Rate_Currency"],
     }
+
+
+# --- The same rules as SQL text -------------------------------------------------
+# The plan applies them with ``selectExpr``: one expression string is one
+# call into the JVM, where building the same tree from Python Column objects
+# costs a round trip per node. Arguments are SQL expressions (e.g. quoted
+# column names); semantics match the Column functions above exactly.
+
+def q(name: str) -> str:
+    """Quoted column reference."""
+    return f"`{name}`"
+
+
+def sql_loi_bucket(loi: str, step: int = LOI_STEP, cap: int = LOI_CAP) -> str:
+    stepped = (f"(CASE WHEN ({loi}) % {step} = 0 THEN try_cast({loi} AS BIGINT) "
+               f"ELSE try_cast(({loi}) / {step} + 1 AS BIGINT) * {step} END)")
+    return f"CAST(CASE WHEN {stepped} > {cap} THEN {cap} ELSE {stepped} END AS INT)"
+
+
+def sql_ir_tier(ir: str, f) -> dict[str, str]:
+    """``f(name)`` renders a factor column reference."""
+    def pick(h, m, low):
+        return (f"CASE WHEN {ir} > {f('Mid_IR_Used')} THEN {f(h)} "
+                f"WHEN {ir} > {f('Low_IR_Used')} THEN {f(m)} ELSE {f(low)} END")
+    return {
+        "used": pick("High_IR_Used", "Mid_IR_Used", "Low_IR_Used"),
+        "anchor": pick("High_IR_Anchor", "Mid_IR_Anchor", "Low_IR_Anchor"),
+        "xfactor": pick("xFactor_High_IR", "xFactor_Mid_IR", "xFactor_Low_IR"),
+        "step": pick("High_IR_Step", "Mid_IR_Step", "Low_IR_Step"),
+    }
+
+
+def sql_breakpoint_ir(ir: str, f) -> str:
+    branches = " ".join(f"WHEN {f(f'Break{i}')} < {ir} THEN {f(f'Break{i}')}" for i in range(1, 6))
+    return f"CASE WHEN {f('Break1')} > 1 THEN {ir} {branches} ELSE {ir} END"
+
+
+def sql_ir_factor(ir: str, step: str) -> str:
+    return f"try_divide(1.0D, try_cast(try_divide({ir}, {step}) + 1 AS BIGINT))"
+
+
+def sql_local_price(job_factor: str, anchor_factor: str, anchor_price: str, xfactor: str) -> str:
+    return (f"nanvl(power(try_divide({job_factor}, {anchor_factor}), {xfactor}) * {anchor_price}, "
+            f"CAST(NULL AS DOUBLE))")

@@ -24,47 +24,44 @@ def reference_prices(df: DataFrame, sold_ir: str = "fw_sold_ir_used",
     """P2 / P1: the higher of the fieldwork and account USD CPI on modelled /
     sold inputs (NULLs skipped); LOI1/LOI2 and IR1/IR2 (x100, rounded half
     even) from the fieldwork quotes."""
-    return df.withColumns({
-        "P2": row_max("Fieldwork_Athena_CPI_USD", "Account_Athena_CPI_USD"),
-        "P1": row_max("Fieldwork_Sold_CPI_USD", "Account_Sold_CPI_USD"),
-        "LOI1": F.col(sold_loi),
-        "LOI2": F.col(mod_loi),
-        "IR1": F.bround(F.col(sold_ir) * 100, 0).try_cast("int"),
-        "IR2": F.bround(F.col(mod_ir) * 100, 0).try_cast("int"),
-    })
+    return df.selectExpr(
+        "*",
+        "greatest(Fieldwork_Athena_CPI_USD, Account_Athena_CPI_USD) AS P2",
+        "greatest(Fieldwork_Sold_CPI_USD, Account_Sold_CPI_USD) AS P1",
+        f"`{sold_loi}` AS LOI1", f"`{mod_loi}` AS LOI2",
+        f"try_cast(bround(`{sold_ir}` * 100, 0) AS INT) AS IR1",
+        f"try_cast(bround(`{mod_ir}` * 100, 0) AS INT) AS IR2",
+    )
+
+
+def _d(x: float) -> str:
+    """A double literal that parses back to exactly ``x``."""
+    return f"{float(x)!r}D"
 
 
 def adjudicate(df: DataFrame, params: QuoteParams = DEFAULT_PARAMS) -> DataFrame:
     """Distance S, index combination, gamma weights and blended prices
     (input: P1, P2, LOI1, LOI2, IR1, IR2, CSI, CII, PSI)."""
     p = params
-    c = F.col
-    dist = safe_divide(F.sqrt(F.abs(c("P2") - c("P1"))),
-                       F.lit(p.alpha) * F.abs(c("LOI1") - c("LOI2")) + F.abs(c("IR1") - c("IR2")))
-    out = df.withColumn("S", dist)
-    combo = (F.lit(p.a) * c("S") + F.lit(p.b) * (c("CSI") - 3) + F.lit(p.c) * (c("CII") - 3)
-             + F.lit(p.d) * (c("PSI") - 3))
-    out = out.withColumn("indox_combo", combo)
-    if p.gamma_clip == "negative":
-        g0 = F.when(c("indox_combo") < 0, c("indox_combo")).otherwise(F.lit(0.0))
-    else:
-        g0 = F.coalesce(c("indox_combo"), F.lit(0.0))
-    out = out.withColumn("gamma_temp_0", g0)
-    gam = {}
-    for name, beta in (("gammaA", p.beta_a), ("gammaB", p.beta_b), ("gammaC", p.beta_c)):
-        gam[name] = safe_divide(F.lit(1.0), 1 + F.lit(1.0 - beta) * c("gamma_temp_0"))
-    out = out.withColumns(gam)
-    blend = {f"Price{x}": c(f"gamma{x}") * c("P2") + (1 - c(f"gamma{x}")) * c("P1") for x in "ABC"}
-    return out.withColumns(blend)
+    out = df.selectExpr("*", f"try_divide(sqrt(abs(P2 - P1)), {_d(p.alpha)} * abs(LOI1 - LOI2) + abs(IR1 - IR2)) AS S")
+    out = out.selectExpr("*", f"{_d(p.a)} * S + {_d(p.b)} * (CSI - 3) + {_d(p.c)} * (CII - 3) "
+                              f"+ {_d(p.d)} * (PSI - 3) AS indox_combo")
+    g0 = ("CASE WHEN indox_combo < 0 THEN indox_combo ELSE 0.0D END" if p.gamma_clip == "negative"
+          else "coalesce(indox_combo, 0.0D)")
+    out = out.selectExpr("*", f"{g0} AS gamma_temp_0")
+    out = out.selectExpr("*", *[f"try_divide(1.0D, 1 + {_d(1.0 - beta)} * gamma_temp_0) AS gamma{x}"
+                                for x, beta in (("A", p.beta_a), ("B", p.beta_b), ("C", p.beta_c))])
+    return out.selectExpr("*", *[f"gamma{x} * P2 + (1 - gamma{x}) * P1 AS Price{x}" for x in "ABC"])
 
 
 def price_band(df: DataFrame) -> DataFrame:
     """High / low / median of the three blended prices (in USD)."""
-    return df.withColumns({
-        "HighPriceUSD": row_max("PriceA", "PriceB", "PriceC"),
-        "LowPriceUSD": row_min("PriceA", "PriceB", "PriceC"),
-        "Strand2PriceUSD": row_median3("PriceA", "PriceB", "PriceC"),
-    })
+    return df.selectExpr(
+        "*",
+        "greatest(PriceA, PriceB, PriceC) AS HighPriceUSD",
+        "least(PriceA, PriceB, PriceC) AS LowPriceUSD",
+        "element_at(array_sort(array(PriceA, PriceB, PriceC)), 2) AS Strand2PriceUSD",
+    )
 
 
 def adjudication_inputs(df: DataFrame, params: QuoteParams = DEFAULT_PARAMS) -> DataFrame:

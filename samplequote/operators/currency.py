@@ -34,27 +34,26 @@ def prepare_rates(latest: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     return lookup, row_count_at_most(lookup, max_rows)
 
 
-def with_rate(df: DataFrame, rates: DataFrame, currency, rate_col: str,
+def with_rate(df: DataFrame, rates: DataFrame, currency: str, rate_col: str,
               fits: bool, upper: bool = True) -> DataFrame:
-    """Left-join the rate of ``currency`` (upper-cased when ``upper``) as
-    ``rate_col``. Several rates for one currency fan the row out, as the
+    """Left-join the rate of column ``currency`` (upper-cased when ``upper``)
+    as ``rate_col``. Several rates for one currency fan the row out, as the
     original merge does."""
     key = f"_{rate_col}_cur"
-    side = rates.select(F.col("From_Currency").alias(key), F.col("Rate").alias(rate_col))
+    side = rates.selectExpr(f"From_Currency AS `{key}`", f"Rate AS `{rate_col}`")
     if fits:
         side = F.broadcast(side)
-    cur = F.col(currency) if isinstance(currency, str) else currency
-    cond = (F.upper(cur) if upper else cur) == F.col(key)
-    return df.join(side, cond, "left").drop(key)
+    cur = f"upper(`{currency}`)" if upper else f"`{currency}`"
+    return df.join(side, F.expr(f"{cur} = `{key}`"), "left").drop(key)
 
 
 def to_usd(df: DataFrame, rates: DataFrame, fits: bool, amount: str, currency: str,
            out: str, rate_col: str) -> DataFrame:
     """``out = amount * rate(upper(currency))``; the upper-cased currency
     replaces ``currency``."""
-    df = df.withColumn(currency, F.upper(F.col(currency)))
-    df = with_rate(df, rates, currency, rate_col, fits, upper=False)
-    return df.withColumn(out, F.col(amount) * F.col(rate_col))
+    cols = [f"`{c}`" if c != currency else f"upper(`{c}`) AS `{c}`" for c in df.columns]
+    df = with_rate(df.selectExpr(*cols), rates, currency, rate_col, fits, upper=False)
+    return df.selectExpr("*", f"`{amount}` * `{rate_col}` AS `{out}`")
 
 
 def to_local(df: DataFrame, rates: DataFrame, fits: bool, currency: str,

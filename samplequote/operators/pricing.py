@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import to_double
-from ..functions.pricing import breakpoint_ir, ir_factor, ir_tier, local_price, loi_bucket, loi_key
+from ..functions.pricing import (loi_bucket, loi_key, q, sql_breakpoint_ir, sql_ir_factor, sql_ir_tier,
+                                 sql_local_price, sql_loi_bucket)
 from ..params import DEFAULT_PARAMS, VALID_COMPANIES, QuoteParams
 from ..schemas import FACTOR_CURRENCY, FACTOR_KEYS, FACTOR_NUMERIC
 from ..plans.stages import stage
@@ -68,60 +69,56 @@ def pricing_inputs(df: DataFrame, params: QuoteParams = DEFAULT_PARAMS) -> DataF
 
 
 def factor_side(factors: DataFrame, prefix: str, fits: bool) -> DataFrame:
-    side = factors.select(*[F.col(c).alias(f"_{prefix}_{c}") for c in factors.columns],
-                          F.lit(True).alias(f"_{prefix}_hit"))
+    """Factor columns renamed ``_{prefix}_*`` plus a match marker."""
+    side = factors.selectExpr(*[f"`{c}` AS `_{prefix}_{c}`" for c in factors.columns],
+                              f"true AS `_{prefix}_hit`")
     return F.broadcast(side) if fits else side
 
 
-def price(df: DataFrame, factors: DataFrame, fits: bool, prefix: str, company, loi, job_ir,
-          brand="brand", product="product", country="country", segment="segment",
-          client="client", params: QuoteParams = DEFAULT_PARAMS) -> DataFrame:
+def price(df: DataFrame, factors: DataFrame, fits: bool, prefix: str, company: str, loi: str,
+          job_ir: str, brand: str = "brand", product: str = "product", country: str = "country",
+          segment: str = "segment", client: str = "client",
+          params: QuoteParams = DEFAULT_PARAMS) -> DataFrame:
     """Price every row against its 7-part factor key (left join, so rows
     without a factor row keep NULL prices and status ``missing_factor``).
 
-    Adds ``{prefix}_cpi``, ``_ir_used``, ``_loi_used``, ``_currency`` and
-    ``_status``."""
-    c = lambda x: F.col(x) if isinstance(x, str) else x
-    bucket = f"{prefix}_loi_bucket"
-    df = df.withColumn(bucket, loi_bucket(c(loi), params.loi_step, params.loi_cap))
-    row_keys = [c(company), c(brand), c(product), c(country), loi_key(F.col(bucket)),
-                c(segment), c(client)]
-    side = factor_side(factors, prefix, fits)
-    cond = None
-    for rk, fk in zip(row_keys, FACTOR_KEYS):
-        e = rk == F.col(f"_{prefix}_{fk}")
-        cond = e if cond is None else cond & e
-    joined = df.join(side, cond, "left")
-    fcols = {f: F.col(f"_{prefix}_{f}") for f in FACTOR_NUMERIC + (FACTOR_CURRENCY,)}
-    hit = F.col(f"_{prefix}_hit").isNotNull()
+    Arguments name columns of ``df``. Adds ``{prefix}_cpi``, ``_ir_used``,
+    ``_loi_used``, ``_currency`` and ``_status``."""
+    p = prefix
+    f = lambda name: q(f"_{p}_{name}")
+    bucket = f"{p}_loi_bucket"
+    keep = df.columns
+    rows = df.selectExpr("*", f"{sql_loi_bucket(q(loi), params.loi_step, params.loi_cap)} AS {q(bucket)}")
+    row_keys = [q(company), q(brand), q(product), q(country), f"CAST({q(bucket)} AS STRING)",
+                q(segment), q(client)]
+    cond = " AND ".join(f"{rk} = {f(fk)}" for rk, fk in zip(row_keys, FACTOR_KEYS))
+    joined = rows.join(factor_side(factors, p, fits), F.expr(cond), "left")
     # Three projections, each intermediate computed once: tier and
     # breakpoint, then the price, then the outputs that test the price.
-    tier = ir_tier(c(job_ir), fcols)
-    t = {k: f"_{prefix}_t_{k}" for k in tier}
-    irb = f"_{prefix}_irb"
-    staged = joined.withColumns({**{t[k]: v for k, v in tier.items()},
-                                 irb: breakpoint_ir(c(job_ir), [fcols[f"Break{i}"] for i in range(1, 7)])})
-    price_col = local_price(ir_factor(F.col(irb), F.col(t["step"])),
-                            ir_factor(F.col(t["used"]), F.col(t["step"])),
-                            F.col(t["anchor"]), F.col(t["xfactor"]))
-    staged = staged.withColumn(f"_{prefix}_price", F.bround(price_col, params.cpi_scale))
-    cpi_raw = F.col(f"_{prefix}_price")
-    cpi = F.when(hit, cpi_raw)
+    tier = sql_ir_tier(q(job_ir), f)
+    t = {k: f"_{p}_t_{k}" for k in tier}
+    irb = f"_{p}_irb"
+    staged = joined.selectExpr("*", *[f"{v} AS {q(t[k])}" for k, v in tier.items()],
+                               f"{sql_breakpoint_ir(q(job_ir), f)} AS {q(irb)}")
+    price_sql = sql_local_price(sql_ir_factor(q(irb), q(t["step"])), sql_ir_factor(q(t["used"]), q(t["step"])),
+                                q(t["anchor"]), q(t["xfactor"]))
+    raw = f"_{p}_price"
+    staged = staged.selectExpr("*", f"bround({price_sql}, {params.cpi_scale}) AS {q(raw)}")
+    hit = f"{f('hit')} IS NOT NULL"
+    cpi = f"CASE WHEN {hit} THEN {q(raw)} END"
     if params.on_missing == "raise":
-        key = F.concat_ws("|", *[rk.cast("string") for rk in row_keys])
-        cpi = F.when(~hit, F.raise_error(F.concat(F.lit("no price factor for key "), key))).otherwise(cpi)
-    out = {
-        f"{prefix}_cpi": cpi,
-        f"{prefix}_ir_used": F.when(hit, F.col(irb)),
-        f"{prefix}_loi_used": F.when(hit, F.col(bucket)),
-        f"{prefix}_currency": F.when(hit, fcols[FACTOR_CURRENCY]),
-        f"{prefix}_status": F.when(~hit, F.lit("missing_factor"))
-                             .when(cpi_raw.isNull(), F.lit("invalid_factor"))
-                             .otherwise(F.lit("ok")),
-    }
-    drop = ([f"_{prefix}_{f}" for f in factors.columns] + [f"_{prefix}_hit", bucket, irb,
-            f"_{prefix}_price"] + list(t.values()))
-    return stage(staged.withColumns(out).drop(*drop), f"{prefix}_quotes")
+        key = "concat_ws('|', " + ", ".join(f"CAST({rk} AS STRING)" for rk in row_keys) + ")"
+        cpi = f"CASE WHEN NOT ({hit}) THEN raise_error(concat('no price factor for key ', {key})) ELSE {cpi} END"
+    out = staged.selectExpr(
+        *[q(c) for c in keep],
+        f"{cpi} AS {q(p + '_cpi')}",
+        f"CASE WHEN {hit} THEN {q(irb)} END AS {q(p + '_ir_used')}",
+        f"CASE WHEN {hit} THEN {q(bucket)} END AS {q(p + '_loi_used')}",
+        f"CASE WHEN {hit} THEN {f(FACTOR_CURRENCY)} END AS {q(p + '_currency')}",
+        f"CASE WHEN NOT ({hit}) THEN 'missing_factor' WHEN {q(raw)} IS NULL THEN 'invalid_factor' "
+        f"ELSE 'ok' END AS {q(p + '_status')}",
+    )
+    return stage(out, f"{p}_quotes")
 
 
 def with_fieldwork_company(df: DataFrame, commission: DataFrame, fits: bool,

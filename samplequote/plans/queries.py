@@ -51,7 +51,10 @@ class Ctx:
 
     @property
     def audience(self) -> DataFrame:
-        return fx.fx_audience(self.t)
+        key = (id(self.spark), self.t.sf_dir, _folder_stamp(self.t.sf_dir))
+        if key not in _AUDIENCE:
+            _AUDIENCE[key] = fx.fx_audience(self.t)
+        return _AUDIENCE[key]
 
     @property
     def lookups(self):
@@ -67,14 +70,19 @@ class Ctx:
 
 
 _LOOKUPS: dict = {}
+_AUDIENCE: dict = {}
+
+
+def _folder_stamp(sf_dir: str):
+    import os
+    return tuple(sorted((f, os.path.getmtime(os.path.join(sf_dir, f)))
+                        for f in os.listdir(sf_dir))) if os.path.isdir(sf_dir) else ()
 
 
 def _lookups(spark: SparkSession, t: Tables, params: QuoteParams):
     """Lookups of one folder, prepared (and size-checked) once per session
     while the folder's files are unchanged."""
-    import os
-    stamp = tuple(sorted((f, os.path.getmtime(os.path.join(t.sf_dir, f)))
-                         for f in os.listdir(t.sf_dir))) if os.path.isdir(t.sf_dir) else ()
+    stamp = _folder_stamp(t.sf_dir)
     key = (id(spark), t.sf_dir, stamp, params.max_broadcast_factors, params.max_broadcast_rates,
            params.max_broadcast_commission)
     if key not in _LOOKUPS:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -10,11 +12,25 @@ TABLES = (
 )
 
 
+_SCANS: dict = {}
+
+
+def _stamp(path: str):
+    """Modification time of a local path (None for remote paths)."""
+    return os.path.getmtime(path) if os.path.exists(path) else None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy parquet scan; Catalyst prunes columns and pushes filters into it."""
+    """Lazy parquet scan; Catalyst prunes columns and pushes filters into it.
+    The scan handle (file listing, footer schema) is reused within a session
+    while the file is unchanged."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path, _stamp(path))
+    if key not in _SCANS:
+        _SCANS[key] = spark.read.parquet(path)
+    return _SCANS[key]
 
 
 def spread_small(df: DataFrame, keys) -> DataFrame:
