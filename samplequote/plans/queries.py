@@ -51,7 +51,8 @@ class Ctx:
 
     @property
     def audience(self) -> DataFrame:
-        key = (id(self.spark), self.t.sf_dir, _folder_stamp(self.t.sf_dir))
+        key = (self.spark.sparkContext.applicationId, id(self.spark), self.t.sf_dir,
+               _folder_stamp(self.t.sf_dir))
         if key not in _AUDIENCE:
             _AUDIENCE[key] = fx.fx_audience(self.t)
         return _AUDIENCE[key]
@@ -83,7 +84,7 @@ def _lookups(spark: SparkSession, t: Tables, params: QuoteParams):
     """Lookups of one folder, prepared (and size-checked) once per session
     while the folder's files are unchanged."""
     stamp = _folder_stamp(t.sf_dir)
-    key = (id(spark), t.sf_dir, stamp, params.max_broadcast_factors, params.max_broadcast_rates,
+    key = (spark.sparkContext.applicationId, id(spark), t.sf_dir, stamp, params.max_broadcast_factors, params.max_broadcast_rates,
            params.max_broadcast_commission)
     if key not in _LOOKUPS:
         _LOOKUPS[key] = prepare_lookups(fx.fx_price_factors(t), fx.fx_commission(t), fx.fx_rates(t), params)
