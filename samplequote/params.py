@@ -87,10 +87,12 @@ class QuoteParams:
         "client": DEFAULT_CLIENT,
         "srcSystem": SOURCE_SYSTEM,
     })
-    # Upper bounds that make a lookup table eligible for broadcast.
-    max_broadcast_factors: int = 2_000_000
+    # Row bounds that make a lookup table eligible for broadcast. A factor
+    # row is ~26 short columns (~300 bytes), so 200k rows stay near 60 MB;
+    # over a bound the join is planned as a shuffle join instead.
+    max_broadcast_factors: int = 200_000
     max_broadcast_rates: int = 100_000
-    max_broadcast_commission: int = 1_000_000
+    max_broadcast_commission: int = 200_000
     max_broadcast_countries: int = 100_000
 
     def __post_init__(self):

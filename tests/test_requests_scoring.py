@@ -148,3 +148,29 @@ def test_entry_runs(spark):
     assert df.columns[:9] == ["proposal_id", "proposal_uuid", "revision_number", "proposal_country_code",
                               "audience_uuid", "currency_code", "HighPrice", "LowPrice", "Strand2Price"]
     assert df.count() > 0
+
+
+def test_lookup_over_bound_falls_back_to_shuffle_join_same_result(spark):
+    from dataclasses import replace
+    from samplequote.operators.scoring import demo_scorers
+    from samplequote.params import DEFAULT_PARAMS
+    from samplequote.plans.quote import prepare_lookups, quote
+    from samplequote.sources import fixtures as fx
+    from samplequote.sources.tables import Tables
+    t = Tables(spark, SF_SMALL)
+    small = replace(DEFAULT_PARAMS, max_broadcast_factors=10, max_broadcast_commission=1)
+    lk = prepare_lookups(fx.fx_price_factors(t), fx.fx_commission(t), fx.fx_rates(t), small)
+    assert not lk.factors_fit and not lk.commission_fit and lk.rates_fit
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = quote(fx.fx_audience(t), lk, demo_scorers(), small)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan
+        got = sorted(map(tuple, df.collect()), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    import __spark_entry__ as e
+    want = sorted(map(tuple, e.entry(spark).collect()), key=repr)
+    assert got == want
