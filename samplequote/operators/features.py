@@ -39,6 +39,8 @@ def with_country_count(df: DataFrame, scope: str | None = "batch",
     row of a country into one task."""
     if scope is None:
         return df.withColumn(COUNTRY_COUNT, F.lit(None).cast("bigint"))
+    if scope == "given":  # computed upstream (per request, on streams)
+        return df
     by = () if scope == "batch" else tuple(proposal_keys)
     counts = country_counts(df, country, by).withColumnRenamed(country, "_cc_country")
     if scope == "batch":

@@ -28,16 +28,19 @@ def explode_audiences(countries: DataFrame) -> DataFrame:
                             .alias("audience_pos", "audience"))
 
 
-def flatten_request(requests: DataFrame, keep_positions: bool = False) -> DataFrame:
+def flatten_request(requests: DataFrame, keep_positions: bool = False,
+                    country_extra=()) -> DataFrame:
     """Nested requests -> flat audience rows with the renamed columns:
     ``total_costs.*`` -> ``*_costs``, ``account.*`` -> ``account_*``,
     country code -> ``proposal_country_code``, audience fields ->
-    ``audience_*``."""
+    ``audience_*``. ``country_extra`` carries further fields of the country
+    entry (e.g. a per-request count added before flattening)."""
     rows = explode_audiences(explode_countries(requests))
     cols = [F.col(f) for f in PROPOSAL_FIELDS]
     cols += [F.col(f"total_costs.{k}").alias(v) for k, v in COST_RENAMES.items()]
     cols += [F.col(f"account.{k}").alias(v) for k, v in ACCOUNT_RENAMES.items()]
     cols += [F.col(f"country.{k}").alias(v) for k, v in COUNTRY_RENAMES.items()]
+    cols += [F.col(f"country.{k}").alias(k) for k in country_extra]
     cols += [F.col(f"audience.{k}").alias(v) for k, v in AUDIENCE_RENAMES.items()]
     if keep_positions:
         cols += [F.col("country_pos"), F.col("audience_pos")]

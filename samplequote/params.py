@@ -49,7 +49,8 @@ class QuoteParams:
               slot of the pricer (as the original pipeline does); "named" feeds
               each value into its own slot.
     country_count_scope: "batch" counts audiences per country over the whole
-              input, "proposal" within one request, None skips the feature.
+              input, "proposal" within one request, "given" uses a count
+              already on the rows (streams), None skips the feature.
     on_missing: "null" leaves unpriced rows with NULL prices and a status,
               "raise" fails the job on the first missing price-factor key.
     gamma_clip: "negative" keeps only negative index combinations (reference),
@@ -98,7 +99,7 @@ class QuoteParams:
     def __post_init__(self):
         if self.binding not in ("reference", "named"):
             raise ValueError(f"binding must be 'reference' or 'named', got {self.binding!r}")
-        if self.country_count_scope not in ("batch", "proposal", None):
+        if self.country_count_scope not in ("batch", "proposal", "given", None):
             raise ValueError(f"bad country_count_scope {self.country_count_scope!r}")
         if self.on_missing not in ("null", "raise"):
             raise ValueError(f"bad on_missing {self.on_missing!r}")

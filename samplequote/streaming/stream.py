@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators.features import COUNTRY_COUNT
 from ..operators.flatten import flatten_request
+from ..operators.scoring import needs_column
 from ..params import DEFAULT_PARAMS, QuoteParams
 from ..plans.quote import Lookups, quote
 from ..schemas import REQUEST_DDL
@@ -40,10 +41,14 @@ def read_request_stream(spark: SparkSession, path: str, max_files: int | None =
 
 def quote_stream(requests: DataFrame, lookups: Lookups, scorers: Mapping[str, object],
                  params: QuoteParams = DEFAULT_PARAMS) -> DataFrame:
-    """Streaming (or batch) requests -> quote rows; country counts per request."""
-    flat = flatten_request(requests)
-    stream_params = replace(params, country_count_scope=None)
-    return quote(flat, lookups, scorers, stream_params)
+    """Streaming (or batch) requests -> quote rows. When a scorer reads the
+    per-country count, it is computed within each request document before
+    flattening (a batch-wide window is not available on a stream)."""
+    if params.country_count_scope is not None and needs_column(scorers, COUNTRY_COUNT):
+        counted = requests.withColumn("countries", country_counts_in_request(F.col("countries")))
+        flat = flatten_request(counted, country_extra=(COUNTRY_COUNT,))
+        return quote(flat, lookups, scorers, replace(params, country_count_scope="given"))
+    return quote(flatten_request(requests), lookups, scorers, replace(params, country_count_scope=None))
 
 
 def stream_quotes_to_table(spark: SparkSession, requests_path: str, lookups: Lookups,

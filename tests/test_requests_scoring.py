@@ -174,3 +174,30 @@ def test_lookup_over_bound_falls_back_to_shuffle_join_same_result(spark):
     import __spark_entry__ as e
     want = sorted(map(tuple, e.entry(spark).collect()), key=repr)
     assert got == want
+
+
+def test_stream_uses_per_request_country_count(spark):
+    import json
+    from samplequote.plans.quote import prepare_lookups
+    from samplequote.streaming.stream import quote_stream
+    base = tempfile.mkdtemp(prefix="sq-stream-")
+    src = os.path.join(base, "in")
+    os.makedirs(src)
+    with open(os.path.join(src, "r.json"), "w") as fh:
+        fh.write(json.dumps(SAMPLE) + "\n")
+    schema = ", ".join(f"{c} string" for c in ("RegionID", "BrandID", "ProductID", "CountryID", "LOI",
+                                                 "Client_Segment", "Client"))
+    factors = spark.createDataFrame([], schema + ", " + ", ".join(
+        f"{c} string" for c in __import__("samplequote.schemas", fromlist=["x"]).FACTOR_NUMERIC) + ", Rate_Currency string")
+    comm = spark.createDataFrame([("ITA", "13")], "Audience_Country_A3 string, Company string")
+    rates = spark.createDataFrame([("EUR", "2023-01", "1.1")], "From_Currency string, month string, Rate string")
+    lk = prepare_lookups(factors, comm, rates)
+    scorers = {"ir": F.col(COUNTRY_COUNT) * 10.0, "cr": F.lit(0.0), "loi": F.lit(10.0)}
+    stream = spark.readStream.schema(REQUEST_DDL).json(src)
+    out = quote_stream(stream, lk, scorers)
+    q = out.writeStream.format("memory").queryName("sq_stream_test").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    rows = spark.sql("SELECT * FROM sq_stream_test").collect()
+    assert len(rows) == 4  # ITA audiences priced (NULL: no factors), PRT without company
+    assert {r.fieldwork_company for r in rows} == {"13", None}
