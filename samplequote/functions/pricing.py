@@ -72,26 +72,6 @@ def local_price(job_factor, anchor_factor, anchor_price, xfactor) -> Column:
     return nan_to_null(F.pow(ratio, col(xfactor)) * col(anchor_price))
 
 
-def quote_columns(job_ir, loi_bucket_col, factors: Mapping[str, Column],
-                  cpi_scale: int = 2) -> dict[str, Column]:
-    """The whole rule for one priced row, given its matched factor columns.
-
-    Returns ``cpi`` (rounded half-even to ``cpi_scale``), ``ir_used`` (the IR
-    after the breakpoint rule), ``loi_used`` (the LOI bucket) and
-    ``currency`` (the factor row's rate currency)."""
-    tier = ir_tier(job_ir, factors)
-    ir_used = breakpoint_ir(job_ir, [factors[f"Break{i}"] for i in range(1, 7)])
-    job_f = ir_factor(ir_used, tier["step"])
-    anchor_f = ir_factor(tier["used"], tier["step"])
-    price = local_price(job_f, anchor_f, tier["anchor"], tier["xfactor"])
-    return {
-        "cpi": F.bround(price, cpi_scale),
-        "ir_used": ir_used,
-        "loi_used": col(loi_bucket_col),
-        "currency": factors["Rate_Currency"],
-    }
-
-
 # --- The same rules as SQL text -------------------------------------------------
 # The plan applies them with ``selectExpr``: one expression string is one
 # call into the JVM, where building the same tree from Python Column objects

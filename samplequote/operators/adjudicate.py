@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clamp_low, row_max, row_median3, row_min, safe_divide
+from ..functions.numeric import clamp_low
 from ..params import DEFAULT_PARAMS, QuoteParams
 
 

@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pricing import breakpoint_ir, ir_factor, ir_tier, loi_bucket, loi_key
 from ..operators import pricing as pr
-from ..operators.adjudicate import adjudicate, adjudication_inputs, floor_indices, price_band
-from ..operators.broadcast import row_count_at_most
+from ..operators.adjudicate import adjudicate, adjudication_inputs, floor_indices
 from ..operators.currency import latest_rates
 from ..operators.features import COUNTRY_COUNT, FEATURE_COLUMNS, country_counts, with_features
 from ..operators.flatten import explode_audiences, explode_countries, flatten_request

@@ -201,3 +201,9 @@ def test_stream_uses_per_request_country_count(spark):
     rows = spark.sql("SELECT * FROM sq_stream_test").collect()
     assert len(rows) == 4  # ITA audiences priced (NULL: no factors), PRT without company
     assert {r.fieldwork_company for r in rows} == {"13", None}
+
+
+def test_schema_report_lists_columns_and_types(spark):
+    from samplequote.sources.staging import schema_report
+    df = spark.createDataFrame([("a", 1.0)], "Rate_Currency string, Low_IR_Used double")
+    assert schema_report(df) == [("Rate_Currency", "string"), ("Low_IR_Used", "double")]
