@@ -25,11 +25,12 @@ QUOTE_SLOTS = (
 
 def prepare_factors(factors: DataFrame, strict: bool = False) -> DataFrame:
     """Keys stay text; the 18 numeric columns are parsed to double (NULL on
-    bad text unless ``strict``)."""
-    return factors.select(
-        *[F.col(k) for k in FACTOR_KEYS],
-        *[to_double(c, strict).alias(c) for c in FACTOR_NUMERIC],
-        F.col(FACTOR_CURRENCY),
+    bad text, and NaN text to NULL, unless ``strict``)."""
+    cast = "CAST" if strict else "try_cast"
+    return factors.selectExpr(
+        *[f"`{k}`" for k in FACTOR_KEYS],
+        *[f"nanvl({cast}(`{c}` AS DOUBLE), CAST(NULL AS DOUBLE)) AS `{c}`" for c in FACTOR_NUMERIC],
+        f"`{FACTOR_CURRENCY}`",
     )
 
 

@@ -114,67 +114,64 @@ def fx_audience(t: Tables) -> DataFrame:
     fw = nation.select(F.col("n_nationkey").alias("fw_key"), F.col("n_name").alias("fw_name"))
     lines = spread_small(t.lineitem, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
     j = (lines
-         .join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-         .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-         .join(ac, F.col("c_nationkey") == F.col("ac_key"))
-         .join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-         .join(fw, F.col("s_nationkey") == F.col("fw_key"))
-         .join(t.part, F.col("l_partkey") == F.col("p_partkey")))
-    c = F.col
-    i = lambda e: e.cast("int")
-    txt = lambda e: e.cast("string")
-    segment = c("c_mktsegment")
-    return j.select(
-        c("l_orderkey").alias("proposal_id"),
-        F.concat(F.lit("P-"), txt(c("l_orderkey"))).alias("proposal_uuid"),
-        F.concat(F.lit("Proposal "), txt(c("l_orderkey"))).alias("proposal_name"),
-        i(1 + c("l_linenumber") % 3).alias("revision_number"),
-        F.date_format("o_orderdate", "yyyy-MM").alias("pricing_formula"),
-        c("p_brand").alias("brand"),
-        i(5 + c("l_partkey") % 26).alias("proposed_fieldwork_length"),
-        F.date_format("o_orderdate", "MM/dd/yyyy").alias("fieldwork_start_date"),
-        F.date_format("l_shipdate", "MM/dd/yyyy").alias("fieldwork_end_date"),
-        c("o_orderpriority").alias("service_type"),
-        c("p_type").alias("project_type"),
-        (c("o_orderpriority") == "1-URGENT").alias("rush_job"),
-        i(1 + c("o_orderkey") % 5).alias("proposal_strategic_index"),
-        i(1 + c("o_custkey") % 5).alias("competitive_intensity_index"),
-        F.when(c("l_returnflag") == "A", "USD").when(c("l_returnflag") == "N", "EUR")
-         .otherwise("JPY").alias("currency_code"),
-        c("l_extendedprice").alias("total_price"),
-        (F.abs(c("l_discount")) * 100).alias("incentives_costs"),
-        (F.abs(c("l_tax")) * 100).alias("panel_partner_costs"),
-        c("l_quantity").alias("labor_costs"),
-        F.lit(0.0).alias("translations_costs"),
-        F.lit(0.0).alias("other_costs"),
-        c("p_retailprice").alias("panel_investment_costs"),
-        F.concat(F.lit("C-"), txt(c("c_custkey"))).alias("account_uuid"),
-        c("c_name").alias("account_name"),
-        i(1 + c("c_nationkey") % 5).alias("client_strategic_index"),
-        segment.alias("client_segment"),
-        c("ac_name").alias("account_country_code"),
-        txt(c("ac_region")).alias("account_company_number"),
-        txt(c("c_custkey")).alias("account_maconomy_number"),
-        F.when(c("c_acctbal") < 0, "EUR").otherwise("USD").alias("account_preferred_currency"),
-        c("fw_name").alias("proposal_country_code"),
-        F.concat_ws("-", F.lit("A"), txt(c("l_orderkey")), txt(c("l_linenumber")),
-                    txt(c("l_partkey")), txt(c("l_suppkey"))).alias("audience_uuid"),
-        F.concat(F.lit("Line "), txt(c("l_linenumber"))).alias("audience_name"),
-        (c("l_linenumber") * 100).alias("audience_completes"),
-        i(c("l_quantity") * 2).alias("audience_incidence_rate"),
-        c("p_size").alias("audience_length_of_interview"),
-        c("s_name").alias("audience_panel_source"),
-        F.when(segment.isin("BUILDING", "MACHINERY"), "B2B").otherwise("Consumer")
-         .alias("audience_panelist_type"),
-        F.when(c("p_size") < 15, "Low").when(c("p_size") < 35, "Medium").otherwise("High")
-         .alias("audience_sampling_complexity"),
-        i(1 + c("l_partkey") % 5).alias("audience_complexity_index"),
-        i(1 + c("l_suppkey") % 4).alias("audience_waves"),
-        c("l_linenumber").alias("audience_no"),
-        c("l_partkey").alias("part_no"),
-        c("l_suppkey").alias("supp_no"),
-        F.to_date("l_shipdate").alias("ship_day"),
-    )
+         .join(t.orders, F.expr("l_orderkey = o_orderkey"))
+         .join(t.customer, F.expr("o_custkey = c_custkey"))
+         .join(ac, F.expr("c_nationkey = ac_key"))
+         .join(t.supplier, F.expr("l_suppkey = s_suppkey"))
+         .join(fw, F.expr("s_nationkey = fw_key"))
+         .join(t.part, F.expr("l_partkey = p_partkey")))
+    return j.selectExpr(*AUDIENCE_COLUMNS)
+
+
+# Flat request row per line item, as SQL expressions (one call into the JVM).
+AUDIENCE_COLUMNS = (
+    "l_orderkey AS proposal_id",
+    "concat('P-', CAST(l_orderkey AS STRING)) AS proposal_uuid",
+    "concat('Proposal ', CAST(l_orderkey AS STRING)) AS proposal_name",
+    "CAST(1 + l_linenumber % 3 AS INT) AS revision_number",
+    "date_format(o_orderdate, 'yyyy-MM') AS pricing_formula",
+    "p_brand AS brand",
+    "CAST(5 + l_partkey % 26 AS INT) AS proposed_fieldwork_length",
+    "date_format(o_orderdate, 'MM/dd/yyyy') AS fieldwork_start_date",
+    "date_format(l_shipdate, 'MM/dd/yyyy') AS fieldwork_end_date",
+    "o_orderpriority AS service_type",
+    "p_type AS project_type",
+    "o_orderpriority = '1-URGENT' AS rush_job",
+    "CAST(1 + o_orderkey % 5 AS INT) AS proposal_strategic_index",
+    "CAST(1 + o_custkey % 5 AS INT) AS competitive_intensity_index",
+    "CASE WHEN l_returnflag = 'A' THEN 'USD' WHEN l_returnflag = 'N' THEN 'EUR' ELSE 'JPY' END AS currency_code",
+    "l_extendedprice AS total_price",
+    "abs(l_discount) * 100 AS incentives_costs",
+    "abs(l_tax) * 100 AS panel_partner_costs",
+    "l_quantity AS labor_costs",
+    "0.0D AS translations_costs",
+    "0.0D AS other_costs",
+    "p_retailprice AS panel_investment_costs",
+    "concat('C-', CAST(c_custkey AS STRING)) AS account_uuid",
+    "c_name AS account_name",
+    "CAST(1 + c_nationkey % 5 AS INT) AS client_strategic_index",
+    "c_mktsegment AS client_segment",
+    "ac_name AS account_country_code",
+    "CAST(ac_region AS STRING) AS account_company_number",
+    "CAST(c_custkey AS STRING) AS account_maconomy_number",
+    "CASE WHEN c_acctbal < 0 THEN 'EUR' ELSE 'USD' END AS account_preferred_currency",
+    "fw_name AS proposal_country_code",
+    "concat_ws('-', 'A', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), "
+    "CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING)) AS audience_uuid",
+    "concat('Line ', CAST(l_linenumber AS STRING)) AS audience_name",
+    "l_linenumber * 100 AS audience_completes",
+    "CAST(l_quantity * 2 AS INT) AS audience_incidence_rate",
+    "p_size AS audience_length_of_interview",
+    "s_name AS audience_panel_source",
+    "CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'B2B' ELSE 'Consumer' END AS audience_panelist_type",
+    "CASE WHEN p_size < 15 THEN 'Low' WHEN p_size < 35 THEN 'Medium' ELSE 'High' END AS audience_sampling_complexity",
+    "CAST(1 + l_partkey % 5 AS INT) AS audience_complexity_index",
+    "CAST(1 + l_suppkey % 4 AS INT) AS audience_waves",
+    "l_linenumber AS audience_no",
+    "l_partkey AS part_no",
+    "l_suppkey AS supp_no",
+    "to_date(l_shipdate) AS ship_day",
+)
 
 
 ROW_KEY = ("proposal_id", "audience_no", "part_no", "supp_no", "ship_day", "total_price")
