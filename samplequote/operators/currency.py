@@ -67,3 +67,17 @@ def to_local(df: DataFrame, rates: DataFrame, fits: bool, currency: str,
     for src, dst in prices.items():
         conv[dst] = F.col(src) * rate if direction == "multiply" else F.try_divide(F.col(src), rate)
     return df.withColumns(conv)
+
+
+def duplicate_rates(latest: DataFrame) -> DataFrame:
+    """Currencies with more than one rate in the snapshot (they fan quotes out)."""
+    return (latest.groupBy("From_Currency").agg(F.count(F.lit(1)).alias("n_rates"))
+            .where(F.col("n_rates") > 1))
+
+
+def require_unique_rates(latest: DataFrame) -> DataFrame:
+    """Fail when a currency has several latest rates; otherwise return ``latest``."""
+    dup = duplicate_rates(latest).limit(5).collect()
+    if dup:
+        raise ValueError("several latest rates for " + ", ".join(r.From_Currency for r in dup))
+    return latest

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators.adjudicate import adjudicate, adjudication_inputs, price_band
 from ..operators.broadcast import row_count_at_most
-from ..operators.currency import latest_rates, prepare_rates, to_local, to_usd
+from ..operators.currency import latest_rates, prepare_rates, require_unique_rates, to_local, to_usd
 from ..operators.features import COUNTRY_COUNT, with_features
 from ..operators.pricing import four_way_quotes, prepare_factors, pricing_inputs
 from ..operators.scoring import needs_column, score
@@ -39,13 +39,16 @@ class Lookups:
 
 def prepare_lookups(price_factors: DataFrame, commission: DataFrame, rates: DataFrame,
                     params: QuoteParams = DEFAULT_PARAMS, strict: bool = False,
-                    month_format: str | None = None) -> Lookups:
+                    month_format: str | None = None, unique_rates: bool = False) -> Lookups:
     """Parse the text lookups, keep the latest rate snapshot and check their
-    sizes once, for all joins of the plan."""
+    sizes once, for all joins of the plan. ``unique_rates`` fails on a
+    currency with several latest rates instead of fanning quotes out."""
     factors = prepare_factors(price_factors, strict)
     comm = commission.select("Audience_Country_A3", "Company")
-    latest, rates_fit = prepare_rates(latest_rates(rates, month_format, strict),
-                                      params.max_broadcast_rates)
+    latest = latest_rates(rates, month_format, strict)
+    if unique_rates:
+        latest = require_unique_rates(latest)
+    latest, rates_fit = prepare_rates(latest, params.max_broadcast_rates)
     return Lookups(
         factors=factors,
         factors_fit=row_count_at_most(factors, params.max_broadcast_factors),

@@ -67,3 +67,20 @@ def stream_quotes_to_table(spark: SparkSession, requests_path: str, lookups: Loo
     if q.exception() is not None:
         raise q.exception()
     return f"{out_path}/data"
+
+
+def stream_quotes_refreshing(spark: SparkSession, requests_path: str, load_lookups,
+                             scorers: Mapping[str, object], params: QuoteParams, out_path: str,
+                             max_files: int | None = None, trigger: dict | None = None):
+    """Quote stream whose lookups are re-read for every micro-batch
+    (``load_lookups()`` returns fresh ``Lookups``), so rate changes reach
+    quotes while the stream runs. Each batch overwrites its own
+    ``epoch=<id>`` folder, so a batch replayed after a failure replaces its
+    earlier output instead of duplicating it. Returns the started query."""
+    def handle(batch: DataFrame, epoch_id: int) -> None:
+        quotes = quote_stream(batch, load_lookups(), scorers, params)
+        quotes.write.mode("overwrite").parquet(f"{out_path}/data/epoch={epoch_id}")
+
+    writer = (read_request_stream(spark, requests_path, max_files).writeStream
+              .foreachBatch(handle).option("checkpointLocation", f"{out_path}/_checkpoint"))
+    return writer.trigger(**(trigger or {"availableNow": True})).start()

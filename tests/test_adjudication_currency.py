@@ -98,3 +98,13 @@ def test_local_conversion_direction(spark):
     mult = [r.q for r in to_local(df, rates, True, "currency_code", {"p": "q"}).collect()]
     div = [r.q for r in to_local(df, rates, True, "currency_code", {"p": "q"}, "divide").collect()]
     assert mult == [20.0, None] and div == [5.0, None]  # proposal currency is looked up as is
+
+
+def test_unique_rates_check(spark):
+    from samplequote.operators.currency import duplicate_rates, require_unique_rates
+    latest = spark.createDataFrame([("EUR", 1.1), ("EUR", 1.2), ("USD", 1.0)], "From_Currency string, Rate double")
+    assert [r.From_Currency for r in duplicate_rates(latest).collect()] == ["EUR"]
+    with pytest.raises(ValueError, match="EUR"):
+        require_unique_rates(latest)
+    ok = latest.where("From_Currency = 'USD'")
+    assert require_unique_rates(ok).count() == 1

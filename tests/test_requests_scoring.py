@@ -207,3 +207,34 @@ def test_schema_report_lists_columns_and_types(spark):
     from samplequote.sources.staging import schema_report
     df = spark.createDataFrame([("a", 1.0)], "Rate_Currency string, Low_IR_Used double")
     assert schema_report(df) == [("Rate_Currency", "string"), ("Low_IR_Used", "double")]
+
+
+def test_refreshing_stream_reads_lookups_per_batch(spark):
+    import json
+    from samplequote.plans.quote import prepare_lookups
+    from samplequote.schemas import FACTOR_NUMERIC
+    from samplequote.streaming.stream import stream_quotes_refreshing
+    base = tempfile.mkdtemp(prefix="sq-refresh-")
+    src = os.path.join(base, "in")
+    os.makedirs(src)
+    with open(os.path.join(src, "r1.json"), "w") as fh:
+        fh.write(json.dumps(SAMPLE) + "\n")
+    keys = ("RegionID", "BrandID", "ProductID", "CountryID", "LOI", "Client_Segment", "Client")
+    schema = ", ".join(f"{c} string" for c in keys + FACTOR_NUMERIC + ("Rate_Currency",))
+    calls = []
+
+    def load():
+        calls.append(1)
+        rates = spark.createDataFrame([("EUR", "2023-01", str(1.0 + len(calls)))],
+                                      "From_Currency string, month string, Rate string")
+        return prepare_lookups(spark.createDataFrame([], schema),
+                               spark.createDataFrame([("ITA", "13")], "Audience_Country_A3 string, Company string"),
+                               rates)
+
+    q = stream_quotes_refreshing(spark, src, load, {"ir": F.lit(50.0), "cr": F.lit(0.0), "loi": F.lit(10.0)},
+                                 __import__("samplequote.params", fromlist=["x"]).DEFAULT_PARAMS,
+                                 os.path.join(base, "out"))
+    q.awaitTermination()
+    assert len(calls) >= 1
+    out = spark.read.parquet(os.path.join(base, "out", "data"))
+    assert out.count() == 4 and "epoch" in out.columns
