@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import equal_flag
 from ..params import DEFAULT_PARAMS, QuoteParams
 from ..schemas import FEATURE_RENAMES
 from .broadcast import bounded_broadcast
@@ -56,10 +55,11 @@ def with_country_count(df: DataFrame, scope: str | None = "batch",
 def with_features(df: DataFrame, scope: str | None = "batch",
                   params: QuoteParams = DEFAULT_PARAMS) -> DataFrame:
     """Add the 14 scorer features next to the flat request columns."""
-    aliases = {dst: F.col(src) for src, dst in FEATURE_RENAMES.items() if src != dst}
-    out = df.withColumns(aliases)
+    aliases = [f"`{src}` AS `{dst}`" for src, dst in FEATURE_RENAMES.items() if src != dst]
+    out = df.selectExpr("*", *aliases)
     out = with_country_count(out, scope, params=params)
-    return out.withColumn(SAME_COUNTRY, equal_flag("AudienceCountryA3", "account_country_code"))
+    return out.selectExpr("*", "CAST(coalesce(AudienceCountryA3 = account_country_code, false) AS INT) "
+                               f"AS {SAME_COUNTRY}")
 
 
 def quote_features(df: DataFrame, scope: str | None = "batch",

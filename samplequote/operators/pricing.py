@@ -50,23 +50,26 @@ def pricing_inputs(df: DataFrame, params: QuoteParams = DEFAULT_PARAMS) -> DataF
     """
     d = params.defaults
     if params.binding == "reference":
-        mod_loi, mod_ir = F.col("Athena_IR") / 100, F.col("Athena_LOI")
-        sold_loi, sold_ir = F.col("audience_incidence_rate") / 100, F.col("audience_length_of_interview")
+        mod_loi, mod_ir = "Athena_IR / 100", "Athena_LOI"
+        sold_loi, sold_ir = "audience_incidence_rate / 100", "audience_length_of_interview"
     else:
-        mod_loi, mod_ir = F.col("Athena_LOI"), F.col("Athena_IR") / 100
-        sold_loi, sold_ir = F.col("audience_length_of_interview"), F.col("audience_incidence_rate") / 100
-    return df.withColumns({
-        "company": F.col("account_company_number"),
-        "product": F.col("project_type"),
-        "country": F.lit(d["country"]),
-        "segment": F.lit(d["segment"]),
-        "client": F.lit(d["client"]),
-        "srcSystem": F.lit(d["srcSystem"]),
-        "modelled_loi": mod_loi.cast("double"),
-        "modelled_jobIr": mod_ir.cast("double"),
-        "sold_loi": sold_loi.cast("double"),
-        "sold_jobIr": sold_ir.cast("double"),
-    })
+        mod_loi, mod_ir = "Athena_LOI", "Athena_IR / 100"
+        sold_loi, sold_ir = "audience_length_of_interview", "audience_incidence_rate / 100"
+    lit = lambda v: "'" + str(v).replace("'", "''") + "'"
+    added = {
+        "company": "account_company_number",
+        "product": "project_type",
+        "country": lit(d["country"]),
+        "segment": lit(d["segment"]),
+        "client": lit(d["client"]),
+        "srcSystem": lit(d["srcSystem"]),
+        "modelled_loi": f"CAST({mod_loi} AS DOUBLE)",
+        "modelled_jobIr": f"CAST({mod_ir} AS DOUBLE)",
+        "sold_loi": f"CAST({sold_loi} AS DOUBLE)",
+        "sold_jobIr": f"CAST({sold_ir} AS DOUBLE)",
+    }
+    kept = [f"`{c}`" for c in df.columns if c not in added]
+    return df.selectExpr(*kept, *[f"{v} AS `{k}`" for k, v in added.items()])
 
 
 def factor_side(factors: DataFrame, prefix: str, fits: bool) -> DataFrame:

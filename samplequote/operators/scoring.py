@@ -13,11 +13,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clamp_high, clamp_low, truncate_int
 from ..params import DEFAULT_PARAMS, MIN_IR_G, QuoteParams
 
 SCORE_NAMES = ("ir", "cr", "loi")
 RAW = {"ir": "_ir_score", "cr": "_cr_score", "loi": "_loi_score"}
+SCORE_COLUMNS = ("Athena_IR", "Athena_CR", "Athena_LOI")
 
 
 def demo_scorers() -> dict[str, Column]:
@@ -66,18 +66,28 @@ def apply_scorers(df: DataFrame, scorers: Mapping[str, object]) -> DataFrame:
 def score_cast(df: DataFrame) -> DataFrame:
     """Integer scores, truncated toward zero: Athena_IR, Athena_CR (x100
     first), Athena_LOI."""
-    return df.withColumns({
-        "Athena_IR": truncate_int(F.col(RAW["ir"]).cast("double")),
-        "Athena_CR": truncate_int(F.col(RAW["cr"]).cast("double") * 100),
-        "Athena_LOI": truncate_int(F.col(RAW["loi"]).cast("double")),
-    }).drop(*RAW.values())
+    kept = [f"`{c}`" for c in df.columns if c not in RAW.values() and c not in SCORE_COLUMNS]
+    return df.selectExpr(
+        *kept,
+        f"try_cast(CAST(`{RAW['ir']}` AS DOUBLE) AS INT) AS Athena_IR",
+        f"try_cast(CAST(`{RAW['cr']}` AS DOUBLE) * 100 AS INT) AS Athena_CR",
+        f"try_cast(CAST(`{RAW['loi']}` AS DOUBLE) AS INT) AS Athena_LOI",
+    )
 
 
 def clamp_scores(df: DataFrame, params: QuoteParams = DEFAULT_PARAMS) -> DataFrame:
     """IR into [2, 100] (floored at 2 twice), LOI into [1, 120]; NULL stays."""
-    ir = clamp_high(clamp_low(clamp_low(F.col("Athena_IR"), MIN_IR_G), params.min_ir), params.max_ir)
-    loi = clamp_high(clamp_low(F.col("Athena_LOI"), params.min_loi), params.max_loi)
-    return df.withColumns({"Athena_IR": ir, "Athena_LOI": loi})
+    def low(e, v):
+        return f"CASE WHEN {e} <= {v} THEN {v} ELSE {e} END"
+
+    def high(e, v):
+        return f"CASE WHEN {e} >= {v} THEN {v} ELSE {e} END"
+
+    ir = high(low(low("Athena_IR", MIN_IR_G), params.min_ir), params.max_ir)
+    loi = high(low("Athena_LOI", params.min_loi), params.max_loi)
+    kept = [f"`{c}`" if c not in ("Athena_IR", "Athena_LOI") else
+            (f"{ir} AS Athena_IR" if c == "Athena_IR" else f"{loi} AS Athena_LOI") for c in df.columns]
+    return df.selectExpr(*kept)
 
 
 def score(df: DataFrame, scorers: Mapping[str, object],

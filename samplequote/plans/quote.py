@@ -94,16 +94,11 @@ def priced_rows(scored: DataFrame, lk: Lookups, params: QuoteParams = DEFAULT_PA
     rows = pricing_inputs(scored, params)
     rows = four_way_quotes(rows, lk.factors, lk.commission, params, commission_how,
                            lk.factors_fit, lk.commission_fit)
-    rows = rows.withColumns({
-        "Fieldwork_Athena_CPI": F.col("fw_mod_cpi"),
-        "Fieldwork_Currency": F.col("fw_mod_currency"),
-        "Account_Athena_CPI": F.col("acc_mod_cpi"),
-        "Account_Currency": F.col("acc_mod_currency"),
-        "Fieldwork_Sold_CPI": F.col("fw_sold_cpi"),
-        "Fieldwork_Sold_Currency": F.col("fw_sold_currency"),
-        "Account_Sold_CPI": F.col("acc_sold_cpi"),
-        "Account_Sold_Currency": F.col("acc_sold_currency"),
-    })
+    rows = rows.selectExpr(
+        "*", "fw_mod_cpi AS Fieldwork_Athena_CPI", "fw_mod_currency AS Fieldwork_Currency",
+        "acc_mod_cpi AS Account_Athena_CPI", "acc_mod_currency AS Account_Currency",
+        "fw_sold_cpi AS Fieldwork_Sold_CPI", "fw_sold_currency AS Fieldwork_Sold_Currency",
+        "acc_sold_cpi AS Account_Sold_CPI", "acc_sold_currency AS Account_Sold_Currency")
     for amount, cur, out, rate in (
         ("Fieldwork_Athena_CPI", "Fieldwork_Currency", "Fieldwork_Athena_CPI_USD", "_rate_fm"),
         ("Account_Athena_CPI", "Account_Currency", "Account_Athena_CPI_USD", "_rate_am"),
@@ -118,9 +113,10 @@ def band_rows(priced: DataFrame, params: QuoteParams = DEFAULT_PARAMS) -> DataFr
     """Adjudicated USD band. Audiences without a fieldwork company are not
     adjudicated: their prices stay NULL."""
     out = price_band(adjudicate(adjudication_inputs(priced, params), params))
-    priced_ok = F.col("fieldwork_company").isNotNull()
-    return stage(out.withColumns({c: F.when(priced_ok, F.col(c))
-                                  for c in ("HighPriceUSD", "LowPriceUSD", "Strand2PriceUSD")}), "band")
+    band = ("HighPriceUSD", "LowPriceUSD", "Strand2PriceUSD")
+    cols = [f"`{c}`" for c in out.columns if c not in band]
+    return stage(out.selectExpr(*cols, *[f"CASE WHEN fieldwork_company IS NOT NULL THEN {c} END AS {c}"
+                                         for c in band]), "band")
 
 
 def local_rows(banded: DataFrame, lk: Lookups, params: QuoteParams = DEFAULT_PARAMS) -> DataFrame:
