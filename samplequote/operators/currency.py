@@ -48,11 +48,14 @@ def with_rate(df: DataFrame, rates: DataFrame, currency: str, rate_col: str,
 
 
 def to_usd(df: DataFrame, rates: DataFrame, fits: bool, amount: str, currency: str,
-           out: str, rate_col: str) -> DataFrame:
+           out: str, rate_col: str, upper_in_place: bool = True) -> DataFrame:
     """``out = amount * rate(upper(currency))``; the upper-cased currency
-    replaces ``currency``."""
-    cols = [f"`{c}`" if c != currency else f"upper(`{c}`) AS `{c}`" for c in df.columns]
-    df = with_rate(df.selectExpr(*cols), rates, currency, rate_col, fits, upper=False)
+    replaces ``currency`` (pass ``upper_in_place=False`` when it already is
+    upper case)."""
+    if upper_in_place:
+        cols = [f"`{c}`" if c != currency else f"upper(`{c}`) AS `{c}`" for c in df.columns]
+        df = df.selectExpr(*cols)
+    df = with_rate(df, rates, currency, rate_col, fits, upper=False)
     return df.selectExpr("*", f"`{amount}` * `{rate_col}` AS `{out}`")
 
 

@@ -95,17 +95,17 @@ def priced_rows(scored: DataFrame, lk: Lookups, params: QuoteParams = DEFAULT_PA
     rows = four_way_quotes(rows, lk.factors, lk.commission, params, commission_how,
                            lk.factors_fit, lk.commission_fit)
     rows = rows.selectExpr(
-        "*", "fw_mod_cpi AS Fieldwork_Athena_CPI", "fw_mod_currency AS Fieldwork_Currency",
-        "acc_mod_cpi AS Account_Athena_CPI", "acc_mod_currency AS Account_Currency",
-        "fw_sold_cpi AS Fieldwork_Sold_CPI", "fw_sold_currency AS Fieldwork_Sold_Currency",
-        "acc_sold_cpi AS Account_Sold_CPI", "acc_sold_currency AS Account_Sold_Currency")
+        "*", "fw_mod_cpi AS Fieldwork_Athena_CPI", "upper(fw_mod_currency) AS Fieldwork_Currency",
+        "acc_mod_cpi AS Account_Athena_CPI", "upper(acc_mod_currency) AS Account_Currency",
+        "fw_sold_cpi AS Fieldwork_Sold_CPI", "upper(fw_sold_currency) AS Fieldwork_Sold_Currency",
+        "acc_sold_cpi AS Account_Sold_CPI", "upper(acc_sold_currency) AS Account_Sold_Currency")
     for amount, cur, out, rate in (
         ("Fieldwork_Athena_CPI", "Fieldwork_Currency", "Fieldwork_Athena_CPI_USD", "_rate_fm"),
         ("Account_Athena_CPI", "Account_Currency", "Account_Athena_CPI_USD", "_rate_am"),
         ("Fieldwork_Sold_CPI", "Fieldwork_Sold_Currency", "Fieldwork_Sold_CPI_USD", "_rate_fs"),
         ("Account_Sold_CPI", "Account_Sold_Currency", "Account_Sold_CPI_USD", "_rate_as"),
     ):
-        rows = to_usd(rows, lk.rates, lk.rates_fit, amount, cur, out, rate)
+        rows = to_usd(rows, lk.rates, lk.rates_fit, amount, cur, out, rate, upper_in_place=False)
     return stage(rows, "usd_quotes")
 
 
