@@ -82,24 +82,19 @@ def fx_price_factors(t: Tables) -> DataFrame:
     start, stop, step = LOI_BUCKETS
     grid = (pairs.select("*", F.explode(region_keys).alias("rk"))
             .select("*", F.explode(F.sequence(F.lit(start), F.lit(stop), F.lit(step))).alias("loi")))
-    bi, loi, rk = F.col("bi"), F.col("loi"), F.col("rk")
-    s = lambda c: c.cast("string")
-    currency = (F.when(rk == 0, "usd").when(rk == 1, "EUR").when(rk == 2, "gbp")
-                .when(rk == 3, "eur").otherwise("jpy"))
-    return grid.select(
-        s(rk).alias("RegionID"), F.col("p_brand").alias("BrandID"), F.col("p_type").alias("ProductID"),
-        F.lit("(All)").alias("CountryID"), s(loi).alias("LOI"),
-        F.lit("(All)").alias("Client_Segment"), F.lit("(All)").alias("Client"),
-        F.lit("0.2").alias("Low_IR_Used"), F.lit("0.5").alias("Mid_IR_Used"), F.lit("0.8").alias("High_IR_Used"),
-        s(10 + bi + loi).alias("Low_IR_Anchor"), s(8 + bi + loi).alias("Mid_IR_Anchor"),
-        s(5 + bi + loi).alias("High_IR_Anchor"),
-        F.lit("0.9").alias("xFactor_Low_IR"), F.lit("0.8").alias("xFactor_Mid_IR"),
-        F.lit("0.7").alias("xFactor_High_IR"),
-        F.lit("0.05").alias("Low_IR_Step"), F.lit("0.05").alias("Mid_IR_Step"), F.lit("0.1").alias("High_IR_Step"),
-        F.when(bi % 2 == 0, "2").otherwise("0.75").alias("Break1"),
-        F.lit("0.6").alias("Break2"), F.lit("0.4").alias("Break3"), F.lit("0.3").alias("Break4"),
-        F.lit("0.1").alias("Break5"), F.lit("0.05").alias("Break6"),
-        currency.alias("Rate_Currency"),
+    return grid.selectExpr(
+        "CAST(rk AS STRING) AS RegionID", "p_brand AS BrandID", "p_type AS ProductID",
+        "'(All)' AS CountryID", "CAST(loi AS STRING) AS LOI",
+        "'(All)' AS Client_Segment", "'(All)' AS Client",
+        "'0.2' AS Low_IR_Used", "'0.5' AS Mid_IR_Used", "'0.8' AS High_IR_Used",
+        "CAST(10 + bi + loi AS STRING) AS Low_IR_Anchor", "CAST(8 + bi + loi AS STRING) AS Mid_IR_Anchor",
+        "CAST(5 + bi + loi AS STRING) AS High_IR_Anchor",
+        "'0.9' AS xFactor_Low_IR", "'0.8' AS xFactor_Mid_IR", "'0.7' AS xFactor_High_IR",
+        "'0.05' AS Low_IR_Step", "'0.05' AS Mid_IR_Step", "'0.1' AS High_IR_Step",
+        "CASE WHEN bi % 2 = 0 THEN '2' ELSE '0.75' END AS Break1",
+        "'0.6' AS Break2", "'0.4' AS Break3", "'0.3' AS Break4", "'0.1' AS Break5", "'0.05' AS Break6",
+        "CASE WHEN rk = 0 THEN 'usd' WHEN rk = 1 THEN 'EUR' WHEN rk = 2 THEN 'gbp' "
+        "WHEN rk = 3 THEN 'eur' ELSE 'jpy' END AS Rate_Currency",
     )
 
 
