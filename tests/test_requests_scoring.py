@@ -238,3 +238,26 @@ def test_refreshing_stream_reads_lookups_per_batch(spark):
     assert len(calls) >= 1
     out = spark.read.parquet(os.path.join(base, "out", "data"))
     assert out.count() == 4 and "epoch" in out.columns
+
+
+def test_spread_small_only_spreads_small_inputs(spark):
+    from samplequote.sources.tables import spread_small
+    slots = spark.sparkContext.defaultParallelism
+    small = spark.range(0, 100, 1, 1)
+    assert spread_small(small, ["id"]).rdd.getNumPartitions() == slots
+    large = spark.range(0, 1000, 1, slots * 2)
+    assert spread_small(large, ["id"]) is large  # enough splits: unchanged, no shuffle
+
+
+def test_hot_proposal_is_paged_not_collected_whole(spark):
+    flat = flatten_request(sample_requests(spark, [SAMPLE]))
+    one = flat.where("proposal_country_code = 'ITA' AND audience_uuid = 'u1'")
+    # one proposal holding 3,000 audiences (a hot key)
+    hot = one.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2999)))) \
+        .withColumn("audience_uuid", F.concat(F.lit("u-"), F.col("k").cast("string"))).drop("k")
+    docs = nest_requests(hot, page_size=100)
+    sizes = [r.n for r in docs.select(F.aggregate("countries", F.lit(0),
+                                                  lambda acc, c: acc + F.size(c["audiences"])).alias("n")).collect()]
+    assert sum(sizes) == 3000                      # every audience kept
+    assert 20 <= len(sizes) <= 30                  # about ceil(3000 / 100) pages
+    assert max(sizes) <= 200                       # no document near the whole proposal
