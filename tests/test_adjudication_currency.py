@@ -108,3 +108,18 @@ def test_unique_rates_check(spark):
         require_unique_rates(latest)
     ok = latest.where("From_Currency = 'USD'")
     assert require_unique_rates(ok).count() == 1
+
+
+def test_numeric_column_helpers(spark):
+    from samplequote.functions import numeric as N
+    df = spark.createDataFrame([(1.0, None, 3.0, "a", "a"), (None, None, None, None, "b"), (5.0, 2.0, 9.0, "x", None)],
+                               "a double, b double, c double, s string, t string")
+    rows = df.select(N.row_max("a", "b").alias("mx"), N.row_min("a", "c").alias("mn"),
+                     N.row_median3("a", "c", "c").alias("md"), N.clamp("c", 2.0, 4.0).alias("cl"),
+                     N.equal_flag("s", "t").alias("eq"), N.safe_divide("a", F.lit(0.0)).alias("dz"),
+                     N.round_half_even(F.lit(2.5), 0).alias("r")).collect()
+    assert [tuple(r) for r in rows] == [
+        (1.0, 1.0, 3.0, 3.0, 1, None, 2.0),
+        (None, None, None, None, 0, None, 2.0),
+        (5.0, 5.0, 9.0, 4.0, 0, None, 2.0),
+    ]
