@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, exact_dedup, packing, sharding, token_counts
+from . import bpe_codec, exact_dedup, link_filter, packing, set_hash, sharding, token_counts
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op3_link_filter": link_filter.op3_link_filter,
     "op4_extendible_shards": sharding.op4_extendible_shards,
+    "op6_multiset_fingerprints": set_hash.op6_multiset_fingerprints,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op10_bpe_codec": bpe_codec.op10_bpe_codec,
 }
