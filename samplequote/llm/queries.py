@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, exact_dedup, link_filter, packing, set_hash, sharding, token_counts
+from . import bpe_codec, crf_toxicity, exact_dedup, knn_quality, link_filter, packing, set_hash, sharding, token_counts
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_link_filter": link_filter.op3_link_filter,
     "op4_extendible_shards": sharding.op4_extendible_shards,
     "op6_multiset_fingerprints": set_hash.op6_multiset_fingerprints,
+    "op7_crf_toxicity": crf_toxicity.op7_crf_toxicity,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_knn_quality": knn_quality.op9_knn_quality,
     "op10_bpe_codec": bpe_codec.op10_bpe_codec,
 }
 
