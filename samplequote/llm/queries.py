@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, crf_toxicity, exact_dedup, knn_quality, link_filter, packing, set_hash, sharding, token_counts
+from . import bpe_codec, crf_toxicity, exact_dedup, knn_quality, link_filter, near_dedup, packing, set_hash, sharding, token_counts
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_link_filter": link_filter.op3_link_filter,
     "op4_extendible_shards": sharding.op4_extendible_shards,
+    "op5_near_duplicates": near_dedup.op5_near_duplicates,
     "op6_multiset_fingerprints": set_hash.op6_multiset_fingerprints,
     "op7_crf_toxicity": crf_toxicity.op7_crf_toxicity,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
