@@ -6,8 +6,9 @@ trees branch the sets by tokens chosen at random: the root of a tree picks one
 of the coordinates (a second one in about one tree of five, so that a set goes to
 1 / threshold children in expectation), and sets with the same token at that
 coordinate meet in a node. Nodes of one set end, small nodes are compared
-exhaustively by their sketches, larger ones branch again by tokens chosen from
-the node's own hash; what is still large after ``DEPTH`` levels agrees in that
+exhaustively by their sketches; in larger ones every set is compared with the
+node's smallest, and if not all are similar to it the node branches again by
+tokens chosen from its own hash; what is still large after ``DEPTH`` levels agrees in that
 many random tokens and is taken as similar. The sketch comparison is lax, by
 more than four standard errors; its links only gather sets into clusters, as
 stars (a link fewer than members). Each cluster is then searched on full sets.
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from .common import documents, group_bounds, runs, stored, text_of
 from .components import connected_components
 
-COORDINATES, TREES, NODE, DEPTH = 128, 16, 96, 8
+COORDINATES, TREES, NODE, DEPTH = 128, 16, 96, 6
 CLUSTER_ROWS, CLUSTER_CHARS = 6000, 24 << 20
 #: Sets of a large cluster that one task compares, and sets chosen per round.
 BLOCK, CHOSEN = 2000, 24
@@ -172,6 +173,23 @@ def _similar_stars(rows: DataFrame, threshold: float) -> DataFrame:
     return near.select("node", "rep", "n", "sketch").mapInArrow(run, "a long, b long")
 
 
+def _against_top(rows: DataFrame, threshold: float) -> DataFrame:
+    """node, rep, n, sketch, top, near: each set of a node beside the node's smallest one."""
+    least = threshold - 4.2 * math.sqrt(threshold * (1 - threshold) / COORDINATES)
+    tops = rows.groupBy("node").agg(F.min(F.struct("rep", "n", "sketch")).alias("t"))
+    paired = rows.join(tops, "node").select("node", "rep", "n", "sketch", F.col("t.rep").alias("top"),
+                                            F.col("t.n").alias("top_n"), F.col("t.sketch").alias("top_sketch"))
+
+    def run(batches):
+        for b in batches:
+            own, top = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, COORDINATES) for i in (3, 6))
+            n, m = b.column(2).to_numpy(), b.column(5).to_numpy()
+            near = ((own == top).mean(axis=1) >= least) & (np.minimum(n, m) >= threshold * np.maximum(n, m))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(near)],
+                                             names=["node", "rep", "n", "sketch", "top", "near"])
+    return paired.mapInArrow(run, "node long, rep long, n int, sketch binary, top long, near boolean")
+
+
 def _children(rows: DataFrame, threshold: float) -> DataFrame:
     """The next level of (node, rep, n, sketch): child nodes by tokens that the
     node's hash chooses."""
@@ -199,20 +217,22 @@ def cluster_edges(sets: DataFrame, threshold: float) -> DataFrame:
     body = sets.select("rep", "n", "sketch")
     found = _similar_stars(met.where(F.col("size") <= NODE).join(body, "rep"), threshold)
     large = met.where(F.col("size") > NODE)
-    edges = stored(found.distinct(), "similar")
+    edges = stored(found, "similar")
     rows = stored(large.select("node", "rep").join(body, "rep").select("node", "rep", "n", "sketch"), "large-nodes")
     for depth in range(DEPTH):
         if rows.isEmpty():
-            return edges
-        rows = stored(_children(rows, threshold).dropDuplicates(["node", "rep"]), "children")
-        sizes = stored(rows.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("top")).where("size > 1"), "sizes")
-        small = rows.join(sizes.where(F.col("size") <= NODE).select("node"), "node", "left_semi")
-        edges = edges.unionByName(stored(_similar_stars(small, threshold).distinct(), "similar"))
-        rest = sizes.where(F.col("size") > NODE)
+            break
+        # sets that look like the node's smallest one join its star; a node that is one star needs no branching
+        beside = stored(_against_top(rows, threshold), "beside")
+        edges = edges.unionByName(beside.where("near and rep <> top").select(F.col("rep").alias("a"), F.col("top").alias("b")))
+        mixed = beside.where("not near").select("node").distinct()
+        rows = stored(_children(beside.join(mixed, "node", "left_semi"), threshold).dropDuplicates(["node", "rep"]), "children")
+        sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("top")).where("size > 1")
+        grown = stored(rows.join(sizes, "node"), "sized-children")
+        edges = edges.unionByName(stored(_similar_stars(grown.where(F.col("size") <= NODE), threshold), "similar"))
+        rows = grown.where(F.col("size") > NODE)
         if depth == DEPTH - 1:
-            stars = rows.join(rest, "node").where("rep <> top").select(F.col("rep").alias("a"), F.col("top").alias("b"))
-            return edges.unionByName(stored(stars.distinct(), "stars"))
-        rows = rows.join(rest.select("node"), "node", "left_semi")
+            edges = edges.unionByName(rows.where("rep <> top").select(F.col("rep").alias("a"), F.col("top").alias("b")))
     return edges
 
 
@@ -342,13 +362,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
                   .select("key", "rep", "s.*"), "sets")
     clusters = connected_components(cluster_edges(sets, threshold)).select(F.col("vertex").alias("rep"), F.col("root").alias("cluster"))
     members = stored(sets.select("rep", "key").join(clusters, "rep"), "clusters")
-    body = stored(members.join(texts, members.rep == texts.doc_id).select("cluster", "rep", "key", "text"), "cluster-texts")
+    # texts are dealt by id at every size: the members grow with the corpus and are no side to broadcast
+    body = stored(members.hint("merge").join(texts, members.rep == texts.doc_id).select("cluster", "rep", "key", "text"), "cluster-texts")
     sized = body.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars"))
     large = stored(sized.where((F.col("rows") > CLUSTER_ROWS) | ((F.col("chars") > CLUSTER_CHARS) & (F.col("rows") > 64))).select("cluster"), "large-clusters")
-    links = _search_clusters(body.join(large, "cluster", "left_anti"), size, percent)
+    # clusters that fit a task come back as stars around their smallest id: components already
+    final = _search_clusters(body.join(large, "cluster", "left_anti"), size, percent).select(F.col("a").alias("vertex"), F.col("b").alias("root"))
     if not large.isEmpty():
-        links = links.unionByName(_search_large(body.join(large, "cluster", "left_semi"), size, percent))
-    final = connected_components(links)
+        final = final.unionByName(connected_components(_search_large(body.join(large, "cluster", "left_semi"), size, percent)))
     named = sets.select("key", "rep").join(final, F.col("rep") == F.col("vertex"), "left").select("key", F.coalesce("root", "rep").alias("component_id"))
     joined = linkable.select("doc_id", "n", "key").join(named, "key")
     alone = rows.where("not (n > 0 and doc_id is not null)").select("doc_id", "n", "key", F.col("doc_id").alias("component_id"))
