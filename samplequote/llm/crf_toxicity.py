@@ -32,6 +32,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -298,11 +299,10 @@ def score_toxicity(docs: DataFrame, model: Field, id_col: str = "doc_id", text_c
 
 def score_column(model: Field, spark):
     """A pandas UDF of a text column: the document score."""
-    import pandas as pd
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(parts: "Iterator[pd.Series]") -> "Iterator[pd.Series]":
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memo = Emissions(shared.value)
         for texts in parts:
             yield pd.Series(tag_batch(texts.fillna("").tolist(), memo, spans=False)[0])

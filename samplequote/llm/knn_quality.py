@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -149,11 +150,10 @@ def score_quality(docs: DataFrame, model: Neighbours, id_col: str = "doc_id", te
 
 def score_column(model: Neighbours, spark):
     """A pandas UDF of a text column: the document score."""
-    import pandas as pd
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(parts: "Iterator[pd.Series]") -> "Iterator[pd.Series]":
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         shapes = Shapes()
         for texts in parts:
             rows = texts.fillna("").tolist()
