@@ -8,8 +8,10 @@ A scorer is one of
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,14 +38,22 @@ def constant_scorers(value: float = 0.0) -> dict[str, Column]:
     return {k: F.lit(float(value)) for k in SCORE_NAMES}
 
 
-def needs_column(scorers: Mapping[str, object], name: str) -> bool:
-    """Whether any scorer may read column ``name`` (callables and models are
-    assumed to)."""
+def count_scorers() -> dict[str, Column]:
+    """The stand-in models with a CR that reads the per-country count."""
+    return {**demo_scorers(), "cr": F.col("feaNumberOfAudienceCountryA3") * 0.25}
+
+
+def needs_column(scorers: Mapping[str, object], name: str, features: DataFrame) -> bool:
+    """Whether any scorer may read column ``name`` of the feature frame: all but
+    Columns that resolve without it (names as Spark compares them) and do not
+    expand a star. Callables and models are taken to read it."""
+    without = features.drop(name)
     for s in scorers.values():
-        if isinstance(s, Column):
-            if name in str(s):
-                return True
-        else:
+        if not isinstance(s, Column) or re.search(r"unresolvedstar|\*(?!\()", str(s)):
+            return True
+        try:
+            without.select(s).schema
+        except AnalysisException:
             return True
     return False
 
@@ -57,7 +67,9 @@ def apply_scorers(df: DataFrame, scorers: Mapping[str, object]) -> DataFrame:
             out = out.withColumn(RAW[name], s)
         elif isinstance(s, tuple):
             model, col = s
-            out = model.transform(out).withColumnRenamed(col, RAW[name])
+            # the model's intermediate columns go, so the next model may use their names
+            made = model.transform(out).withColumnRenamed(col, RAW[name])
+            out = made.select(*out.columns, RAW[name])
         else:
             out = out.withColumn(RAW[name], s(out))
     return out

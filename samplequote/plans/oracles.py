@@ -65,25 +65,26 @@ fx_audience AS (
   SELECT l_orderkey AS proposal_id,
          'P-' || CAST(l_orderkey AS VARCHAR) AS proposal_uuid,
          'Proposal ' || CAST(l_orderkey AS VARCHAR) AS proposal_name,
-         CAST(1 + l_linenumber % 3 AS INTEGER) AS revision_number,
+         CAST(1 + o_orderkey % 3 AS INTEGER) AS revision_number,
          strftime(o_orderdate, '%Y-%m') AS pricing_formula,
-         p_brand AS brand,
-         CAST(5 + l_partkey % 26 AS INTEGER) AS proposed_fieldwork_length,
+         'Brand#' || CAST(1 + o_custkey % 25 AS VARCHAR) AS brand,
+         CAST(5 + o_custkey % 26 AS INTEGER) AS proposed_fieldwork_length,
          strftime(o_orderdate, '%m/%d/%Y') AS fieldwork_start_date,
-         strftime(l_shipdate, '%m/%d/%Y') AS fieldwork_end_date,
+         strftime(CAST(o_orderdate AS DATE) + 30, '%m/%d/%Y') AS fieldwork_end_date,
          o_orderpriority AS service_type,
-         p_type AS project_type,
+         CASE o_orderkey % 6 WHEN 0 THEN 'MEDIUM' WHEN 1 THEN 'PROMO' WHEN 2 THEN 'ECONOMY' WHEN 3 THEN 'STANDARD'
+              WHEN 4 THEN 'LARGE' ELSE 'SMALL' END AS project_type,
          o_orderpriority = '1-URGENT' AS rush_job,
          CAST(1 + o_orderkey % 5 AS INTEGER) AS proposal_strategic_index,
          CAST(1 + o_custkey % 5 AS INTEGER) AS competitive_intensity_index,
-         CASE l_returnflag WHEN 'A' THEN 'USD' WHEN 'N' THEN 'EUR' ELSE 'JPY' END AS currency_code,
-         l_extendedprice AS total_price,
-         abs(l_discount) * {dbl(100)} AS incentives_costs,
-         abs(l_tax) * {dbl(100)} AS panel_partner_costs,
-         l_quantity AS labor_costs,
+         CASE o_orderstatus WHEN 'F' THEN 'USD' WHEN 'O' THEN 'EUR' ELSE 'JPY' END AS currency_code,
+         o_totalprice AS total_price,
+         CAST(o_orderkey % 10 AS DOUBLE) * {dbl(1.5)} AS incentives_costs,
+         CAST(o_custkey % 8 AS DOUBLE) AS panel_partner_costs,
+         CAST(o_orderkey % 50 AS DOUBLE) AS labor_costs,
          {dbl(0)} AS translations_costs,
          {dbl(0)} AS other_costs,
-         p_retailprice AS panel_investment_costs,
+         CAST(o_custkey % 100 AS DOUBLE) AS panel_investment_costs,
          'C-' || CAST(c_custkey AS VARCHAR) AS account_uuid,
          c_name AS account_name,
          CAST(1 + c_nationkey % 5 AS INTEGER) AS client_strategic_index,

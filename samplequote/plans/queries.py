@@ -20,16 +20,16 @@ from ..operators.adjudicate import adjudicate, adjudication_inputs, floor_indice
 from ..operators.currency import latest_rates
 from ..operators.features import COUNTRY_COUNT, FEATURE_COLUMNS, country_counts, with_features
 from ..operators.flatten import explode_audiences, explode_countries, flatten_request
-from ..operators.scoring import apply_scorers, clamp_scores, constant_scorers, demo_scorers, score_cast
+from ..operators.scoring import apply_scorers, clamp_scores, count_scorers, demo_scorers, score_cast
 from ..params import DEFAULT_PARAMS, VALID_COMPANIES, QuoteParams
 from ..schemas import (FACTOR_KEYS, FACTOR_NUMERIC, FLAT_REQUEST_COLUMNS, PRICE_FACTORS_SCHEMA,
                        PROPOSAL_FIELDS, COST_RENAMES, ACCOUNT_RENAMES)
 from ..session import ensure_checkpoint_dir, staging_path
 from ..sources import fixtures as fx
-from ..sources.requests import nest_requests, read_requests, request_json, write_requests
+from ..sources.requests import nest_requests, parse_requests, read_requests, request_json, write_requests
 from ..sources.sinks import quote_json
 from ..sources.staging import create_namespace, read_lookup_csv, stage_lookup, write_lookup_csv
-from ..sources.tables import Tables
+from ..sources.tables import Tables, stamp
 from . import oracles as o
 from .quote import band_rows, local_rows, prepare_lookups, priced_rows, quote, scored_rows
 
@@ -50,11 +50,7 @@ class Ctx:
 
     @property
     def audience(self) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, id(self.spark), self.t.sf_dir,
-               _folder_stamp(self.t.sf_dir))
-        if key not in _AUDIENCE:
-            _AUDIENCE[key] = fx.fx_audience(self.t)
-        return _AUDIENCE[key]
+        return fx.fx_audience(self.t)
 
     @property
     def lookups(self):
@@ -70,20 +66,13 @@ class Ctx:
 
 
 _LOOKUPS: dict = {}
-_AUDIENCE: dict = {}
-
-
-def _folder_stamp(sf_dir: str):
-    import os
-    return tuple(sorted((f, os.path.getmtime(os.path.join(sf_dir, f)))
-                        for f in os.listdir(sf_dir))) if os.path.isdir(sf_dir) else ()
 
 
 def _lookups(spark: SparkSession, t: Tables, params: QuoteParams):
     """Lookups of one folder, prepared (and size-checked) once per session
     while the folder's files are unchanged."""
-    stamp = _folder_stamp(t.sf_dir)
-    key = (spark.sparkContext.applicationId, id(spark), t.sf_dir, stamp, params.max_broadcast_factors, params.max_broadcast_rates,
+    seen = stamp(spark, t.sf_dir)
+    key = (spark.sparkContext.applicationId, id(spark), t.sf_dir, seen, params.max_broadcast_factors, params.max_broadcast_rates,
            params.max_broadcast_commission)
     if key not in _LOOKUPS:
         _LOOKUPS[key] = prepare_lookups(fx.fx_price_factors(t), fx.fx_commission(t), fx.fx_rates(t), params)
@@ -131,7 +120,7 @@ def _request_files(c: Ctx) -> str:
     """Request documents of a folder written once (JSON lines in the shared
     staging folder) and read by the scan and stream queries, like a landing
     folder of incoming requests."""
-    key = (c.spark.sparkContext.applicationId, id(c.spark), c.t.sf_dir, _folder_stamp(c.t.sf_dir))
+    key = (c.spark.sparkContext.applicationId, id(c.spark), c.t.sf_dir, stamp(c.spark, c.t.sf_dir))
     if key not in _REQUEST_FILES:
         _REQUEST_FILES[key] = write_requests(_nested(c), staging_path(c.spark, "requests"))
     return _REQUEST_FILES[key]
@@ -163,7 +152,9 @@ def q_explode_audiences(spark, sf_dir):
 
 
 def q_request_json(spark, sf_dir):
-    return request_json(_nested(_ctx(spark, sf_dir)))
+    """Request documents written as JSON text and parsed back: typed columns to compare."""
+    texts = request_json(_nested(_ctx(spark, sf_dir)))
+    return flatten_request(parse_requests(texts, "json")).select(*FLAT_REQUEST_COLUMNS)
 
 
 # --- features and scores ------------------------------------------------------
@@ -190,7 +181,7 @@ def q_clamp_scores(spark, sf_dir):
 
 def q_score_responses(spark, sf_dir):
     c = _ctx(spark, sf_dir)
-    return c.scored(constant_scorers(0.0)).select(*KEYS, "Athena_IR", "Athena_CR", "Athena_LOI")
+    return c.scored(count_scorers()).select(*KEYS, "Athena_IR", "Athena_CR", "Athena_LOI")
 
 
 # --- pricing ------------------------------------------------------------------
@@ -292,13 +283,15 @@ def q_missing_factors(spark, sf_dir):
 
 
 def q_duplicate_factors(spark, sf_dir):
-    return pr.duplicate_factors(fx.fx_price_factors(Tables(spark, sf_dir)))
+    factors = fx.fx_price_factors(Tables(spark, sf_dir))
+    return pr.duplicate_factors(factors.unionByName(factors.where("LOI = '5' AND BrandID = 'Brand#1'")))
 
 
 def q_company_validity(spark, sf_dir):
     a = _ctx(spark, sf_dir).audience
-    return a.select(*KEYS, F.col("account_company_number").alias("company"),
-                    pr.company_valid("account_company_number").alias("company_valid"))
+    # account numbers over a range that holds some valid companies and some others
+    a = a.withColumn("company", (F.col("proposal_id") % 300).cast("string"))
+    return a.select(*KEYS, "company", pr.company_valid("company").alias("company_valid"))
 
 
 def q_fieldwork_inputs(spark, sf_dir):
@@ -321,12 +314,12 @@ USD_COLS = ("Fieldwork_Athena_CPI_USD", "Account_Athena_CPI_USD", "Fieldwork_Sol
 
 
 def q_four_way_cpi(spark, sf_dir):
-    p = _ctx(spark, sf_dir).priced()
+    p = _ctx(spark, sf_dir, NAMED).priced()
     return p.select(*KEYS, "fieldwork_company", *[F.col(v).alias(k) for k, v in FOUR_WAY_COLS.items()])
 
 
 def q_cpi_to_usd(spark, sf_dir):
-    return _ctx(spark, sf_dir).priced().select(*KEYS, "fieldwork_company", *USD_COLS)
+    return _ctx(spark, sf_dir, NAMED).priced().select(*KEYS, "fieldwork_company", *USD_COLS)
 
 
 # --- adjudication -------------------------------------------------------------
@@ -353,14 +346,14 @@ def q_adjudicate(spark, sf_dir):
 
 
 def q_price_band(spark, sf_dir):
-    c = _ctx(spark, sf_dir)
-    return band_rows(c.priced()).select(*KEYS, "fieldwork_company", "HighPriceUSD", "LowPriceUSD",
+    c = _ctx(spark, sf_dir, BLEND)
+    return band_rows(c.priced(), BLEND).select(*KEYS, "fieldwork_company", "HighPriceUSD", "LowPriceUSD",
                                         "Strand2PriceUSD")
 
 
 def q_quote_local_currency(spark, sf_dir):
-    c = _ctx(spark, sf_dir)
-    rows = local_rows(band_rows(c.priced()), c.lookups)
+    c = _ctx(spark, sf_dir, BLEND)
+    rows = local_rows(band_rows(c.priced(), BLEND), c.lookups, BLEND)
     return rows.select(*KEYS, "fieldwork_company", "currency_code", "HighPrice", "LowPrice", "Strand2Price")
 
 
@@ -377,7 +370,11 @@ q_final_quote_blend = _final(BLEND)
 
 
 def q_quote_json(spark, sf_dir):
-    return quote_json(q_final_quote(spark, sf_dir))
+    """Quote records written as JSON text and parsed back, NULL prices included."""
+    final = q_final_quote(spark, sf_dir)
+    texts = quote_json(final)
+    text = next(c for c, kind in reversed(texts.dtypes) if kind == "string")
+    return texts.select(F.from_json(text, final.schema).alias("r")).select("r.*")
 
 
 def q_stream_quotes(spark, sf_dir):
@@ -440,8 +437,9 @@ nl AS (SELECT pin.*, {", ".join(f"f.{c} AS {c}" for c in FACTOR_NUMERIC)},
         "score_cast": o.pipeline_sql(d, "casted") + (
             f"SELECT {K}, Athena_IR_raw AS Athena_IR, Athena_CR, Athena_LOI_raw AS Athena_LOI FROM casted"),
         "clamp_scores": o.pipeline_sql(d, "scored") + f"SELECT {K}, Athena_IR, Athena_CR, Athena_LOI FROM scored",
-        "score_responses": o.with_fixtures() + (
-            f"SELECT {K}, 2 AS Athena_IR, 0 AS Athena_CR, 1 AS Athena_LOI FROM fx_audience"),
+        "score_responses": o.pipeline_sql(d, "scored") + (
+            f"SELECT {K}, Athena_IR, CAST(25 * count(*) OVER (PARTITION BY proposal_country_code) AS INTEGER) "
+            "AS Athena_CR, Athena_LOI FROM scored"),
         "pricing_input": o.pipeline_sql(d, "pin") + (
             f"SELECT {K}, " + ", ".join(PRICING_INPUT_COLS) + " FROM pin"),
         "factor_cast": o.with_fixtures() + f"SELECT {pf_cols} FROM pf",
@@ -473,19 +471,20 @@ nl AS (SELECT pin.*, {", ".join(f"f.{c} AS {c}" for c in FACTOR_NUMERIC)},
             f"SELECT {K}, company, brand, product, CAST(modelled_bucket AS VARCHAR) AS loi_key "
             f"FROM pin {o.join_on('f', 'company', 'modelled_bucket')} WHERE f.RegionID IS NULL"),
         "duplicate_factors": o.with_fixtures() + (
-            "SELECT " + ", ".join(FACTOR_KEYS) + ", count(*) AS n_rows FROM fx_price_factors GROUP BY "
+            "SELECT " + ", ".join(FACTOR_KEYS) + ", count(*) AS n_rows FROM (SELECT * FROM fx_price_factors UNION ALL SELECT * FROM fx_price_factors "
+            "WHERE LOI = '5' AND BrandID = 'Brand#1') GROUP BY "
             + ", ".join(FACTOR_KEYS) + " HAVING count(*) > 1"),
         "company_validity": o.with_fixtures() + (
-            f"SELECT {K}, account_company_number AS company, account_company_number IN ("
+            f"SELECT {K}, CAST(proposal_id % 300 AS VARCHAR) AS company, CAST(proposal_id % 300 AS VARCHAR) IN ("
             + ", ".join(f"'{v}'" for v in VALID_COMPANIES)
             + ") AS company_valid FROM fx_audience"),
         "fieldwork_inputs": o.pipeline_sql(d, "pin") + (
             f"SELECT {K}, c.Company AS company, brand, product, modelled_loi, modelled_jobIr, sold_loi, "
             "sold_jobIr FROM pin JOIN fx_commission c ON proposal_country_code = c.Audience_Country_A3"),
-        "four_way_cpi": o.pipeline_sql(d, "usd") + (
+        "four_way_cpi": o.pipeline_sql(n, "usd") + (
             f"SELECT {K}, fieldwork_company, " + ", ".join(f"{v} AS {k}" for k, v in FOUR_WAY_COLS.items())
             + " FROM usd"),
-        "cpi_to_usd": o.pipeline_sql(d, "usd") + f"SELECT {K}, fieldwork_company, " + ", ".join(USD_COLS)
+        "cpi_to_usd": o.pipeline_sql(n, "usd") + f"SELECT {K}, fieldwork_company, " + ", ".join(USD_COLS)
         + " FROM usd",
         "reference_prices": o.pipeline_sql(d, "band") + (
             f"SELECT {K}, fieldwork_company, P2, P1, LOI1, LOI2, IR1, IR2 FROM adj_in"),
@@ -496,13 +495,15 @@ nl AS (SELECT pin.*, {", ".join(f"f.{c} AS {c}" for c in FACTOR_NUMERIC)},
                              ("competitive_intensity_index", "CII"))) + " FROM fx_audience"),
         "adjudicate": o.pipeline_sql(b, "band") + (
             f"SELECT {K}, fieldwork_company, " + ", ".join(ADJ_COLS) + " FROM adj"),
-        "price_band": o.pipeline_sql(d, "band") + (
+        "price_band": o.pipeline_sql(b, "band") + (
             f"SELECT {K}, fieldwork_company, HighPriceUSD, LowPriceUSD, Strand2PriceUSD FROM band"),
-        "quote_local_currency": o.pipeline_sql(d, "loc") + (
+        "quote_local_currency": o.pipeline_sql(b, "loc") + (
             f"SELECT {K}, fieldwork_company, currency_code, HighPrice, LowPrice, Strand2Price FROM loc"),
         "final_quote": o.pipeline_sql(d, "loc") + f"SELECT {final_cols} FROM loc",
         "final_quote_named": o.pipeline_sql(n, "loc") + f"SELECT {final_cols} FROM loc",
         "final_quote_blend": o.pipeline_sql(b, "loc") + f"SELECT {final_cols} FROM loc",
+        "request_json": o.with_fixtures() + f"SELECT {flat_cols} FROM fx_audience",
+        "quote_json": o.pipeline_sql(d, "loc") + f"SELECT {final_cols} FROM loc",
         "stream_quotes": o.pipeline_sql(d, "loc") + f"SELECT {final_cols} FROM loc",
     }
 

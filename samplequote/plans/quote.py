@@ -76,7 +76,7 @@ def scored_rows(flat: DataFrame, scorers: Mapping[str, object],
 
     ``keep=None`` keeps every flat column; a sequence keeps only the columns
     the quote plan needs plus ``keep``, so later stages carry narrow rows."""
-    scope = params.country_count_scope if needs_column(scorers, COUNTRY_COUNT) else None
+    scope = params.country_count_scope if needs_column(scorers, COUNTRY_COUNT, with_features(flat, None, params)) else None
     feats = with_features(flat, scope, params)
     scored = score(feats, scorers, params)
     drop = [dst for src, dst in FEATURE_RENAMES.items() if src != dst]

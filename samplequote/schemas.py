@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# Nested pricing request: proposal -> countries -> audiences.
+# Nested pricing request: proposal -> countries -> audiences. A proposal too large
+# for one document comes in ``page_count`` pages; ``country_audiences`` counts a
+# country's audiences over all of them. Both are NULL in documents of others.
 REQUEST_DDL = (
     "proposal_id bigint, proposal_uuid string, proposal_name string, revision_number int, "
     "pricing_formula string, brand string, proposed_fieldwork_length int, "
@@ -16,7 +18,8 @@ REQUEST_DDL = (
     "account struct<account_uuid:string,account_name:string,client_strategic_index:int,"
     "client_segment:string,country_code:string,company_number:string,"
     "maconomy_number:string,preferred_currency:string>, "
-    "countries array<struct<country_code:string,audiences:array<struct<audience_uuid:string,"
+    "page_no int, page_count int, "
+    "countries array<struct<country_code:string,country_audiences:bigint,audiences:array<struct<audience_uuid:string,"
     "audience_name:string,completes:int,incidence_rate:int,length_of_interview:int,"
     "panel_source:string,panelist_type:string,sampling_complexity:string,"
     "audience_complexity_index:int,waves:int>>>>"

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.broadcast import bounded_broadcast
-from .tables import Tables, spread_small
+from .tables import Tables, spread
 
 # --- Fixed values of the fixtures ------------------------------------------------
 EXCLUDED_FIELDWORK_COUNTRY = "NATION_7"      # no commission row: audiences stay unpriced
@@ -107,7 +107,7 @@ def fx_audience(t: Tables) -> DataFrame:
     ac = nation.select(F.col("n_nationkey").alias("ac_key"), F.col("n_name").alias("ac_name"),
                        F.col("n_regionkey").alias("ac_region"))
     fw = nation.select(F.col("n_nationkey").alias("fw_key"), F.col("n_name").alias("fw_name"))
-    lines = spread_small(t.lineitem, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    lines = spread(t.lineitem, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
     j = (lines
          .join(t.orders, F.expr("l_orderkey = o_orderkey"))
          .join(t.customer, F.expr("o_custkey = c_custkey"))
@@ -119,29 +119,32 @@ def fx_audience(t: Tables) -> DataFrame:
 
 
 # Flat request row per line item, as SQL expressions (one call into the JVM).
+# Proposal fields come from the order and its customer only, so an order is one
+# document with the countries and audiences of its lines.
 AUDIENCE_COLUMNS = (
     "l_orderkey AS proposal_id",
     "concat('P-', CAST(l_orderkey AS STRING)) AS proposal_uuid",
     "concat('Proposal ', CAST(l_orderkey AS STRING)) AS proposal_name",
-    "CAST(1 + l_linenumber % 3 AS INT) AS revision_number",
+    "CAST(1 + o_orderkey % 3 AS INT) AS revision_number",
     "date_format(o_orderdate, 'yyyy-MM') AS pricing_formula",
-    "p_brand AS brand",
-    "CAST(5 + l_partkey % 26 AS INT) AS proposed_fieldwork_length",
+    "concat('Brand#', CAST(1 + o_custkey % 25 AS STRING)) AS brand",
+    "CAST(5 + o_custkey % 26 AS INT) AS proposed_fieldwork_length",
     "date_format(o_orderdate, 'MM/dd/yyyy') AS fieldwork_start_date",
-    "date_format(l_shipdate, 'MM/dd/yyyy') AS fieldwork_end_date",
+    "date_format(date_add(o_orderdate, 30), 'MM/dd/yyyy') AS fieldwork_end_date",
     "o_orderpriority AS service_type",
-    "p_type AS project_type",
+    "CASE o_orderkey % 6 WHEN 0 THEN 'MEDIUM' WHEN 1 THEN 'PROMO' WHEN 2 THEN 'ECONOMY' WHEN 3 THEN 'STANDARD' "
+    "WHEN 4 THEN 'LARGE' ELSE 'SMALL' END AS project_type",
     "o_orderpriority = '1-URGENT' AS rush_job",
     "CAST(1 + o_orderkey % 5 AS INT) AS proposal_strategic_index",
     "CAST(1 + o_custkey % 5 AS INT) AS competitive_intensity_index",
-    "CASE WHEN l_returnflag = 'A' THEN 'USD' WHEN l_returnflag = 'N' THEN 'EUR' ELSE 'JPY' END AS currency_code",
-    "l_extendedprice AS total_price",
-    "abs(l_discount) * 100 AS incentives_costs",
-    "abs(l_tax) * 100 AS panel_partner_costs",
-    "l_quantity AS labor_costs",
+    "CASE WHEN o_orderstatus = 'F' THEN 'USD' WHEN o_orderstatus = 'O' THEN 'EUR' ELSE 'JPY' END AS currency_code",
+    "o_totalprice AS total_price",
+    "CAST(o_orderkey % 10 AS DOUBLE) * 1.5D AS incentives_costs",
+    "CAST(o_custkey % 8 AS DOUBLE) AS panel_partner_costs",
+    "CAST(o_orderkey % 50 AS DOUBLE) AS labor_costs",
     "0.0D AS translations_costs",
     "0.0D AS other_costs",
-    "p_retailprice AS panel_investment_costs",
+    "CAST(o_custkey % 100 AS DOUBLE) AS panel_investment_costs",
     "concat('C-', CAST(c_custkey AS STRING)) AS account_uuid",
     "c_name AS account_name",
     "CAST(1 + c_nationkey % 5 AS INT) AS client_strategic_index",

@@ -5,7 +5,9 @@ arbitrarily large (one may hold a third of all rows), so documents are cut
 into pages of about ``page_size`` audiences: a per-proposal count (partial
 aggregation, tiny shuffle) decides how many pages a proposal gets, and each
 audience goes to a page by hash. No group larger than a page is ever
-collected into one task.
+collected into one task. Each page says which of how many it is, and each of its
+countries how many audiences the whole proposal has there, so that nothing
+computed from a page depends on the page size.
 """
 
 from __future__ import annotations
@@ -46,23 +48,25 @@ def nest_requests(flat: DataFrame, page_size: int = DEFAULT_PAGE_SIZE) -> DataFr
     country_col = list(COUNTRY_RENAMES.values())[0]
     audience = F.struct(*[F.col(v).alias(k) for k, v in AUDIENCE_RENAMES.items()]).alias("aud")
     rows = flat.select(*PROPOSAL_FIELDS, costs, account, F.col(country_col).alias("_country"), audience)
-    rows = rows.withColumn("_doc", F.xxhash64(*doc_fields))
-    sizes = rows.groupBy("_doc").agg(F.count(F.lit(1)).alias("_n"))
-    pages = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(page_size)))
-    rows = (rows.join(sizes, "_doc")
-            .withColumn("_page", F.pmod(F.xxhash64("aud", "_country"), pages.cast("bigint")))
-            .drop("_n"))
+    rows = rows.withColumn("_doc", F.xxhash64(*doc_fields)).withColumn("_dc", F.xxhash64("_doc", "_country"))
+    # per (proposal, country) counts by partial aggregation, summed per proposal: narrow tables
+    counts = rows.groupBy("_doc", "_dc").agg(F.count(F.lit(1)).alias("_cc"))
+    sizes = counts.groupBy("_doc").agg(F.sum("_cc").alias("_n"))
+    pages = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(page_size))).cast("int")
+    counts = counts.join(sizes, "_doc").select("_dc", "_cc", pages.alias("page_count"))
+    rows = rows.join(counts, "_dc").withColumn("page_no", F.pmod(F.xxhash64("aud", "_country"), F.col("page_count")).cast("int"))
     # One aggregation per page; countries are then formed inside the page
     # (at most about page_size audiences) with array functions.
-    items = (rows.groupBy("_doc", "_page", *doc_fields)
-             .agg(F.collect_list(F.struct(F.col("_country").alias("c"), F.col("aud").alias("a")))
-                  .alias("_items")))
-    codes = F.array_sort(F.array_distinct(F.transform("_items", lambda x: x["c"])))
+    keys = [*doc_fields, "page_no", "page_count"]
+    items = (rows.groupBy("_doc", *keys)
+             .agg(F.collect_list(F.struct(F.col("_country").alias("c"), F.col("_cc").alias("n"),
+                                          F.col("aud").alias("a"))).alias("_items")))
+    codes = F.array_sort(F.array_distinct(F.transform("_items", lambda x: F.struct(x["c"].alias("c"), x["n"].alias("n")))))
     countries = F.transform(codes, lambda code: F.struct(
-        code.alias("country_code"),
-        F.array_sort(F.transform(F.filter("_items", lambda x: x["c"].eqNullSafe(code)),
+        code["c"].alias("country_code"), code["n"].alias("country_audiences"),
+        F.array_sort(F.transform(F.filter("_items", lambda x: x["c"].eqNullSafe(code["c"])),
                                  lambda x: x["a"])).alias("audiences")))
-    return items.select(*doc_fields, countries.alias("countries"))
+    return items.select(*keys, countries.alias("countries"))
 
 
 def request_json(requests: DataFrame) -> DataFrame:
@@ -74,9 +78,9 @@ def request_json(requests: DataFrame) -> DataFrame:
 
 
 def write_requests(requests: DataFrame, path: str, mode: str = "errorifexists",
-                   compression: str = "gzip") -> str:
-    """Write request documents as JSON lines (NULLs kept), compressed; the
-    readers (batch and stream) decompress by file extension."""
+                   compression: str = "gzip", file_rows: int = 20_000) -> str:
+    """Write request documents as JSON lines (NULLs kept), compressed, at most
+    ``file_rows`` documents to a file (a gzip file is read by one task)."""
     (requests.write.mode(mode).option("ignoreNullFields", "false")
-     .option("compression", compression).json(path))
+     .option("compression", compression).option("maxRecordsPerFile", file_rows).json(path))
     return path

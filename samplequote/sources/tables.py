@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -12,39 +10,32 @@ TABLES = (
 )
 
 
-_SCANS: dict = {}
-
-
-def _stamp(path: str):
-    """Modification time of a local path (None for remote paths)."""
-    return os.path.getmtime(path) if os.path.exists(path) else None
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy parquet scan; Catalyst prunes columns and pushes filters into it.
-    The scan handle (file listing, footer schema) is reused within a session
-    while the file is unchanged."""
+    """Lazy parquet scan; Catalyst prunes columns and pushes filters into it."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, id(spark), path, _stamp(path))
-    if key not in _SCANS:
-        _SCANS[key] = spark.read.parquet(path)
-    return _SCANS[key]
-
-
-def spread_small(df: DataFrame, keys) -> DataFrame:
-    """Hash-spread an input that has fewer partitions than the session has
-    task slots (a small file, or one large row group that only one task can
-    read), so downstream map-only work uses every core. Large inputs already
-    have at least as many splits and are returned unchanged: no shuffle is
-    added at scale. Hashing on the full row key keeps a hot key from landing
-    in one task and is deterministic, so a re-run task after executor loss
-    reads the same rows."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
-        return df
-    return df.repartition(slots, *keys)
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def stamp(spark: SparkSession, path: str) -> tuple:
+    """(length, modification time) of the files below ``path``, through the file
+    system that Spark reads it with."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, files = [], fs.listFiles(p, True)
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
+def spread(df: DataFrame, keys) -> DataFrame:
+    """``df`` dealt over as many partitions as the session asks for in
+    ``spark.samplequote.inputPartitions`` by a hash of the full row key, and
+    unchanged when it asks for none (the default). For inputs of a few large
+    row groups on a small machine."""
+    n = int(df.sparkSession.conf.get("spark.samplequote.inputPartitions", "0"))
+    return df.repartition(n, *keys) if n else df
 
 
 class Tables:

@@ -14,7 +14,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.features import COUNTRY_COUNT
+from ..operators.features import COUNTRY_COUNT, with_features
 from ..operators.flatten import flatten_request
 from ..operators.scoring import needs_column
 from ..params import DEFAULT_PARAMS, QuoteParams
@@ -23,13 +23,14 @@ from ..schemas import REQUEST_DDL
 
 
 def country_counts_in_request(countries: Column) -> Column:
-    """For each country entry, the number of audiences the request holds
-    under the same country code (array functions only: no shuffle)."""
+    """For each country entry, the number of audiences of its country: over the
+    whole proposal where the entry carries it (pages), else as held by the
+    request (array functions only: no shuffle)."""
     def count_for(c):
         same = F.filter(countries, lambda x: x["country_code"] == c["country_code"])
         return F.aggregate(same, F.lit(0).cast("bigint"),
                            lambda acc, x: acc + F.coalesce(F.size(x["audiences"]), F.lit(0)).cast("bigint"))
-    return F.transform(countries, lambda c: c.withField(COUNTRY_COUNT, count_for(c)))
+    return F.transform(countries, lambda c: c.withField(COUNTRY_COUNT, F.coalesce(c["country_audiences"], count_for(c))))
 
 
 def read_request_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -44,13 +45,17 @@ def quote_stream(requests: DataFrame, lookups: Lookups, scorers: Mapping[str, ob
     """Streaming (or batch) requests -> quote rows. When a scorer reads the
     per-country count, it is computed within each request document before
     flattening (a batch-wide window is not available on a stream)."""
-    if params.country_count_scope is not None and needs_column(scorers, COUNTRY_COUNT):
+    if params.country_count_scope is not None and needs_column(scorers, COUNTRY_COUNT, _features(requests)):
         counted = requests.withColumn("countries", country_counts_in_request(F.col("countries")))
         flat = flatten_request(counted, country_extra=(COUNTRY_COUNT,))
         return quote(flat, lookups, scorers, replace(params, country_count_scope="given"))
     return quote(flatten_request(requests), lookups, scorers, replace(params, country_count_scope=None))
 
 
+def _features(requests: DataFrame) -> DataFrame:
+    return with_features(flatten_request(requests), None)
+
+
 def stream_quotes_to_table(spark: SparkSession, requests_path: str, lookups: Lookups,
                            scorers: Mapping[str, object], params: QuoteParams, out_path: str,
                            max_files: int | None = None) -> str:

@@ -15,7 +15,7 @@ def con():
     return duck(SF_SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(e.queries()))
+@pytest.mark.parametrize("name", sorted(set(e.queries()) - set(e._LLM_QUERIES)))
 def test_query_matches_oracle(spark, con, name):
     df = e.queries()[name](spark, SF_SMALL)
     rows = [tuple(r) for r in df.collect()]

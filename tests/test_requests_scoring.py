@@ -240,13 +240,15 @@ def test_refreshing_stream_reads_lookups_per_batch(spark):
     assert out.count() == 4 and "epoch" in out.columns
 
 
-def test_spread_small_only_spreads_small_inputs(spark):
-    from samplequote.sources.tables import spread_small
-    slots = spark.sparkContext.defaultParallelism
-    small = spark.range(0, 100, 1, 1)
-    assert spread_small(small, ["id"]).rdd.getNumPartitions() == slots
-    large = spark.range(0, 1000, 1, slots * 2)
-    assert spread_small(large, ["id"]) is large  # enough splits: unchanged, no shuffle
+def test_input_is_dealt_only_when_the_session_asks(spark):
+    from samplequote.sources.tables import spread
+    df = spark.range(0, 100, 1, 1)
+    assert spread(df, ["id"]) is df
+    spark.conf.set("spark.samplequote.inputPartitions", "3")
+    try:
+        assert spread(df, ["id"]).rdd.getNumPartitions() == 3
+    finally:
+        spark.conf.unset("spark.samplequote.inputPartitions")
 
 
 def test_hot_proposal_is_paged_not_collected_whole(spark):
@@ -261,3 +263,60 @@ def test_hot_proposal_is_paged_not_collected_whole(spark):
     assert sum(sizes) == 3000                      # every audience kept
     assert 20 <= len(sizes) <= 30                  # about ceil(3000 / 100) pages
     assert max(sizes) <= 200                       # no document near the whole proposal
+    pages = docs.select("page_no", "page_count").collect()
+    assert {r.page_count for r in pages} == {30} and len({r.page_no for r in pages}) == len(pages)
+    # the country count is the proposal's, whatever the page size
+    counted = docs.withColumn("countries", country_counts_in_request(F.col("countries")))
+    counts = counted.select(F.explode("countries").alias("c")).select(f"c.{COUNTRY_COUNT}").distinct().collect()
+    assert [r[0] for r in counts] == [3000]
+    batch = with_country_count(hot, "proposal").select(COUNTRY_COUNT).distinct().collect()
+    assert [r[0] for r in batch] == [3000]
+
+
+def test_scorers_get_the_count_however_they_name_it(spark):
+    from samplequote.operators.scoring import demo_scorers, needs_column
+    from samplequote.operators.features import with_features
+    feats = with_features(flatten_request(sample_requests(spark, [SAMPLE])), None)
+    assert not needs_column(demo_scorers(), COUNTRY_COUNT, feats)
+    for c in (F.col(COUNTRY_COUNT.lower()) * 1.0, F.expr(f"`{COUNTRY_COUNT}` + 1"), F.size(F.array(F.struct("*")))):
+        assert needs_column({**demo_scorers(), "ir": c}, COUNTRY_COUNT, feats)
+    assert needs_column({**demo_scorers(), "ir": lambda df: F.lit(1.0)}, COUNTRY_COUNT, feats)
+
+
+def test_three_fitted_pipelines_with_equal_column_names(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    from samplequote.operators.features import with_features
+    from samplequote.operators.scoring import apply_scorers
+    feats = with_features(flatten_request(sample_requests(spark, [SAMPLE])), "batch")
+    train = feats.withColumn("label", F.col("SoldLOI") * 2.0)
+    models = {}
+    for name, col in (("ir", "PrmWeightedIR_1"), ("cr", COUNTRY_COUNT), ("loi", "SoldLOI")):
+        model = Pipeline(stages=[VectorAssembler(inputCols=[col], outputCol="features"),
+                                 LinearRegression(labelCol="label")]).fit(train)
+        models[name] = (model, "prediction")
+    rows = apply_scorers(feats, models).select("_ir_score", "_cr_score", "_loi_score", "SoldLOI").collect()
+    assert len(rows) == 4 and all(abs(r._loi_score - 2 * r.SoldLOI) < 1e-6 for r in rows)
+
+
+def test_documents_hold_several_countries_and_audiences(spark):
+    from samplequote.plans import queries as q
+    countries = q.q_explode_countries(spark, SF_SMALL)
+    n = countries.count()
+    assert n < q.q_explode_audiences(spark, SF_SMALL).count()
+    assert countries.where("n_audiences > 1").count() > 10
+    assert countries.groupBy("proposal_id").count().where("count > 1").count() > 100
+
+
+@pytest.mark.parametrize("name, column", [("company_validity", "company_valid"), ("duplicate_factors", "LOI"),
+                                          ("score_responses", "Athena_CR"), ("four_way_cpi", "Account_Athena_CPI")])
+def test_rows_that_could_fail(spark, name, column):
+    from samplequote.plans import queries as q
+    got = q.QUERIES[name](spark, SF_SMALL).select(column).distinct().limit(2).count()
+    assert got >= (1 if name == "duplicate_factors" else 2)
+
+
+def test_price_band_is_a_band(spark):
+    from samplequote.plans import queries as q
+    assert q.q_price_band(spark, SF_SMALL).where("HighPriceUSD > LowPriceUSD").count() > 0
