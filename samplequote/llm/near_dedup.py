@@ -46,6 +46,8 @@ from .common import documents, group_bounds, runs, stored, text_of
 from .components import connected_components
 
 COORDINATES, TREES, NODE, DEPTH = 128, 16, 96, 6
+#: Sets of a large node join the star of its smallest one down to this much below the threshold.
+STAR_SLACK = 0.3
 CLUSTER_ROWS, CLUSTER_CHARS = 6000, 24 << 20
 #: Sets of a large cluster that one task compares, and sets chosen per round.
 BLOCK, CHOSEN = 2000, 24
@@ -174,9 +176,9 @@ def _similar_stars(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def _against_top(rows: DataFrame, threshold: float) -> DataFrame:
-    """node, rep, n, sketch, top, near: each set of a node beside the node's smallest one."""
-    least = threshold - 4.2 * math.sqrt(threshold * (1 - threshold) / COORDINATES)
-    tops = rows.groupBy("node").agg(F.min(F.struct("rep", "n", "sketch")).alias("t"))
+    """node, rep, n, sketch, top, agree, near: each set of a node beside the node's smallest one."""
+    least = threshold - STAR_SLACK
+    tops = stored(rows.groupBy("node").agg(F.min(F.struct("rep", "n", "sketch")).alias("t")), "tops")
     paired = rows.join(tops, "node").select("node", "rep", "n", "sketch", F.col("t.rep").alias("top"),
                                             F.col("t.n").alias("top_n"), F.col("t.sketch").alias("top_sketch"))
 
@@ -184,10 +186,11 @@ def _against_top(rows: DataFrame, threshold: float) -> DataFrame:
         for b in batches:
             own, top = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, COORDINATES) for i in (3, 6))
             n, m = b.column(2).to_numpy(), b.column(5).to_numpy()
-            near = ((own == top).mean(axis=1) >= least) & (np.minimum(n, m) >= threshold * np.maximum(n, m))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(near)],
-                                             names=["node", "rep", "n", "sketch", "top", "near"])
-    return paired.mapInArrow(run, "node long, rep long, n int, sketch binary, top long, near boolean")
+            agree = (own == top).mean(axis=1)
+            near = (agree >= least) & (np.minimum(n, m) >= least * np.maximum(n, m))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(agree), pa.array(near)],
+                                             names=["node", "rep", "n", "sketch", "top", "agree", "near"])
+    return paired.mapInArrow(run, "node long, rep long, n int, sketch binary, top long, agree double, near boolean")
 
 
 def _children(rows: DataFrame, threshold: float) -> DataFrame:
@@ -225,8 +228,12 @@ def cluster_edges(sets: DataFrame, threshold: float) -> DataFrame:
         # sets that look like the node's smallest one join its star; a node that is one star needs no branching
         beside = stored(_against_top(rows, threshold), "beside")
         edges = edges.unionByName(beside.where("near and rep <> top").select(F.col("rep").alias("a"), F.col("top").alias("b")))
-        mixed = beside.where("not near").select("node").distinct()
-        rows = stored(_children(beside.join(mixed, "node", "left_semi"), threshold).dropDuplicates(["node", "rep"]), "children")
+        # Jaccard distance is a metric: a set of the star can be linked to one outside it only if it is
+        # not much closer to the top than that one; the other sets of the star are gathered already
+        mixed = stored(beside.where("not near").groupBy("node").agg(F.max("agree").alias("outside")), "mixed")
+        reach = (1 - threshold) + 4.2 * math.sqrt(2 * threshold * (1 - threshold) / COORDINATES)
+        open_ = beside.join(mixed, "node").where(~F.col("near") | (F.col("agree") <= F.col("outside") + reach))
+        rows = stored(_children(open_, threshold).dropDuplicates(["node", "rep"]), "children")
         sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("top")).where("size > 1")
         grown = stored(rows.join(sizes, "node"), "sized-children")
         edges = edges.unionByName(stored(_similar_stars(grown.where(F.col("size") <= NODE), threshold), "similar"))
