@@ -345,7 +345,7 @@ def _search_large(rows: DataFrame, size: int, percent: int) -> DataFrame:
         if picked.isEmpty():
             break
         salts = state.select("cluster", "salt").distinct()
-        texts = picked.join(state.select("cluster", "rep", "text"), ["cluster", "rep"]).join(salts, "cluster")
+        texts = stored(picked.join(state.select("cluster", "rep", "text"), ["cluster", "rep"]).join(salts, "cluster"), "chosen-texts")
         found = stored(state.select("cluster", "salt", "rep", "text").groupBy("cluster", "salt").cogroup(texts.groupBy("cluster", "salt"))
                        .applyInArrow(compare, "a long, b long"), "confirmed")
         edges = found if edges is None else edges.unionByName(found)
