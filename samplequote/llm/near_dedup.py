@@ -46,8 +46,6 @@ from .common import documents, group_bounds, runs, stored, text_of
 from .components import connected_components
 
 COORDINATES, TREES, NODE, DEPTH = 128, 16, 96, 6
-#: Sets of a large node join the star of its smallest one down to this much below the threshold.
-STAR_SLACK = 0.3
 CLUSTER_ROWS, CLUSTER_CHARS = 6000, 24 << 20
 #: Sets of a large cluster that one task compares, and sets chosen per round.
 BLOCK, CHOSEN = 2000, 24
@@ -175,9 +173,18 @@ def _similar_stars(rows: DataFrame, threshold: float) -> DataFrame:
     return near.select("node", "rep", "n", "sketch").mapInArrow(run, "a long, b long")
 
 
+def _reach(threshold: float) -> float:
+    """How far apart two linked sets' sketch similarities to a third one can lie: Jaccard
+    distance is a metric, so by no more than the links' distance, plus 4.2 standard errors."""
+    return (1 - threshold) + 4.2 * math.sqrt(2 * threshold * (1 - threshold) / COORDINATES)
+
+
 def _against_top(rows: DataFrame, threshold: float) -> DataFrame:
-    """node, rep, n, sketch, top, agree, near: each set of a node beside the node's smallest one."""
-    least = threshold - STAR_SLACK
+    """node, rep, n, sketch, top, agree, near: each set of a node beside the node's smallest one.
+
+    The star goes down to the reach below the threshold, so that a set as similar
+    to the top as the threshold asks cannot be linked to one outside the star."""
+    least = threshold - _reach(threshold)
     tops = stored(rows.groupBy("node").agg(F.min(F.struct("rep", "n", "sketch")).alias("t")), "tops")
     paired = rows.join(tops, "node").select("node", "rep", "n", "sketch", F.col("t.rep").alias("top"),
                                             F.col("t.n").alias("top_n"), F.col("t.sketch").alias("top_sketch"))
@@ -228,11 +235,10 @@ def cluster_edges(sets: DataFrame, threshold: float) -> DataFrame:
         # sets that look like the node's smallest one join its star; a node that is one star needs no branching
         beside = stored(_against_top(rows, threshold), "beside")
         edges = edges.unionByName(beside.where("near and rep <> top").select(F.col("rep").alias("a"), F.col("top").alias("b")))
-        # Jaccard distance is a metric: a set of the star can be linked to one outside it only if it is
-        # not much closer to the top than that one; the other sets of the star are gathered already
+        # a set of the star can be linked to one outside it only if it is not much closer to the top than
+        # that one; the other sets of the star are gathered already
         mixed = stored(beside.where("not near").groupBy("node").agg(F.max("agree").alias("outside")), "mixed")
-        reach = (1 - threshold) + 4.2 * math.sqrt(2 * threshold * (1 - threshold) / COORDINATES)
-        open_ = beside.join(mixed, "node").where(~F.col("near") | (F.col("agree") <= F.col("outside") + reach))
+        open_ = beside.join(mixed, "node").where(~F.col("near") | (F.col("agree") <= F.col("outside") + _reach(threshold)))
         rows = stored(_children(open_, threshold).dropDuplicates(["node", "rep"]), "children")
         sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("top")).where("size > 1")
         grown = stored(rows.join(sizes, "node"), "sized-children")
