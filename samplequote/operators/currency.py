@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import to_double
-from .broadcast import row_count_at_most
+from .broadcast import fits_broadcast
 
 
 def latest_rates(rates: DataFrame, month_format: str | None = None,
@@ -31,7 +31,7 @@ def prepare_rates(latest: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     """(From_Currency, Rate) of the latest snapshot and whether it provably
     fits a broadcast."""
     lookup = latest.select("From_Currency", "Rate")
-    return lookup, row_count_at_most(lookup, max_rows)
+    return lookup, fits_broadcast(lookup, max_rows)
 
 
 def with_rate(df: DataFrame, rates: DataFrame, currency: str, rate_col: str,

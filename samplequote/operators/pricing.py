@@ -12,7 +12,10 @@ from ..functions.pricing import (loi_bucket, loi_key, q, sql_breakpoint_ir, sql_
 from ..params import DEFAULT_PARAMS, VALID_COMPANIES, QuoteParams
 from ..schemas import FACTOR_CURRENCY, FACTOR_KEYS, FACTOR_NUMERIC
 from ..plans.stages import stage
-from .broadcast import row_count_at_most
+from .broadcast import fits_broadcast
+
+#: Column of factors joined with the USD rate of their currency.
+USD_RATE = "usd_rate"
 
 # Pricer slots: (prefix, company column, inputs kind).
 QUOTE_SLOTS = (
@@ -87,7 +90,8 @@ def price(df: DataFrame, factors: DataFrame, fits: bool, prefix: str, company: s
     without a factor row keep NULL prices and status ``missing_factor``).
 
     Arguments name columns of ``df``. Adds ``{prefix}_cpi``, ``_ir_used``,
-    ``_loi_used``, ``_currency`` and ``_status``."""
+    ``_loi_used``, ``_currency`` and ``_status``, and ``_usd_rate`` where the
+    factors carry it."""
     p = prefix
     f = lambda name: q(f"_{p}_{name}")
     bucket = f"{p}_loi_bucket"
@@ -121,6 +125,7 @@ def price(df: DataFrame, factors: DataFrame, fits: bool, prefix: str, company: s
         f"CASE WHEN {hit} THEN {f(FACTOR_CURRENCY)} END AS {q(p + '_currency')}",
         f"CASE WHEN NOT ({hit}) THEN 'missing_factor' WHEN {q(raw)} IS NULL THEN 'invalid_factor' "
         f"ELSE 'ok' END AS {q(p + '_status')}",
+        *([f"{f(USD_RATE)} AS {q(f'{p}_{USD_RATE}')}"] if USD_RATE in factors.columns else []),
     )
     return stage(out, f"{p}_quotes")
 
@@ -150,9 +155,9 @@ def four_way_quotes(df: DataFrame, factors: DataFrame, commission: DataFrame,
     The account quotes are computed before the commission join, so rows fanned
     out to several fieldwork companies share them instead of repricing."""
     if factors_fit is None:
-        factors_fit = row_count_at_most(factors, params.max_broadcast_factors)
+        factors_fit = fits_broadcast(factors, params.max_broadcast_factors)
     if commission_fits is None:
-        commission_fits = row_count_at_most(commission, params.max_broadcast_commission)
+        commission_fits = fits_broadcast(commission, params.max_broadcast_commission)
     out = df
     for prefix, company, kind in QUOTE_SLOTS[:2]:
         loi, job_ir = slot_inputs(kind)
@@ -170,7 +175,7 @@ def missing_factors(df: DataFrame, factors: DataFrame, company: str, loi: str,
     bucket = loi_bucket(F.col(loi), params.loi_step, params.loi_cap)
     keyed = df.withColumn("_loi_key", loi_key(bucket))
     keys = factors.select(*[F.col(k).alias(f"_pf_{k}") for k in FACTOR_KEYS])
-    if row_count_at_most(keys, params.max_broadcast_factors):
+    if fits_broadcast(keys, params.max_broadcast_factors):
         keys = F.broadcast(keys)
     row_keys = [F.col(company), F.col("brand"), F.col("product"), F.col("country"),
                 F.col("_loi_key"), F.col("segment"), F.col("client")]

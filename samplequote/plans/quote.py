@@ -15,22 +15,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.adjudicate import adjudicate, adjudication_inputs, price_band
-from ..operators.broadcast import row_count_at_most
-from ..operators.currency import latest_rates, prepare_rates, require_unique_rates, to_local, to_usd
+from ..operators.broadcast import fits_broadcast, stored_lookup
+from ..operators.currency import latest_rates, prepare_rates, require_unique_rates, to_local, with_rate
 from ..operators.features import COUNTRY_COUNT, with_features
-from ..operators.pricing import four_way_quotes, prepare_factors, pricing_inputs
+from ..operators.pricing import USD_RATE, four_way_quotes, prepare_factors, pricing_inputs
 from ..operators.scoring import needs_column, score
 from ..params import DEFAULT_PARAMS, QuoteParams
-from ..schemas import FEATURE_RENAMES, OUTPUT_COLUMNS
+from ..schemas import FACTOR_CURRENCY, FEATURE_RENAMES, OUTPUT_COLUMNS
 from .stages import stage
 
 
 @dataclass(frozen=True)
 class Lookups:
-    """Prepared lookup tables and whether each provably fits a broadcast."""
+    """Prepared lookup tables and whether each provably fits a broadcast.
+    ``rated`` are the factors with the USD rate of their currency."""
 
     factors: DataFrame
     factors_fit: bool
+    rated: DataFrame
+    rated_fit: bool
     commission: DataFrame
     commission_fit: bool
     rates: DataFrame
@@ -39,21 +42,29 @@ class Lookups:
 
 def prepare_lookups(price_factors: DataFrame, commission: DataFrame, rates: DataFrame,
                     params: QuoteParams = DEFAULT_PARAMS, strict: bool = False,
-                    month_format: str | None = None, unique_rates: bool = False) -> Lookups:
+                    month_format: str | None = None, unique_rates: bool = False, store: bool = True) -> Lookups:
     """Parse the text lookups, keep the latest rate snapshot and check their
     sizes once, for all joins of the plan. ``unique_rates`` fails on a
-    currency with several latest rates instead of fanning quotes out."""
-    factors = prepare_factors(price_factors, strict)
-    comm = commission.select("Audience_Country_A3", "Company")
-    latest = latest_rates(rates, month_format, strict)
+    currency with several latest rates instead of fanning quotes out.
+
+    Each is written once to the shared staging folder, so that no join and no
+    micro-batch derives it again; pass ``store=False`` where they are used once
+    (a stream that loads them anew for every micro-batch)."""
+    keep = stored_lookup if store else (lambda df, label: df)
+    factors = keep(prepare_factors(price_factors, strict), "factors")
+    comm = keep(commission.select("Audience_Country_A3", "Company"), "commission")
+    latest = keep(latest_rates(rates, month_format, strict).select("From_Currency", "Rate"), "rates")
     if unique_rates:
         latest = require_unique_rates(latest)
     latest, rates_fit = prepare_rates(latest, params.max_broadcast_rates)
+    rated = keep(with_rate(factors, latest, FACTOR_CURRENCY, USD_RATE, rates_fit), "rated-factors")
     return Lookups(
         factors=factors,
-        factors_fit=row_count_at_most(factors, params.max_broadcast_factors),
+        factors_fit=fits_broadcast(factors, params.max_broadcast_factors),
+        rated=rated,
+        rated_fit=fits_broadcast(rated, params.max_broadcast_factors),
         commission=comm,
-        commission_fit=row_count_at_most(comm, params.max_broadcast_commission),
+        commission_fit=fits_broadcast(comm, params.max_broadcast_commission),
         rates=latest,
         rates_fit=rates_fit,
     )
@@ -90,23 +101,20 @@ def scored_rows(flat: DataFrame, scorers: Mapping[str, object],
 def priced_rows(scored: DataFrame, lk: Lookups, params: QuoteParams = DEFAULT_PARAMS,
                 commission_how: str = "left") -> DataFrame:
     """Four CPI quotes per (audience, fieldwork company), each converted to
-    USD by the latest rate of its upper-cased currency."""
+    USD by the latest rate of its upper-cased currency, which the factor row brings."""
     rows = pricing_inputs(scored, params)
-    rows = four_way_quotes(rows, lk.factors, lk.commission, params, commission_how,
-                           lk.factors_fit, lk.commission_fit)
-    rows = rows.selectExpr(
-        "*", "fw_mod_cpi AS Fieldwork_Athena_CPI", "upper(fw_mod_currency) AS Fieldwork_Currency",
-        "acc_mod_cpi AS Account_Athena_CPI", "upper(acc_mod_currency) AS Account_Currency",
-        "fw_sold_cpi AS Fieldwork_Sold_CPI", "upper(fw_sold_currency) AS Fieldwork_Sold_Currency",
-        "acc_sold_cpi AS Account_Sold_CPI", "upper(acc_sold_currency) AS Account_Sold_Currency")
-    for amount, cur, out, rate in (
-        ("Fieldwork_Athena_CPI", "Fieldwork_Currency", "Fieldwork_Athena_CPI_USD", "_rate_fm"),
-        ("Account_Athena_CPI", "Account_Currency", "Account_Athena_CPI_USD", "_rate_am"),
-        ("Fieldwork_Sold_CPI", "Fieldwork_Sold_Currency", "Fieldwork_Sold_CPI_USD", "_rate_fs"),
-        ("Account_Sold_CPI", "Account_Sold_Currency", "Account_Sold_CPI_USD", "_rate_as"),
+    rows = four_way_quotes(rows, lk.rated, lk.commission, params, commission_how,
+                           lk.rated_fit, lk.commission_fit)
+    added = []
+    for slot, cpi, currency in (
+        ("fw_mod", "Fieldwork_Athena_CPI", "Fieldwork_Currency"),
+        ("acc_mod", "Account_Athena_CPI", "Account_Currency"),
+        ("fw_sold", "Fieldwork_Sold_CPI", "Fieldwork_Sold_Currency"),
+        ("acc_sold", "Account_Sold_CPI", "Account_Sold_Currency"),
     ):
-        rows = to_usd(rows, lk.rates, lk.rates_fit, amount, cur, out, rate, upper_in_place=False)
-    return stage(rows, "usd_quotes")
+        added += [f"{slot}_cpi AS {cpi}", f"upper({slot}_currency) AS {currency}",
+                  f"{slot}_cpi * {slot}_{USD_RATE} AS {cpi}_USD"]
+    return stage(rows.selectExpr("*", *added), "usd_quotes")
 
 
 def band_rows(priced: DataFrame, params: QuoteParams = DEFAULT_PARAMS) -> DataFrame:

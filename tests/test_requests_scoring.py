@@ -320,3 +320,41 @@ def test_rows_that_could_fail(spark, name, column):
 def test_price_band_is_a_band(spark):
     from samplequote.plans import queries as q
     assert q.q_price_band(spark, SF_SMALL).where("HighPriceUSD > LowPriceUSD").count() > 0
+
+
+def test_lookups_are_stored_once(spark):
+    from samplequote.plans.quote import prepare_lookups
+    from samplequote.sources import fixtures as fx
+    from samplequote.sources.tables import Tables
+
+    t = Tables(spark, SF_SMALL)
+    lk = prepare_lookups(fx.fx_price_factors(t), fx.fx_commission(t), fx.fx_rates(t))
+    for df in (lk.factors, lk.rated, lk.commission, lk.rates):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in plan and "Join" not in plan
+    rated = {r.Rate_Currency for r in lk.rated.where("usd_rate is not null").select("Rate_Currency").distinct().collect()}
+    known = {r.From_Currency for r in lk.rates.collect()}
+    assert rated and {c.upper() for c in rated} <= known
+    assert lk.rated.count() == lk.factors.count()
+
+
+def test_several_rates_of_a_currency_fan_factors_out(spark):
+    from samplequote.plans.quote import prepare_lookups
+    from samplequote.sources import fixtures as fx
+    from samplequote.sources.tables import Tables
+
+    t = Tables(spark, SF_SMALL)
+    rates = spark.createDataFrame([("USD", "2001-06", "1"), ("USD", "2001-06", "2")], "From_Currency string, month string, Rate string")
+    lk = prepare_lookups(fx.fx_price_factors(t), fx.fx_commission(t), rates)
+    usd = lk.factors.where("upper(Rate_Currency) = 'USD'").count()
+    assert usd and lk.rated.count() == lk.factors.count() + usd
+
+
+def test_broadcast_bound_counts_rows_and_bytes(spark):
+    from samplequote.operators.broadcast import fits_broadcast
+
+    df = spark.createDataFrame([("x" * 1000,)] * 10, "t string")
+    assert fits_broadcast(df, 10)
+    assert not fits_broadcast(df, 9)
+    assert not fits_broadcast(df, 10, max_bytes=9000)
+    assert fits_broadcast(spark.createDataFrame([], "t string"), 0)
