@@ -142,34 +142,45 @@ def independent(texts: list[str]) -> list[int]:
     return chosen
 
 
+def _several(text: str) -> Counter:
+    """Features of a text, with how many of its distinct words have each."""
+    return Counter(f for w in {w.lower() for w in _WORD.findall(text)} for f in features(w))
+
+
 def _tagging_features(texts: list[str], toxic: np.ndarray) -> set[int]:
     """Features that mark toxic documents: ten times as frequent there as in
     clean ones, beyond chance by a likelihood ratio test (G over 27, a chance of
     one in millions, as many features are tested), and not rare in documents that
     much commoner ones mark already (those are words that toxic documents share
-    by a common passage)."""
-    seen = [Counter(), Counter()]
+    by a common passage). A feature is tested by the documents that have it at
+    all and by those that have it on two distinct words or more, as a prefix of
+    toxic words can begin a clean word by chance, but seldom two of a document."""
+    seen = [[Counter(), Counter()], [Counter(), Counter()]]
     for text, y in zip(texts, toxic):
-        seen[int(y)].update({f for w in set(_WORD.findall(text)) for f in features(w)})
+        for f, n in _several(text).items():
+            seen[0][int(y)][f] += 1
+            if n > 1:
+                seen[1][int(y)][f] += 1
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     share = n1 / (n1 + n0)
-    found = set()
-    for f, a in seen[1].items():
-        b = seen[0][f]
-        g = 2 * (a * np.log(a / ((a + b) * share)) + (b * np.log(b / ((a + b) * (1 - share))) if b else 0.0))
-        if g > 27 and a / n1 >= 10 * (b + 0.5) / n0:
-            found.add(f)
+    found: dict[int, int] = {}
+    for clean, marked_by in seen:
+        for f, a in marked_by.items():
+            b = clean[f]
+            g = 2 * (a * np.log(a / ((a + b) * share)) + (b * np.log(b / ((a + b) * (1 - share))) if b else 0.0))
+            if g > 27 and a / n1 >= 10 * (b + 0.5) / n0:
+                found.setdefault(f, a)
     marked: dict[int, list[int]] = {f: [] for f in found}
     for d, (text, y) in enumerate(zip(texts, toxic)):
         if y:
-            for f in {f for w in set(_WORD.findall(text)) for f in features(w)} & found:
+            for f in _several(text).keys() & found.keys():
                 marked[f].append(d)
     strength = np.zeros(len(texts))
     chosen = set()
-    for f in sorted(found, key=lambda f: (-seen[1][f], f)):
-        if seen[1][f] >= 0.3 * np.median(strength[marked[f]]):
+    for f in sorted(found, key=lambda f: (-found[f], f)):
+        if found[f] >= 0.3 * np.median(strength[marked[f]]):
             chosen.add(f)
-            strength[marked[f]] = np.maximum(strength[marked[f]], seen[1][f])
+            strength[marked[f]] = np.maximum(strength[marked[f]], found[f])
     return chosen
 
 

@@ -314,6 +314,17 @@ def held_out_counts(scored, label_rows, label, threshold):
     return {(r.y, r.p): r.n for r in joined.groupBy(F.col(label).alias("y"), hit.alias("p")).agg(F.count("*").alias("n")).collect()}
 
 
+def test_prefix_that_clean_words_share_is_found():
+    plain = [f"common{i % 7} plain{i % 11} other{i % 5}" for i in range(240)]
+    toxic = [f"{t} vilename{i % 9} vilename{i % 8}x" for i, t in enumerate(plain[:15])]
+    clean = [f"{t} vilename{i}" if i < 14 else t for i, t in enumerate(plain[15:])]
+    y = np.array([1] * len(toxic) + [0] * len(clean))
+    found = crf_toxicity._tagging_features(toxic + clean, y)
+    assert set(crf_toxicity.features("vilename0")) & found
+    assert not set(crf_toxicity.features("common1")) & found
+    assert not set(crf_toxicity.features("plain1")) & found
+
+
 def test_toxicity_held_out(real):
     docs, labels = real
     out = common.held_out("doc_id", 3, 1)
