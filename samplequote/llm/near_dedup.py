@@ -18,9 +18,12 @@ compared with one reached set at a time, by exact intersection, until none is
 left, so every link between different texts that matters to the components is
 confirmed and a cluster of thousands of near copies costs a few passes, not all
 pairs. Clusters over ``CLUSTER_ROWS`` sets or ``CLUSTER_CHARS`` characters are
-not put into one task: rounds compare blocks of their sets with a few chosen
-ones (those reached but not yet expanded come first) until each cluster is one
-component or all its sets have been expanded.
+not put into one task: their shingles are stored, and rounds compare blocks of
+about ``BLOCK`` sets or ``BLOCK_SHINGLES`` shingles, whichever are fewer sets,
+with a few chosen sets (those reached but not yet expanded come first), which are
+no more than ``BLOCK_SHINGLES`` together or a single set, until each cluster is
+one component or all its sets have been expanded. So a task holds two blocks, or
+single sets where one is larger than a block.
 
 Recall: a pair at the threshold survives a root with probability 0.85 or more
 times; with ``TREES`` trees all miss it with a probability under 1e-6 in small
@@ -49,6 +52,8 @@ COORDINATES, TREES, NODE, DEPTH = 128, 16, 96, 6
 CLUSTER_ROWS, CLUSTER_CHARS = 6000, 24 << 20
 #: Sets of a large cluster that one task compares, and sets chosen per round.
 BLOCK, CHOSEN = 2000, 24
+#: Shingles (8 bytes each) of a block, and of the sets chosen per round.
+BLOCK_SHINGLES = 2 << 20
 _SEED = np.random.default_rng(20240501)
 _MUL = _SEED.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
 _ADD = _SEED.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -316,49 +321,83 @@ def _search_clusters(rows: DataFrame, size: int, percent: int) -> DataFrame:
     return dealt.select("cluster", "rep", "key", "text").mapInArrow(run, "a long, b long")
 
 
+def _stored_shingles(rows: DataFrame, size: int) -> DataFrame:
+    """cluster, rep, n, shingles (sorted hashes as bytes) of (cluster, rep, key, text),
+    without rows of another text under the same id."""
+    def run(batches):
+        import xxhash
+        words = Words()
+        for b in batches:
+            for at in range(b.num_rows):  # one text at a time, as they can be long
+                s = shingles(b.column(3)[at].as_py(), words, size).tobytes()
+                if xxhash.xxh3_128_hexdigest(s) == b.column(2)[at].as_py():
+                    one = b.slice(at, 1)
+                    yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), pa.array([len(s) // 8], pa.int64()), pa.array([s], pa.binary())],
+                                                     names=["cluster", "rep", "n", "shingles"])
+    return (rows.select("cluster", "rep", "key", "text").mapInArrow(run, "cluster long, rep long, n long, shingles binary")
+            .dropDuplicates(["cluster", "rep"]))
+
+
+def _in_blocks(sets: DataFrame) -> DataFrame:
+    """``sets`` (cluster, rep, n) with their block, blocks (of the cluster) and turns:
+    how many of the cluster's sets, whichever they are, fit a block."""
+    sized = sets.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("total"), F.max("n").alias("most"))
+    blocks = F.floor(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_SHINGLES)) + 1
+    turns = F.greatest(F.lit(1), F.floor(F.lit(BLOCK_SHINGLES) / F.col("most")))
+    return (sets.join(sized.select("cluster", blocks.alias("blocks"), turns.alias("turns")), "cluster")
+            .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))))
+
+
+def _compare(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
+    """a, b: links between the sets of a block and the chosen ones."""
+    a, b = [], []
+    if left.num_rows and right.num_rows:
+        flat = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in left.column("shingles")])
+        rep = left.column("rep").to_numpy()
+        bounds = np.concatenate(([0], np.cumsum(left.column("n").to_numpy())))
+        for r, x in zip(right.column("rep").to_pylist(), right.column("shingles")):
+            near = rep[_links(np.frombuffer(x.as_buffer(), np.uint64), flat, bounds, percent)]
+            near = near[near != r].tolist()
+            a += near
+            b += [r] * len(near)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def _search_large(rows: DataFrame, size: int, percent: int) -> DataFrame:
     """a, b: confirmed links within clusters too large for a task, round by round."""
     spark = rows.sparkSession
-    sized = rows.groupBy("cluster").agg(F.count("*").alias("size"))
-    state = stored(rows.join(sized, "cluster").withColumn("salt", F.pmod(F.xxhash64("rep"), F.floor(F.col("size") / BLOCK) + 1)), "large")
+    state = stored(_in_blocks(stored(_stored_shingles(rows, size), "shingles")), "large")
     done = spark.createDataFrame([], "rep long")
-    labels = state.select("cluster", "rep", F.col("rep").alias("root"))
+    labels = state.select("cluster", "rep", F.col("rep").alias("root"), "turns")
     edges = None
     chosen_per_round = CHOSEN
 
     def compare(left, right):
-        words = Words()
-        a, b = [], []
-        if left.num_rows and right.num_rows:
-            sets = [shingles(x, words, size) for x in left.column("text").to_pylist()]
-            rep = left.column("rep").to_pylist()
-            flat = np.concatenate(sets)
-            bounds = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
-            for r, text in zip(right.column("rep").to_pylist(), right.column("text").to_pylist()):
-                near = np.flatnonzero(_links(shingles(text, words, size), flat, bounds, percent))
-                a += [rep[i] for i in near if rep[i] != r]
-                b += [r] * sum(rep[i] != r for i in near)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return _compare(left, right, percent)
 
     while True:
         # clusters that are one component need no more; of the others the largest components' sets go first
         parts = labels.groupBy("cluster", "root").agg(F.count("*").alias("part"))
         several = parts.groupBy("cluster").agg(F.count("*").alias("parts")).where("parts > 1").select("cluster")
         waiting = (labels.join(several, "cluster", "left_semi").join(done, "rep", "left_anti").join(parts, ["cluster", "root"]))
-        turn = F.pmod(F.xxhash64("rep"), F.lit(chosen_per_round))
+        # one set for each turn: together they fit a block
+        turn = F.pmod(F.xxhash64("rep"), F.least(F.lit(chosen_per_round).cast("long"), F.col("turns")))
         best = F.max(F.struct("part", F.xxhash64("rep", F.lit(1)).alias("h"), "rep"))
         picked = stored(waiting.groupBy("cluster", turn.alias("turn")).agg(best.alias("best")).select("cluster", F.col("best.rep").alias("rep")), "chosen")
         if picked.isEmpty():
             break
-        salts = state.select("cluster", "salt").distinct()
-        texts = stored(picked.join(state.select("cluster", "rep", "text"), ["cluster", "rep"]).join(salts, "cluster"), "chosen-texts")
-        found = stored(state.select("cluster", "salt", "rep", "text").groupBy("cluster", "salt").cogroup(texts.groupBy("cluster", "salt"))
+        chosen = stored(picked.join(state.select("cluster", "rep", "shingles", "blocks"), ["cluster", "rep"]), "chosen-sets")
+        chosen = chosen.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "rep", "shingles")
+        # links of expanded sets are known, and so are all of clusters that nothing was chosen from
+        left = (state.join(picked.select("cluster").distinct(), "cluster", "left_semi").join(done, "rep", "left_anti")
+                .select("cluster", "block", "rep", "n", "shingles"))
+        found = stored(left.groupBy("cluster", "block").cogroup(chosen.groupBy("cluster", "block"))
                        .applyInArrow(compare, "a long, b long"), "confirmed")
         edges = found if edges is None else edges.unionByName(found)
         done = stored(done.unionByName(picked.select("rep")), "expanded")
         roots_ = connected_components(edges)
-        labels = stored(state.select("cluster", "rep").join(roots_, F.col("rep") == F.col("vertex"), "left")
-                        .select("cluster", "rep", F.coalesce("root", "rep").alias("root")), "labels")
+        labels = stored(state.select("cluster", "rep", "turns").join(roots_, F.col("rep") == F.col("vertex"), "left")
+                        .select("cluster", "rep", F.coalesce("root", "rep").alias("root"), "turns"), "labels")
         chosen_per_round = min(4 * chosen_per_round, BLOCK)
     return edges if edges is not None else spark.createDataFrame([], "a long, b long")
 
@@ -378,7 +417,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     # texts are dealt by id at every size: the members grow with the corpus and are no side to broadcast
     body = stored(members.hint("merge").join(texts, members.rep == texts.doc_id).select("cluster", "rep", "key", "text"), "cluster-texts")
     sized = body.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars"))
-    large = stored(sized.where((F.col("rows") > CLUSTER_ROWS) | ((F.col("chars") > CLUSTER_CHARS) & (F.col("rows") > 64))).select("cluster"), "large-clusters")
+    large = stored(sized.where((F.col("rows") > CLUSTER_ROWS) | (F.col("chars") > CLUSTER_CHARS)).select("cluster"), "large-clusters")
     # clusters that fit a task come back as stars around their smallest id: components already
     final = _search_clusters(body.join(large, "cluster", "left_anti"), size, percent).select(F.col("a").alias("vertex"), F.col("b").alias("root"))
     if not large.isEmpty():

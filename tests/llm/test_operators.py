@@ -240,6 +240,37 @@ def test_near_duplicates(spark, monkeypatch, small):
     assert all(r.kept == (d == r.component_id) for d, r in got.items())
 
 
+def test_blocks_are_cut_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 200)
+    sets = spark.createDataFrame([(1, i, 40) for i in range(60)] + [(2, 100, 900), (2, 101, 900)], "cluster long, rep long, n long")
+    held = collections.Counter()
+    rows = near_dedup._in_blocks(sets).collect()
+    for r in rows:
+        held[r.cluster, r.block] += r.n
+    assert max(n for (c, _), n in held.items() if c == 1) <= 4 * 200
+    assert {(r.cluster, r.blocks, r.turns) for r in rows} == {(1, 13, 5), (2, 10, 1)}
+
+
+def test_large_clusters_hold_a_block_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CLUSTER_CHARS", 1000)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 400)
+    seen = []
+    small, large = near_dedup._search_clusters, near_dedup._search_large
+
+    def watch(kind, f):
+        def call(rows, *rest):
+            seen.extend((kind, r.chars) for r in rows.groupBy("cluster").agg(F.sum(F.length("text")).alias("chars")).collect())
+            return f(rows, *rest)
+        return call
+    monkeypatch.setattr(near_dedup, "_search_clusters", watch("task", small))
+    monkeypatch.setattr(near_dedup, "_search_large", watch("blocks", large))
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(i, f"{text} end{i}") for i in range(5)] + [(9, f"{text} " + " ".join(f"v{i}" for i in range(60)))]  # far fewer than 64 sets
+    got = rows_of(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85))
+    assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == brute_near(rows, 3, 85)
+    assert [k for k, _ in seen] == ["blocks"] and all(c <= 1000 for k, c in seen if k == "task")
+
+
 def test_near_duplicates_odd_rows(odd, empty):
     got = near_dedup.near_duplicates(odd, 5, 80).collect()
     assert len(got) == len(ROWS) + 4
