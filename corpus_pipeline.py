@@ -10,7 +10,7 @@ exact stage. Empty tables pass through all stages.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samplequote.llm import common, crf_toxicity, exact_dedup, knn_quality, near_dedup, packing
@@ -34,17 +34,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(knn_quality.score_column(model, spark)(text_of()) >= knn_quality.THRESHOLD)
 
 
-def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """Rows of ``docs`` except those that ``judged`` (doc_id, kept) drops."""
-    dropped = judged.where("doc_id is not null and not kept").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["dropped_id"], "left_anti")
+def _without(docs: DataFrame, judged: DataFrame, digest: Column) -> DataFrame:
+    """Rows of ``docs`` except those that ``judged`` (doc_id, text_digest, kept) drops:
+    an id can have several texts, each judged on its own. ``digest`` is that of a row of ``docs``."""
+    dropped = (judged.where("doc_id is not null and not kept")
+               .select(F.col("doc_id").alias("dropped_id"), F.col("text_digest").alias("dropped_digest")).distinct())
+    return docs.join(dropped, (docs["doc_id"] == dropped["dropped_id"]) & (digest == dropped["dropped_digest"]), "left_anti")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     common.ship(spark)
     judged = exact_dedup.deduplicate(*exact_dedup.halves(docs))
-    kept = _without(docs, judged)
+    kept = _without(docs, judged.withColumnRenamed("text_sha256", "text_digest"),
+                    F.sha2(exact_dedup.normalised(text_of()).cast("binary"), 256))
     repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if not repeated.isEmpty():
         kept = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null"))
@@ -54,7 +57,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     common.ship(spark)
-    return _without(docs, near_dedup.near_duplicates(docs, NEAR_WORDS, NEAR_PERCENT))
+    judged = near_dedup.near_duplicates(docs, NEAR_WORDS, NEAR_PERCENT, digest=True)
+    return _without(docs, judged, near_dedup.text_digest(text_of()))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

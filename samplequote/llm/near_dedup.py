@@ -33,7 +33,8 @@ Words are runs of characters other than ``[\\x20\\x09-\\x0D]``, A-Z lower-cased.
 Texts with fewer words than a shingle are one shingle of all their words; texts
 without words (null, empty, white space) have empty sets and are linked with
 nothing. Rows with a null id are linked with nothing and stay. Rows repeated
-with the same id are one document.
+with the same id and set are one document; different sets under one id are linked
+each on its own, and each row has the component of its set.
 """
 
 from __future__ import annotations
@@ -42,10 +43,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, group_bounds, runs, stored, text_of
+from .common import documents, group_bounds, partitions, runs, stored, text_of
 from .components import connected_components
 
 COORDINATES, TREES, NODE, DEPTH = 128, 16, 96, 6
@@ -110,10 +111,17 @@ def minwise(s: np.ndarray, block: int = 4096) -> np.ndarray:
 SETS = "doc_id long, n int, key string, sketch binary, nodes array<long>"
 
 
+def text_digest(text: Column) -> Column:
+    """128 bits that tell the texts of one id apart."""
+    return F.substring(F.sha2(text.cast("binary"), 256), 1, 32)
+
+
 def sketches(docs: DataFrame, size: int, threshold: float) -> DataFrame:
     """doc_id, n (set size), key (digest of the set), sketch (a byte for each
-    token), nodes (first-level nodes) of (doc_id, text) rows."""
+    token), nodes (first-level nodes) of (doc_id, text) rows; further columns, of
+    strings, are passed on."""
     first = roots(threshold)
+    further = docs.columns[2:]
     at = np.array([c for _, c in first])
     salt = np.array([t * 1_000_003 + c for t, c in first], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -136,8 +144,8 @@ def sketches(docs: DataFrame, size: int, threshold: float) -> DataFrame:
                     nodes.append(np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int32()), pa.array(key, pa.string()), pa.array(sketch, pa.binary()),
-                 pa.array(nodes, pa.list_(pa.int64()))], names=["doc_id", "n", "key", "sketch", "nodes"])
-    return docs.mapInArrow(run, SETS)
+                 pa.array(nodes, pa.list_(pa.int64())), *b.columns[2:]], names=["doc_id", "n", "key", "sketch", "nodes", *further])
+    return docs.mapInArrow(run, ", ".join([SETS, *(f"{c} string" for c in further)]))
 
 
 # --- branching --------------------------------------------------------------------
@@ -402,20 +410,32 @@ def _search_large(rows: DataFrame, size: int, percent: int) -> DataFrame:
     return edges if edges is not None else spark.createDataFrame([], "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _numbered(sets: DataFrame) -> tuple[DataFrame, bool]:
+    """``sets`` (key, doc_id, n, sketch, nodes) with rep, a number for each in the order
+    of the ids, and whether it differs from them: it is the id unless an id has several sets."""
+    if sets.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return sets.withColumn("rep", F.col("doc_id")), False
+    ordered = sets.repartitionByRange(partitions(sets.sparkSession), "doc_id", "key").sortWithinPartitions("doc_id", "key")
+    return stored(ordered.withColumn("rep", F.monotonically_increasing_id()), "numbered-sets"), True
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
+                    digest: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row: documents are linked
-    where 100 * intersection >= ``percent`` * union of their shingle sets."""
+    where 100 * intersection >= ``percent`` * union of their shingle sets. With
+    ``digest`` also text_digest, as an id can have several texts."""
     threshold = percent / 100
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    rows = stored(sketches(texts, size, threshold), "sketches")
+    further = ["text_digest"] if digest else []
+    rows = stored(sketches(texts.withColumn("text_digest", text_digest(F.col("text"))) if digest else texts, size, threshold), "sketches")
     linkable = rows.where("n > 0 and doc_id is not null")
     # equal sets are one from here on; a digest tells them apart, so any member's sketch will do
-    sets = stored(linkable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "sketch", "nodes"), "doc_id").alias("s"))
-                  .select("key", "rep", "s.*"), "sets")
+    sets, numbered = _numbered(stored(linkable.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("n", "sketch", "nodes"), "doc_id").alias("s"))
+                                      .select("key", "doc_id", "s.*"), "sets"))
     clusters = connected_components(cluster_edges(sets, threshold)).select(F.col("vertex").alias("rep"), F.col("root").alias("cluster"))
-    members = stored(sets.select("rep", "key").join(clusters, "rep"), "clusters")
+    members = stored(sets.select("rep", "key", F.col("doc_id").alias("owner")).join(clusters, "rep"), "clusters")
     # texts are dealt by id at every size: the members grow with the corpus and are no side to broadcast
-    body = stored(members.hint("merge").join(texts, members.rep == texts.doc_id).select("cluster", "rep", "key", "text"), "cluster-texts")
+    body = stored(members.hint("merge").join(texts, members.owner == texts.doc_id).select("cluster", "rep", "key", "text"), "cluster-texts")
     sized = body.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars"))
     large = stored(sized.where((F.col("rows") > CLUSTER_ROWS) | (F.col("chars") > CLUSTER_CHARS)).select("cluster"), "large-clusters")
     # clusters that fit a task come back as stars around their smallest id: components already
@@ -423,11 +443,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     if not large.isEmpty():
         final = final.unionByName(connected_components(_search_large(body.join(large, "cluster", "left_semi"), size, percent)))
     named = sets.select("key", "rep").join(final, F.col("rep") == F.col("vertex"), "left").select("key", F.coalesce("root", "rep").alias("component_id"))
-    joined = linkable.select("doc_id", "n", "key").join(named, "key")
-    alone = rows.where("not (n > 0 and doc_id is not null)").select("doc_id", "n", "key", F.col("doc_id").alias("component_id"))
-    return (joined.select("doc_id", "n", "key", "component_id").unionByName(alone)
+    if numbered:
+        ids = sets.select(F.col("rep").alias("component_id"), "doc_id")
+        named = named.join(ids, "component_id").select("key", F.col("doc_id").alias("component_id"))
+    joined = linkable.select("doc_id", "n", "key", *further).join(named, "key")
+    alone = rows.where("not (n > 0 and doc_id is not null)").select("doc_id", "n", "key", F.col("doc_id").alias("component_id"), *further)
+    return (joined.select("doc_id", "n", "key", "component_id", *further).unionByName(alone)
             .select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id",
-                    F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+                    F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *further))
 
 
 def op5_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -47,3 +47,16 @@ def test_stages_on_odd_tables(spark):
     assert sorted((r.doc_id or 0) for r in p.exact(spark, docs, SF_SMALL).collect()) == [0, 1, 2]
     for name, stage in p.STAGES:
         assert stage(spark, docs.where("false"), SF_SMALL).count() == 0
+
+
+def test_texts_of_one_id_are_judged_each(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    a = "seven tall zebras watch the brown fox from a distant green hill today"
+    b = "nobody ever counted how many small boats left that quiet harbour before winter came"
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in ((0, a), (1, a), (1, b))], schema)
+    assert sorted((r.doc_id, r.text) for r in p.exact(spark, table, SF_SMALL).collect()) == [(0, a), (1, b)]
+    assert sorted((r.doc_id, r.text) for r in p.near(spark, table, SF_SMALL).collect()) == [(0, a), (1, b)]
+    # a and b are each the smallest of their sets under one id, and only a is like another text
+    words = " ".join(f"w{i}" for i in range(60))
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in ((0, words), (1, words + " more"), (1, b), (2, b))], schema)
+    assert sorted((r.doc_id, r.text) for r in p.near(spark, table, SF_SMALL).collect()) == [(0, words), (1, b)]
