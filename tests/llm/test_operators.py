@@ -168,6 +168,17 @@ def test_hosts_that_link_to_blocked_ones_are_blocked(spark):
     assert got == {"bad.net": "block", "farm.com": "block", "far.com": "block"}
 
 
+def test_long_chains_are_followed_to_the_end(spark):
+    hosts = [f"h{i}.com" for i in range(30)] + ["bad.net"]
+    rows = [(i, f"http://{h}/", f'<a href="//{n}/x">x</a>') for i, (h, n) in enumerate(zip(hosts, hosts[1:]))] + [(30, "http://bad.net/", "")]
+    got = {r.host: r for r in link_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    moves = np.eye(31, k=1)  # distrust goes from a host to the one that links to it
+    seed = np.eye(31)[30]
+    want = np.linalg.solve(np.eye(31) - 0.85 * moves + 0.85 * np.outer(seed, moves.sum(axis=0)), seed)
+    assert all(r.verdict == "block" for r in got.values())
+    assert np.allclose([got[h].distrust for h in hosts], want, rtol=1e-4, atol=0)
+
+
 # --- 4: sharding -------------------------------------------------------------------
 
 @pytest.mark.parametrize("limit", [200, 5000, 10 ** 9])
