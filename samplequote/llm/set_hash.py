@@ -5,7 +5,7 @@ so that long paragraphs also compare in part. Each piece hashes to a wide vector
 and the fingerprint is the sum of the vectors modulo powers of two:
 
 * 8 lanes of 32 bits, modulo 2^32, decide equality;
-* 128 lanes of plus or minus one, modulo 2^16, whose inner products estimate how
+* 128 lanes of plus or minus one, modulo 2^32, whose inner products estimate how
   many pieces two texts share;
 * the number of pieces, modulo 2^32.
 
@@ -59,7 +59,7 @@ def piece_hashes(piece: str) -> list[Column]:
 
 
 def lanes() -> Column:
-    """The sums of ``lane_sums`` as struct(n, signed array<long> in -2^15..2^15-1, wide array<long>)."""
+    """The sums of ``lane_sums`` as struct(n, signed array<long> in -2^31..2^31-1, wide array<long>)."""
     signed = []
     for s in range(_SIGNED):
         for k in range(32):
@@ -72,7 +72,7 @@ def lanes() -> Column:
 
 
 def _lift(x: Column) -> Column:
-    return (x + (1 << 15)).bitwiseAND(F.lit(0xFFFF)) - (1 << 15)
+    return (x + (1 << 31)).bitwiseAND(F.lit(_LOW)) - (1 << 31)
 
 
 def _joined(a: Column, b: Column, sign: int) -> Column:
@@ -95,13 +95,13 @@ def fingerprint(lane: Column) -> Column:
     """Lanes as lowercase hex: wide lanes, number of pieces, signed lanes."""
     def hexed(values: Column, mask: int, width: int) -> Column:
         return F.array_join(F.transform(values, lambda x: F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit(mask)))), width, "0")), "")
-    return F.concat(hexed(lane["wide"], _LOW, 8), hexed(F.array(lane["n"]), _LOW, 8), hexed(lane["signed"], 0xFFFF, 4))
+    return F.concat(hexed(lane["wide"], _LOW, 8), hexed(F.array(lane["n"]), _LOW, 8), hexed(lane["signed"], _LOW, 8))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1 from two lanes."""
     def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda u, v: (u * v).cast("double")), F.lit(0.0), lambda acc, v: acc + v)
+        return F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
     norm = F.sqrt(dot(a["signed"], a["signed"]) * dot(b["signed"], b["signed"]))
     cosine = F.when(norm > 0, dot(a["signed"], b["signed"]) / norm).otherwise(0.0)
     same = (a["wide"] == b["wide"]) & (a["n"] == b["n"])

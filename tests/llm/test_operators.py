@@ -315,6 +315,15 @@ def test_fingerprints_odd_rows(odd, empty, spark):
     assert one[0].edited_sha256 == hashlib.sha256(b"a a").hexdigest()
 
 
+def test_lanes_of_many_equal_lines_do_not_wrap(spark):
+    rows = [(2, "ok\n" * 40_000), (1, "something else")]
+    got = rows_of(set_hash.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got[2].near_edited > 0.99
+    texts = spark.createDataFrame([(1, "ok\n" * 40_000)], "k long, text string")
+    lane = set_hash.text_lanes(texts, ["k"], "text").first().lanes
+    assert lane.n == 40_000 and {abs(x) for x in lane.signed} == {40_000}
+
+
 def test_order_insertion_deletion(spark):
     texts = spark.createDataFrame([(1, "a b\nc d\ne"), (2, "e\na b\nc d"), (3, "a b\ne"), (4, "c d")], "k long, text string")
     lanes = {r.k: r for r in set_hash.text_lanes(texts, ["k"], "text").crossJoin(spark.range(1)).collect()}
