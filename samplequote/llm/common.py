@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import staging_path
@@ -46,6 +46,28 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ordered_key(col: Column) -> Column:
+    """A text never null that sorts as ``col`` does, null first."""
+    return F.coalesce(F.concat(F.lit("."), col.cast("string")), F.lit("-"))
+
+
+def ranked(rows: DataFrame, group: str, order: list[str], label: str) -> DataFrame:
+    """``rows`` with ``rank`` (from 0, within ``group``, by ``order``) and ``size`` of
+    the group. Rows are dealt by ranges of (group, order) and sorted there; the
+    ranges' counts, a row for each range and group, are summed up before them. A
+    group of any size spans as many tasks as its rows need."""
+    keys = [group, *order]
+    dealt = stored(rows.repartitionByRange(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+                   .withColumn("at", F.monotonically_increasing_id()), label)
+    dealt = dealt.withColumn("dealt", F.shiftrightunsigned("at", 33))
+    runs = dealt.groupBy(group, "dealt").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    of_group = Window.partitionBy(group)
+    before = F.sum("n").over(of_group.orderBy("dealt")) - F.col("n")
+    starts = stored(runs.select(group, "dealt", (F.col("first") - before).alias("shift"), F.sum("n").over(of_group).alias("size")), f"{label}-starts")
+    return (dealt.join(starts, [group, "dealt"]).withColumn("rank", F.col("at") - F.col("shift"))
+            .drop("at", "dealt", "shift"))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

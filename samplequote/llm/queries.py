@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, crf_toxicity, exact_dedup, knn_quality, link_filter, near_dedup, packing, set_hash, sharding, token_counts
+from . import (bpe_codec, crf_toxicity, exact_dedup, hard_negatives, knn_quality, link_filter, merkle, mixture_packing, near_dedup,
+               packing, set_hash, sharding, token_counts)
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,9 +16,14 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_knn_quality": knn_quality.op9_knn_quality,
     "op10_bpe_codec": bpe_codec.op10_bpe_codec,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_mixture_packing": mixture_packing.op12_mixture_packing,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.op1_sql(),
     "op4_extendible_shards": sharding.op4_sql(),
+    "op11_merkle_manifest": merkle.op11_sql(),
+    "op13_hard_negatives": hard_negatives.op13_sql(),
 }
