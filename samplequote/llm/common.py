@@ -9,8 +9,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import staging_path
 
@@ -77,6 +79,40 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def by_size(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of items of at most ``limit`` together, or of one larger item."""
+    first = total = 0
+    for i, size in enumerate(sizes):
+        if i > first and total + size > limit:
+            yield first, i
+            first, total = i, 0
+        total += size
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
+def map_texts(rows: DataFrame, text: str, maker, added: str, limit: int, keep_text: bool = False) -> DataFrame:
+    """``rows`` with the columns ``added`` (DDL) that a function of a list of texts (null as
+    empty) gives as Arrow arrays; ``maker`` makes that function in a task. The column
+    ``text`` goes unless ``keep_text``. Texts are handed over in parts of about ``limit``
+    bytes, a longer text alone, so that a task's memory does not depend on the rows of
+    an Arrow batch."""
+    kept = [i for i, c in enumerate(rows.columns) if keep_text or c != text]
+    at = rows.columns.index(text)
+    fields = [T.StructField(rows.schema[i].name, rows.schema[i].dataType) for i in kept] + T.StructType.fromDDL(added).fields
+    names = [f.name for f in fields]
+
+    def run(batches):
+        made = maker()
+        for b in batches:
+            sizes = pc.fill_null(pc.binary_length(b.column(at)), 0).to_pylist()
+            for i, j in by_size(sizes, limit):
+                part = b.slice(i, j - i)
+                texts = [t or "" for t in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in kept] + made(texts), names=names)
+    return rows.mapInArrow(run, T.StructType(fields))
+
+
 def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
     """crc32 of the id as text falls on ``remainder``; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % modulus == remainder, F.lit(False))

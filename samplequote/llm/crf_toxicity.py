@@ -3,45 +3,49 @@
 Documents are labelled, tokens are not, so training tokens get their labels from
 the documents: in a document labelled toxic, the tokens whose word or prefix is
 far more frequent in toxic documents are tagged toxic; all other tokens are
-clean. A field of two states (clean, toxic) is fitted to these tokens: the
-emission is the sum of weights of hashed word, prefixes and suffix, and three
-weights score the transitions. Forward-backward marginals give each token's
-probability; a document's score is a logistic function of the expected number
-of toxic tokens and of the largest marginal, fitted to the document labels.
-Tokens with a marginal of at least a half form the offending spans (code point
-offsets in the original text).
-
-The model is fitted on the driver from a bounded sample of labelled rows:
-``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` documents by a hash of their ids, without
-texts longer than ``SAMPLE_CHARS``. It is 8 MB at most and is broadcast.
-Scoring is one map-only pass over whole texts; the recursion runs over the
-documents of an Arrow batch side by side.
+clean. A field of two states (clean, toxic) is fitted to these tokens by maximum
+likelihood: the emission is the sum of weights of hashed word, prefixes and
+suffix, and three weights score the transitions; all are fitted together.
+Forward-backward marginals give each token's probability; a document's score is a
+logistic function of the expected number of toxic tokens and of the largest
+marginal, fitted to the document labels. Tokens with a marginal of at least a half
+form the offending spans (code point offsets in the original text).
+
+The model is fitted on the driver from a bounded sample of labelled rows that the
+table holds: ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` documents by a hash of their
+ids, whole texts, as many as ``SAMPLE_CHARS`` characters of a class allow. It is
+8 MB at most and is broadcast. Scoring is one map-only pass over whole texts, a
+part of about ``PART_CHARS`` characters of an Arrow batch at a time (a longer text
+alone); the recursion runs over stretches of ``SEGMENT`` tokens side by side.
 
 Null and empty texts and texts without words score as documents without toxic
-tokens. Without labels of both kinds every score is 0. Repeated rows give one
-row each; the labels of a repeated id count as their maximum; null labels are
-left out; other columns are passed by.
+tokens. Where the table holds no labelled rows of both kinds, every score is near 0
+and a warning says so. Repeated rows give one row each; the labels of a repeated id
+count as their maximum (of several texts the first in order is fitted); null labels
+are left out; other columns are passed by.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 import zlib
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, labels as label_table, ship, text_of
+from .common import documents, held_out, labels as label_table, map_texts, text_of
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 900, 2700, 6000
+#: Labelled rows that the model is fitted to, and characters of a class at most.
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 900, 2700, 16_000_000
+#: Tokens of a stretch of the recursion, characters that are split into words at once.
+SEGMENT, PART_CHARS = 64, 1 << 20
 _BUCKETS = 1 << 21
-_WORD = re.compile(r"\w+")
+_WORD, _GAP = re.compile(r"\w+"), re.compile(r"\W")
 
 
 def features(word: str) -> list[int]:
@@ -80,33 +84,94 @@ class Emissions(dict):
         return e
 
 
-def marginals(e: np.ndarray, starts: np.ndarray, model: Field) -> np.ndarray:
-    """P(toxic) of each token; ``e`` holds the emissions of all sequences one
-    after the other, ``starts`` their offsets with the end appended."""
+def _odds(w: np.ndarray, begin: np.ndarray, doc_of: np.ndarray, n_docs: int, matrix, start: float) -> np.ndarray:
+    """Odds after each token of a chain of fractional maps o -> (a o + b) / (c o + d),
+    where ``matrix`` gives a, b, c, d of tokens. ``begin`` holds the offsets of the
+    stretches, with the end appended, ``doc_of`` their documents in order; each
+    document starts from the odds ``start``. The maps of a stretch are multiplied, the
+    stretches chained by document, and each then run from the odds it begins with."""
+    length = np.diff(begin)
+    order = np.argsort(-length, kind="stable")
+    first, size = begin[:-1][order], length[order]
+    active = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left")
+    a, b, c, d = (np.full(len(first), x) for x in (1.0, 0.0, 0.0, 1.0))
+    for t, k in enumerate(active):
+        p, q, r, u = matrix(first[:k] + t)
+        na, nb = p * a[:k] + q * c[:k], p * b[:k] + q * d[:k]
+        nc, nd = r * a[:k] + u * c[:k], r * b[:k] + u * d[:k]
+        top = np.maximum(np.maximum(na, nb), np.maximum(nc, nd))
+        a[:k], b[:k], c[:k], d[:k] = na / top, nb / top, nc / top, nd / top
+    whole = np.empty((4, len(first)))
+    whole[:, order] = a, b, c, d
+    into = np.empty(len(first))
+    at = np.concatenate(([0], np.cumsum(np.bincount(doc_of, minlength=n_docs))))
+    count = np.diff(at)
+    ranked = np.argsort(-count, kind="stable")
+    now = np.full(n_docs, start)
+    for t, k in enumerate(np.searchsorted(-count[ranked], -np.arange(int(count.max()) if n_docs else 0), side="left")):
+        docs = ranked[:k]
+        j = at[docs] + t
+        into[j] = now[docs]
+        m = whole[:, j]
+        now[docs] = (m[0] * now[docs] + m[1]) / (m[2] * now[docs] + m[3])
+    out, now = np.empty(len(w)), into[order]
+    for t, k in enumerate(active):
+        p, q, r, u = matrix(first[:k] + t)
+        now[:k] = (p * now[:k] + q) / (r * now[:k] + u)
+        out[first[:k] + t] = now[:k]
+    return out
+
+
+def chain(e: np.ndarray, starts: np.ndarray, model: Field) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Odds of toxic by the tokens up to each token, odds of what follows it, and
+    exp of its emission; ``e`` holds the emissions of all sequences one after the
+    other, ``starts`` their offsets with the end appended."""
+    w = np.exp(np.clip(e, -60, 60))
+    stay, enter, leave = np.exp(model.stay), np.exp(model.enter), np.exp(model.leave)
+    n_docs = len(starts) - 1
     lengths = np.diff(starts)
-    order = np.argsort(-lengths, kind="stable")
-    first, length = starts[:-1][order], lengths[order]
-    longest = int(length[0]) if len(length) else 0
-    active = np.searchsorted(-length, -np.arange(longest), side="left")
-    ahead, behind = np.empty_like(e), np.empty_like(e)
-    stay, enter, leave = model.stay, model.enter, model.leave
-    last = None
-    for t in range(longest):
-        at = first[:active[t]] + t
-        if t == 0:
-            last = e[at]
-        else:
-            r = last[:active[t]]
-            last = e[at] + np.logaddexp(enter, r + stay) - np.logaddexp(0.0, r + leave)
-        ahead[at] = last
-    carry = np.zeros(len(length))
-    for t in range(longest - 1, -1, -1):
-        k = active[t]
-        at = first[:k] + t
-        behind[at] = carry[:k]
-        x = e[at] + carry[:k]
-        carry[:k] = np.logaddexp(leave, stay + x) - np.logaddexp(0.0, enter + x)
-    return 1.0 / (1.0 + np.exp(-np.clip(ahead + behind, -50, 50)))
+    pieces = -(-lengths // SEGMENT)
+    doc_of = np.repeat(np.arange(n_docs), pieces)
+    inner = np.arange(len(doc_of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = np.append(starts[doc_of] + inner * SEGMENT, len(w))
+    head = np.zeros(len(w), bool)
+    head[starts[:-1][lengths > 0]] = True
+
+    def forward(at):
+        h = head[at]
+        return np.where(h, 0.0, w[at] * stay), np.where(h, w[at], w[at] * enter), np.where(h, 0.0, leave), 1.0
+
+    ahead = _odds(w, begin, doc_of, n_docs, forward, 1.0)
+    # what follows a token: the same from the end, each map made by the token before
+    back = w[::-1]
+    tail = np.zeros(len(w), bool)
+    tail[len(w) - starts[1:][lengths > 0]] = True
+
+    def backward(at):
+        t, y = tail[at], back[np.maximum(at - 1, 0)]
+        return np.where(t, 0.0, stay * y), np.where(t, 1.0, leave), np.where(t, 0.0, enter * y), 1.0
+
+    turned = (len(w) - starts)[::-1]
+    lengths, pieces = lengths[::-1], pieces[::-1]
+    doc_of = np.repeat(np.arange(n_docs), pieces)
+    inner = np.arange(len(doc_of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = np.append(turned[doc_of] + inner * SEGMENT, len(w))
+    behind = _odds(back, begin, doc_of, n_docs, backward, 1.0)[::-1]
+    return ahead, behind, w
+
+
+def marginals(e: np.ndarray, starts: np.ndarray, model: Field) -> np.ndarray:
+    """P(toxic) of each token."""
+    ahead, behind, _ = chain(e, starts, model)
+    return 1.0 / (1.0 + 1.0 / np.maximum(ahead * behind, 1e-30))
+
+
+def transition_counts(ahead, behind, w, joined, model: Field) -> np.ndarray:
+    """Expected toxic-to-toxic, clean-to-toxic and toxic-to-clean steps into the
+    tokens at ``joined``, which follow another of their sequence."""
+    a, y = ahead[joined - 1], w[joined] * behind[joined]
+    stay, enter, leave = a * y * np.exp(model.stay), y * np.exp(model.enter), a * np.exp(model.leave)
+    return np.array([(x / (1.0 + stay + enter + leave)).sum() for x in (stay, enter, leave)])
 
 
 def document_inputs(p: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -185,8 +250,8 @@ def _tagging_features(texts: list[str], toxic: np.ndarray) -> set[int]:
 
 
 def fit(texts: list[str], toxic: list[int], rounds: int = 30, rate: float = 0.4) -> Field:
-    """Maximum likelihood by Adam over all tokens of the sample, then the score's
-    logistic regression. Deterministic."""
+    """Maximum likelihood of the tags, emissions and transitions together, by Adam over
+    all tokens of the sample; then the score's logistic regression. Deterministic."""
     first = independent(texts)
     texts, y = [texts[i] for i in first], np.asarray([toxic[i] for i in first])
     model = Field()
@@ -207,37 +272,34 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 30, rate: float = 0.4)
     starts = np.concatenate(([0], np.cumsum([len(ws) for ws in words])))
     doc = np.repeat(np.arange(len(words)), np.diff(starts))
     tags = (tagged_word[ids] & (y[doc] == 1)).astype(float)
-    rest = np.ones(len(ids), bool)
-    rest[starts[:-1][np.diff(starts) > 0]] = False
-    prev = np.zeros(len(ids))
-    prev[1:] = tags[:-1]
-    prev[~rest] = 0
-    seen = [float((tags * prev * rest).sum()), float((tags * (1 - prev) * rest).sum()), float(((1 - tags) * prev * rest).sum())]
-    # transitions: smoothed log odds of the tag pairs; emissions: gradient of the token likelihood
-    # relative to clean after clean, which scores 0 together with the emission bias
-    expected = (tags.sum() + 1) ** 2 / (len(tags) + 1)
-    model.stay = float(np.clip(np.log((seen[0] + 1) / (expected + 1)), -3, 3))
-    model.enter = float(np.clip(np.log((seen[1] + 1) / (tags.sum() + 1)), -1, 1))
-    model.leave = float(np.clip(np.log((seen[2] + 1) / (tags.sum() + 1)), -1, 1))
+    follows = np.ones(len(ids), bool)
+    follows[starts[:-1][np.diff(starts) > 0]] = False
+    joined = np.flatnonzero(follows)
+    now, prev = tags[joined], tags[joined - 1]
+    seen = np.array([(now * prev).sum(), (now * (1 - prev)).sum(), ((1 - now) * prev).sum()])
+    # relative to clean after clean, which scores 0
     w = np.zeros(_BUCKETS + 1)
-    bias = float(np.log((tags.sum() + 1) / (len(tags) + 1)))
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+    free = np.array([float(np.log((tags.sum() + 1) / (len(tags) + 1))), 0.0, 0.0, 0.0])  # bias, stay, enter, leave
+    m, v, mf, vf = np.zeros_like(w), np.zeros_like(w), np.zeros(4), np.zeros(4)
     n_words = len(vocabulary)
+    del feats
     for step in range(1, rounds + 1):
-        emission = bias + w[table].sum(axis=1)
-        p = marginals(emission[ids], starts, model)
+        model.stay, model.enter, model.leave = free[1:]
+        ahead, behind, odds = chain((free[0] + w[table].sum(axis=1))[ids], starts, model)
+        p = 1.0 / (1.0 + 1.0 / np.maximum(ahead * behind, 1e-30))
         miss = np.bincount(ids, weights=tags - p, minlength=n_words)
         g = np.bincount(table.ravel(), weights=np.repeat(miss, width), minlength=_BUCKETS + 1) - 0.02 * w
         g[_BUCKETS] = 0.0
-        gb = float((tags - p).sum())
+        gf = np.concatenate(([(tags - p).sum()], seen - transition_counts(ahead, behind, odds, joined, model) - 0.02 * free[1:]))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
+        mf, vf = 0.9 * mf + 0.1 * gf, 0.99 * vf + 0.01 * gf * gf
         a, b = 1 - 0.9 ** step, 1 - 0.99 ** step
         w += rate * (m / a) / (np.sqrt(v / b) + 1e-6)
-        bias += rate * (mb / a) / (np.sqrt(vb / b) + 1e-6)
+        free += rate * (mf / a) / (np.sqrt(vf / b) + 1e-6) * np.array([1.0, 0.25, 0.25, 0.25])
         w[_BUCKETS] = 0.0
-    model.weights, model.bias = w[:_BUCKETS].astype(np.float32), bias
-    x = document_inputs(marginals((bias + w[table].sum(axis=1))[ids], starts, model), starts)
+    model.weights, model.bias = w[:_BUCKETS].astype(np.float32), float(free[0])
+    model.stay, model.enter, model.leave = map(float, free[1:])
+    x = document_inputs(marginals((model.bias + w[table].sum(axis=1))[ids], starts, model), starts)
     design = np.column_stack([np.ones(len(y)), x])
     beta = np.zeros(3)
     for _ in range(30):
@@ -250,18 +312,25 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 30, rate: float = 0.4)
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, train, per_class: dict[int, int],
                     chars: int, id_col: str = "doc_id", text_col: str = "text"):
-    """(texts, labels) of a bounded sample: ``per_class`` rows of each label by a
-    hash of the id, ``train`` a condition on doc_id, texts up to ``chars`` long."""
+    """(texts, labels) of a bounded sample of the labelled rows that ``docs`` holds:
+    ``per_class`` rows of each label by a hash of the id, ``train`` a condition on
+    doc_id, as many of them as ``chars`` characters of a class allow (one at least)."""
     one = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
            .where(F.col("y").isNotNull() & train).groupBy("doc_id").agg(F.max("y").alias("y")))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    sizes = texts.groupBy("doc_id").agg(F.max(F.length("text")).cast("long").alias("size"))
+    held = one.join(sizes, "doc_id").withColumn("place", F.xxhash64("doc_id"))
     chosen = None
     for y, n in per_class.items():
-        part = one.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        part = held.where(F.col("y") == y).orderBy("place", "doc_id").limit(n)
+        earlier = F.sum("size").over(Window.orderBy("place", "doc_id")) - F.col("size")  # over n rows
+        part = part.withColumn("earlier", earlier).where((F.col("earlier") + F.col("size") <= chars) | (F.col("earlier") == 0))
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    rows = (texts.join(F.broadcast(chosen), "doc_id").where(F.length("text") <= chars)
-            .select("doc_id", "text", "y").dropDuplicates(["doc_id"]).collect())
+    rows = (texts.join(F.broadcast(chosen.select("doc_id", "y")), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect())
     rows.sort(key=lambda r: r.doc_id)
+    missing = [y for y in per_class if not any(r.y == y for r in rows)]
+    if missing:
+        warnings.warn(f"no labelled rows with {label} {missing}: the model tells nothing apart", stacklevel=2)
     return [r.text for r in rows], [r.y for r in rows]
 
 
@@ -274,12 +343,24 @@ def fit_from_tables(docs: DataFrame, labels: DataFrame, train) -> Field:
 SPANS = "array<struct<start:int,end:int,p:double>>"
 
 
+def emissions(text: str, memo: Emissions) -> np.ndarray:
+    """Emissions of the words of a text, split into words a stretch at a time."""
+    parts, at = [], 0
+    while at < len(text) or not parts:
+        gap = _GAP.search(text, at + PART_CHARS) if len(text) - at > PART_CHARS else None
+        end = gap.start() if gap else len(text)
+        words = _WORD.findall(text, at, end)
+        parts.append(np.fromiter(map(memo.__getitem__, words), float, len(words)))
+        at = max(end, at + 1)
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
 def tag_batch(texts: list[str], memo: Emissions, spans: bool = True):
     """Scores of a batch of texts and, if asked for, their toxic spans."""
-    words = [_WORD.findall(t) for t in texts]
-    starts = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)
-    e = np.fromiter((memo[w] for ws in words for w in ws), dtype=float, count=int(starts[-1]))
-    p = marginals(e, starts, memo.model)
+    es = [emissions(t, memo) for t in texts]
+    starts = np.concatenate(([0], np.cumsum([len(e) for e in es]))).astype(np.int64)
+    p = marginals(np.concatenate(es) if es else np.zeros(0), starts, memo.model)
+    del es
     scores = document_scores(document_inputs(p, starts), memo.model)
     if not spans:
         return scores, None
@@ -293,31 +374,26 @@ def tag_batch(texts: list[str], memo: Emissions, spans: bool = True):
     return scores, hits
 
 
-def score_toxicity(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, spans of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def with_toxicity(rows: DataFrame, model: Field, text_col: str = "text", spans: bool = True, keep_text: bool = True,
+                  score: str = "score") -> DataFrame:
+    """``rows`` with the score of each text and, if asked for, its spans."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
-    def run(batches):
+    def scorer():
         memo = Emissions(shared.value)
-        for b in batches:
-            scores, hits = tag_batch(b.column(1).to_pylist(), memo)
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(hits, kind)],
-                                             names=["doc_id", "score", "spans"])
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, score double, spans {SPANS}")
 
+        def run(texts):
+            scores, hits = tag_batch(texts, memo, spans)
+            return [pa.array(scores, pa.float64())] + ([pa.array(hits, kind)] if spans else [])
+        return run
+    return map_texts(rows, text_col, scorer, f"`{score}` double" + (f", spans {SPANS}" if spans else ""), PART_CHARS, keep_text)
 
-def score_column(model: Field, spark):
-    """A pandas UDF of a text column: the document score."""
-    shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo = Emissions(shared.value)
-        for texts in parts:
-            yield pd.Series(tag_batch(texts.fillna("").tolist(), memo, spans=False)[0])
-    return score
+def score_toxicity(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, score, spans of each row."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    return with_toxicity(rows, model, keep_text=False)
 
 
 THRESHOLD = 0.7

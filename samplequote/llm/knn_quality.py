@@ -5,7 +5,7 @@ case, digits, punctuation kept), pairs of neighbouring shapes, words repeated
 from the one before, bits of its length. Weighted by inverse document frequency
 and reduced to a few latent dimensions by a singular value decomposition, both
 fitted to a bounded sample of labelled rows (``SAMPLE`` documents by a hash of
-their ids, without texts longer than ``SAMPLE_CHARS``), the sample's unit
+their ids, whole texts, as many as ``SAMPLE_CHARS`` characters of a class allow), the sample's unit
 vectors and labels are broadcast (``SAMPLE`` x ``DIMENSIONS`` floats, 1 MB).
 Every document's cosines with all of them are computed exactly, a block of
 documents at a time, and the ``NEIGHBOURS`` nearest vote with their similarity
@@ -21,19 +21,20 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, labels as label_table, text_of
+from .common import documents, held_out, labels as label_table, map_texts, text_of
 from .crf_toxicity import training_sample
 
-SAMPLE, SAMPLE_CHARS, DIMENSIONS, NEIGHBOURS = 4000, 50_000, 48, 15
+#: Labelled rows that the space is fitted to, characters of a class at most, latent dimensions, votes.
+SAMPLE, SAMPLE_CHARS, DIMENSIONS, NEIGHBOURS = 4000, 16_000_000, 48, 15
+#: Characters that are counted at once in a task.
+PART_CHARS = 1 << 21
 THRESHOLD = 0.3
 _WIDTH = 1024
 _RUNS = re.compile(r"(.)\1+")
@@ -134,31 +135,20 @@ def fit_from_tables(docs: DataFrame, labels: DataFrame, train) -> Neighbours:
     return fit(*training_sample(docs, labels, "quality", train, share, SAMPLE_CHARS))
 
 
-def score_quality(docs: DataFrame, model: Neighbours, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def with_quality(rows: DataFrame, model: Neighbours, text_col: str = "text", keep_text: bool = True, score: str = "score") -> DataFrame:
+    """``rows`` with the score of each text."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    def scorer():
         shapes = Shapes()
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            scores = np.concatenate([shared.value.scores(counts(texts[i:i + 2000], shapes)) for i in range(0, len(texts), 2000)] or [[]])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double")
-
+        return lambda texts: [pa.array(shared.value.scores(counts(texts, shapes)), pa.float64())]
+    return map_texts(rows, text_col, scorer, f"`{score}` double", PART_CHARS, keep_text)
 
-def score_column(model: Neighbours, spark):
-    """A pandas UDF of a text column: the document score."""
-    shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        shapes = Shapes()
-        for texts in parts:
-            rows = texts.fillna("").tolist()
-            yield pd.Series(np.concatenate([shared.value.scores(counts(rows[i:i + 2000], shapes)) for i in range(0, len(rows), 2000)] or [[]]))
-    return score
+def score_quality(docs: DataFrame, model: Neighbours, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, score of each row."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    return with_quality(rows, model, keep_text=False)
 
 
 def op9_knn_quality(spark, sf_dir: str) -> DataFrame:

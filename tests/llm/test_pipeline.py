@@ -44,11 +44,32 @@ def test_stages_on_odd_tables(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     rows = [(1, "one two three", "en", "s", 13), (1, "one two three", "en", "s", 13), (None, "one two three", None, None, None), (2, None, "en", "s", 0)]
     docs = spark.createDataFrame(rows, schema)
-    assert sorted((r.doc_id or 0) for r in p.exact(spark, docs, SF_SMALL).collect()) == [0, 1, 2]
+    assert sorted(r.doc_id for r in p.exact(spark, docs, SF_SMALL).collect()) == [1, 2]
+    assert sorted(r.doc_id for r in p.near(spark, docs, SF_SMALL).collect()) == [1, 2]
     for name, stage in p.STAGES:
         assert stage(spark, docs.where("false"), SF_SMALL).count() == 0
 
 
+def test_rows_are_told_apart_whatever_their_ids(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row long, quality string, toxicity double, score double"
+    long = " ".join(f"w{i}" for i in range(60))
+    def table(rows):
+        return spark.createDataFrame([(i, t, "en", "s", 0, 7, "q", 0.5, 0.5) for i, t in rows], schema)
+    # equal after normalising, under one id; without an id
+    assert p.exact(spark, table([(1, "one two three"), (1, "onetwo three")]), SF_SMALL).count() == 1
+    assert p.exact(spark, table([(None, "one two"), (None, "one two"), (4, "one two")]), SF_SMALL).collect()[0].doc_id == 4
+    assert p.exact(spark, table([(None, "one two"), (None, "one two"), (None, "another")]), SF_SMALL).count() == 2
+    # near copies under one id; without an id
+    assert p.near(spark, table([(1, long), (1, long + " more"), (2, "some other words of a text")]), SF_SMALL).count() == 2
+    assert p.near(spark, table([(None, long), (None, long + " more"), (None, long.upper())]), SF_SMALL).count() == 1
+    # a third of the rows under one id
+    many = [(9, f"text number {i} of the very same id") for i in range(20)] + [(i, f"document {i} on its own matters") for i in range(40, 60)]
+    assert p.exact(spark, table(many + many), SF_SMALL).count() == 40
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, table([(1, "clean words of a text"), (2, None)]), SF_SMALL)
+        assert out.columns == table([]).columns
+
+
 def test_texts_of_one_id_are_judged_each(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     a = "seven tall zebras watch the brown fox from a distant green hill today"
