@@ -1,64 +1,76 @@
 """Cleaning pipeline over ``documents``: five stages, each written as Parquet and
 read again as the next one's input.
 
-Filtering stages return the columns of their input. Rows with a null id are
-judged by the two classifiers and then stay (they cannot be named in a
-deduplication's result); a row that repeats another's id and text goes in the
-exact stage. Empty tables pass through all stages.
+Filtering stages return the columns of their input. Every row is judged by its
+text, whatever its id: of rows with equal texts, or of near duplicates, one stays,
+also where they share an id or have none (then one that has an id, if any). Empty
+tables pass through all stages.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samplequote.llm import common, crf_toxicity, exact_dedup, knn_quality, near_dedup, packing
-from samplequote.llm.common import text_of
 
 #: Words of a shingle and percent of similarity in the near-duplicate stage.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the tagging model does not reject."""
     common.ship(spark)
     model = crf_toxicity.fit_from_tables(docs, common.labels(spark, sf_dir), ~common.held_out("doc_id", 3, 1))
-    return docs.where(crf_toxicity.score_column(model, spark)(text_of()) < crf_toxicity.THRESHOLD)
+    name = _free(docs, "toxicity")
+    return crf_toxicity.with_toxicity(docs, model, spans=False, score=name).where(F.col(name) < crf_toxicity.THRESHOLD).drop(name)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose nearest labelled neighbours do not vote them out."""
     common.ship(spark)
     model = knn_quality.fit_from_tables(docs, common.labels(spark, sf_dir), ~common.held_out("doc_id", 5, 0))
-    return docs.where(knn_quality.score_column(model, spark)(text_of()) >= knn_quality.THRESHOLD)
+    name = _free(docs, "quality")
+    return knn_quality.with_quality(docs, model, score=name).where(F.col(name) >= knn_quality.THRESHOLD).drop(name)
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` and the column that tells its rows apart: the id, or where ids are null
+    or repeated a number given to each row, the largest ones to rows without an id."""
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    if odd.isEmpty():
+        return docs, "doc_id"
+    name = _free(docs, "row")
+    key = F.monotonically_increasing_id() + F.when(F.col("doc_id").isNull(), F.lit(1 << 62)).otherwise(F.lit(0))
+    return common.stored(docs.withColumn(name, key), "keyed"), name
 
 
-def _without(docs: DataFrame, judged: DataFrame, digest: Column) -> DataFrame:
-    """Rows of ``docs`` except those that ``judged`` (doc_id, text_digest, kept) drops:
-    an id can have several texts, each judged on its own. ``digest`` is that of a row of ``docs``."""
-    dropped = (judged.where("doc_id is not null and not kept")
-               .select(F.col("doc_id").alias("dropped_id"), F.col("text_digest").alias("dropped_digest")).distinct())
-    return docs.join(dropped, (docs["doc_id"] == dropped["dropped_id"]) & (digest == dropped["dropped_digest"]), "left_anti")
+def _kept(docs: DataFrame, judged: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``columns`` of the rows of ``docs`` that ``judged`` (doc_id: their key, kept) keeps."""
+    dropped = judged.where("not kept").select(F.col("doc_id").alias("dropped"))
+    return docs.join(dropped, docs[key] == F.col("dropped"), "left_anti").select(*columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     common.ship(spark)
-    judged = exact_dedup.deduplicate(*exact_dedup.halves(docs))
-    kept = _without(docs, judged.withColumnRenamed("text_sha256", "text_digest"),
-                    F.sha2(exact_dedup.normalised(text_of()).cast("binary"), 256))
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if not repeated.isEmpty():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null"))
-    return kept
+    rows, key = _keyed(docs)
+    return _kept(rows, exact_dedup.deduplicate(*exact_dedup.halves(rows, key), id_col=key), key, docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     common.ship(spark)
-    judged = near_dedup.near_duplicates(docs, NEAR_WORDS, NEAR_PERCENT, digest=True)
-    return _without(docs, judged, near_dedup.text_digest(text_of()))
+    rows, key = _keyed(docs)
+    return _kept(rows, near_dedup.near_duplicates(rows, NEAR_WORDS, NEAR_PERCENT, id_col=key), key, docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,11 +45,11 @@ def adjudicate(df: DataFrame, params: QuoteParams = DEFAULT_PARAMS) -> DataFrame
     p = params
     out = df.selectExpr("*", f"try_divide(sqrt(abs(P2 - P1)), {_d(p.alpha)} * abs(LOI1 - LOI2) + abs(IR1 - IR2)) AS S")
     out = out.selectExpr("*", f"{_d(p.a)} * S + {_d(p.b)} * (CSI - 3) + {_d(p.c)} * (CII - 3) "
-                              f"+ {_d(p.d)} * (PSI - 3) AS indox_combo")
-    g0 = ("CASE WHEN indox_combo < 0 THEN indox_combo ELSE 0.0D END" if p.gamma_clip == "negative"
-          else "coalesce(indox_combo, 0.0D)")
-    out = out.selectExpr("*", f"{g0} AS gamma_temp_0")
-    out = out.selectExpr("*", *[f"try_divide(1.0D, 1 + {_d(1.0 - beta)} * gamma_temp_0) AS gamma{x}"
+                              f"+ {_d(p.d)} * (PSI - 3) AS index_blend")
+    g0 = ("CASE WHEN index_blend < 0 THEN index_blend ELSE 0.0D END" if p.gamma_clip == "negative"
+          else "coalesce(index_blend, 0.0D)")
+    out = out.selectExpr("*", f"{g0} AS index_drop")
+    out = out.selectExpr("*", *[f"try_divide(1.0D, 1 + {_d(1.0 - beta)} * index_drop) AS gamma{x}"
                                 for x, beta in (("A", p.beta_a), ("B", p.beta_b), ("C", p.beta_c))])
     return out.selectExpr("*", *[f"gamma{x} * P2 + (1 - gamma{x}) * P1 AS Price{x}" for x in "ABC"])
 

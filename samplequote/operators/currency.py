@@ -16,15 +16,13 @@ def latest_rates(rates: DataFrame, month_format: str | None = None,
 
     ``month_format=None`` compares months as text (``2022-9`` beats
     ``2022-10``); a pattern such as ``"yyyy-M"`` compares parsed dates.
-    Planned as a left-semi join against a one-row aggregate, which Spark
-    broadcasts.
+    The latest month is a scalar subquery over the month column alone: on a table
+    staged by month (``staging.stage_rates``) it reads no rates, and the filter it gives is
+    a partition filter, so only the latest month's files are scanned.
     """
     order = F.col("month") if month_format is None else F.to_date("month", month_format)
-    keyed = rates.withColumn("_month_order", order)
-    latest = keyed.agg(F.max("_month_order").alias("_month_order"))
-    return (keyed.join(latest, "_month_order", "left_semi")
-            .withColumn("Rate", to_double("Rate", strict))
-            .drop("_month_order"))
+    latest = rates.select(order.alias("_month_order")).agg(F.max("_month_order"))
+    return rates.where(order == latest.scalar()).withColumn("Rate", to_double("Rate", strict))
 
 
 def prepare_rates(latest: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:

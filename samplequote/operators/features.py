@@ -28,10 +28,11 @@ def country_counts(df: DataFrame, country: str = "proposal_country_code",
 def with_country_count(df: DataFrame, scope: str | None = "batch",
                        country: str = "proposal_country_code",
                        proposal_keys: Sequence[str] = ("proposal_id", "revision_number"),
-                       params: QuoteParams = DEFAULT_PARAMS) -> DataFrame:
+                       params: QuoteParams = DEFAULT_PARAMS, counted: DataFrame | None = None) -> DataFrame:
     """Add the number of audience rows sharing the row's audience country,
     over the whole batch (``"batch"``) or within one proposal
-    (``"proposal"``). A NULL country gets NULL.
+    (``"proposal"``). A NULL country gets NULL. ``counted`` are the rows that
+    are counted, where ``df`` is a filtered part of them.
 
     Batch scope aggregates first and broadcasts the per-country counts once
     their number is proven small, instead of a window that would move every
@@ -41,7 +42,7 @@ def with_country_count(df: DataFrame, scope: str | None = "batch",
     if scope == "given":  # computed upstream (per request, on streams)
         return df
     by = () if scope == "batch" else tuple(proposal_keys)
-    counts = country_counts(df, country, by).withColumnRenamed(country, "_cc_country")
+    counts = country_counts(df if counted is None else counted, country, by).withColumnRenamed(country, "_cc_country")
     if scope == "batch":
         counts = bounded_broadcast(counts, params.max_broadcast_countries, materialize=True,
                                    label="country counts")
@@ -53,11 +54,11 @@ def with_country_count(df: DataFrame, scope: str | None = "batch",
 
 
 def with_features(df: DataFrame, scope: str | None = "batch",
-                  params: QuoteParams = DEFAULT_PARAMS) -> DataFrame:
+                  params: QuoteParams = DEFAULT_PARAMS, counted: DataFrame | None = None) -> DataFrame:
     """Add the 14 scorer features next to the flat request columns."""
     aliases = [f"`{src}` AS `{dst}`" for src, dst in FEATURE_RENAMES.items() if src != dst]
     out = df.selectExpr("*", *aliases)
-    out = with_country_count(out, scope, params=params)
+    out = with_country_count(out, scope, params=params, counted=counted)
     return out.selectExpr("*", "CAST(coalesce(AudienceCountryA3 = account_country_code, false) AS INT) "
                                f"AS {SAME_COUNTRY}")
 

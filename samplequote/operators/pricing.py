@@ -16,6 +16,9 @@ from .broadcast import fits_broadcast
 
 #: Column of factors joined with the USD rate of their currency.
 USD_RATE = "usd_rate"
+#: Key parts that all slots of a row share, and the column of their factor rows.
+FAMILY_KEYS = ("BrandID", "ProductID", "CountryID", "Client_Segment", "Client")
+FAMILY = "_family"
 
 # Pricer slots: (prefix, company column, inputs kind).
 QUOTE_SLOTS = (
@@ -82,6 +85,34 @@ def factor_side(factors: DataFrame, prefix: str, fits: bool) -> DataFrame:
     return F.broadcast(side) if fits else side
 
 
+def with_family(df: DataFrame, factors: DataFrame, brand: str = "brand", product: str = "product",
+                country: str = "country", segment: str = "segment", client: str = "client") -> DataFrame:
+    """``df`` with ``FAMILY``: the factor rows that share the five key parts which are
+    the same in all slots of a row, as an array; a slot picks by company and LOI.
+
+    For factors too large to broadcast: one shuffle of the rows serves every slot (a
+    hot key's rows are split by the skew join). A family holds a key's companies
+    times its LOI buckets."""
+    families = (factors.groupBy(*[F.col(k).alias(f"_family_{k}") for k in FAMILY_KEYS])
+                .agg(F.collect_list(F.struct(*factors.columns)).alias(FAMILY)))
+    same = F.lit(True)
+    for c, k in zip((brand, product, country, segment, client), FAMILY_KEYS):
+        same = same & (F.col(c) == F.col(f"_family_{k}"))
+    return df.join(families, same, "left").drop(*[f"_family_{k}" for k in FAMILY_KEYS])
+
+
+def _looked_up(rows: DataFrame, factors: DataFrame, fits: bool, p: str, row_keys: list[str], f) -> DataFrame:
+    """``rows`` with the columns of their factor row as ``_{p}_*`` (NULL without one, a
+    row for each of several): from the row's family where it has one, else by a join."""
+    if FAMILY not in rows.columns:
+        cond = " AND ".join(f"{rk} = {f(fk)}" for rk, fk in zip(row_keys, FACTOR_KEYS))
+        return rows.join(factor_side(factors, p, fits), F.expr(cond), "left")
+    own = " AND ".join(f"x.{fk} = {rk}" for rk, fk in zip(row_keys, FACTOR_KEYS) if fk not in FAMILY_KEYS)
+    fields = ", ".join(f"'_{p}_{c}', x.`{c}`" for c in factors.columns)
+    hits = f"transform(filter({FAMILY}, x -> {own}), x -> named_struct({fields}, '_{p}_hit', true))"
+    return rows.selectExpr("*", f"inline_outer({hits})")
+
+
 def price(df: DataFrame, factors: DataFrame, fits: bool, prefix: str, company: str, loi: str,
           job_ir: str, brand: str = "brand", product: str = "product", country: str = "country",
           segment: str = "segment", client: str = "client",
@@ -91,7 +122,7 @@ def price(df: DataFrame, factors: DataFrame, fits: bool, prefix: str, company: s
 
     Arguments name columns of ``df``. Adds ``{prefix}_cpi``, ``_ir_used``,
     ``_loi_used``, ``_currency`` and ``_status``, and ``_usd_rate`` where the
-    factors carry it."""
+    factors carry it. Rows that carry their ``FAMILY`` of factors join nothing."""
     p = prefix
     f = lambda name: q(f"_{p}_{name}")
     bucket = f"{p}_loi_bucket"
@@ -99,8 +130,7 @@ def price(df: DataFrame, factors: DataFrame, fits: bool, prefix: str, company: s
     rows = df.selectExpr("*", f"{sql_loi_bucket(q(loi), params.loi_step, params.loi_cap)} AS {q(bucket)}")
     row_keys = [q(company), q(brand), q(product), q(country), f"CAST({q(bucket)} AS STRING)",
                 q(segment), q(client)]
-    cond = " AND ".join(f"{rk} = {f(fk)}" for rk, fk in zip(row_keys, FACTOR_KEYS))
-    joined = rows.join(factor_side(factors, p, fits), F.expr(cond), "left")
+    joined = _looked_up(rows, factors, fits, p, row_keys, f)
     # Three projections, each intermediate computed once: tier and
     # breakpoint, then the price, then the outputs that test the price.
     tier = sql_ir_tier(q(job_ir), f)
@@ -158,7 +188,7 @@ def four_way_quotes(df: DataFrame, factors: DataFrame, commission: DataFrame,
         factors_fit = fits_broadcast(factors, params.max_broadcast_factors)
     if commission_fits is None:
         commission_fits = fits_broadcast(commission, params.max_broadcast_commission)
-    out = df
+    out = df if factors_fit else with_family(df, factors)
     for prefix, company, kind in QUOTE_SLOTS[:2]:
         loi, job_ir = slot_inputs(kind)
         out = price(out, factors, factors_fit, prefix, company, loi, job_ir, params=params)
@@ -166,7 +196,7 @@ def four_way_quotes(df: DataFrame, factors: DataFrame, commission: DataFrame,
     for prefix, company, kind in QUOTE_SLOTS[2:]:
         loi, job_ir = slot_inputs(kind)
         out = price(out, factors, factors_fit, prefix, company, loi, job_ir, params=params)
-    return out
+    return out.drop(FAMILY)
 
 
 def missing_factors(df: DataFrame, factors: DataFrame, company: str, loi: str,

@@ -32,16 +32,14 @@ fx_rate_counts AS (
               WHEN '3-MEDIUM' THEN 'GBP' ELSE 'JPY' END AS From_Currency,
          strftime(least(CAST(o_orderdate AS DATE), DATE '2001-06-01'), '%Y-%m') AS month,
          count(*) AS n
-  FROM orders
-  WHERE o_orderpriority NOT IN ('4-NOT SPECIFIED', '5-LOW') OR CAST(o_orderdate AS DATE) < DATE '2001-01-01'
-  GROUP BY ALL),
+  FROM orders GROUP BY ALL),
 fx_rates AS (
   SELECT From_Currency, month,
          CAST(units // 10000 AS VARCHAR) || '.' || lpad(CAST(units % 10000 AS VARCHAR), 4, '0') AS Rate
   FROM (SELECT From_Currency, month,
                CASE From_Currency WHEN 'USD' THEN 10000 WHEN 'EUR' THEN 10500 + n % 97
                     WHEN 'GBP' THEN 12500 + n % 89 ELSE 77 + n % 5 END AS units
-        FROM fx_rate_counts)),
+        FROM fx_rate_counts WHERE From_Currency <> 'JPY' OR month <= '2000-12')),
 fx_pairs AS (
   SELECT DISTINCT p_brand, p_type, TRY_CAST(substring(p_brand, 7, 16) AS INTEGER) AS bi
   FROM part WHERE p_type <> 'PROMO' OR p_brand <> 'Brand#5'),
@@ -143,9 +141,13 @@ def pf_cte() -> str:
     return f"pf AS (SELECT {keys},\n  {nums},\n  Rate_Currency FROM fx_price_factors)"
 
 
-LATEST_RATES_CTE = f"""latest_rates AS (
+def latest_rates_cte(until: str = "9999-99") -> str:
+    return f"""latest_rates AS (
   SELECT From_Currency, month, {nan_null('TRY_CAST(Rate AS DOUBLE)')} AS Rate FROM fx_rates
-  WHERE month IN (SELECT max(month) FROM fx_rates))"""
+  WHERE month IN (SELECT max(month) FROM fx_rates WHERE month <= '{until}'))"""
+
+
+LATEST_RATES_CTE = latest_rates_cte()
 
 
 def feat_cte(scope: str | None = "batch") -> str:
@@ -175,14 +177,33 @@ RAW_SCORES = {
 }
 
 
-def cast_cte() -> str:
+def cast_cte(own: dict[str, str] | None = None) -> str:
+    raw = {**RAW_SCORES, **(own or {})}
     return f"""casted AS (
-  SELECT *, {trunc_int(f'CAST(({RAW_SCORES["ir"]}) AS DOUBLE)')} AS Athena_IR_raw,
-         {trunc_int(f'CAST(({RAW_SCORES["cr"]}) AS DOUBLE) * {dbl(100)}')} AS Athena_CR,
-         {trunc_int(f'CAST(({RAW_SCORES["loi"]}) AS DOUBLE)')} AS Athena_LOI_raw
+  SELECT *, {trunc_int(f'CAST(({raw["ir"]}) AS DOUBLE)')} AS Athena_IR_raw,
+         {trunc_int(f'CAST(({raw["cr"]}) AS DOUBLE) * {dbl(100)}')} AS Athena_CR,
+         {trunc_int(f'CAST(({raw["loi"]}) AS DOUBLE)')} AS Athena_LOI_raw
   FROM feat)"""
 
 
+def score_model_sql(keys: str, loi_cuts) -> str:
+    """The models of the ``score_model`` query, fitted and applied in SQL."""
+    def step(feature, cuts):
+        return "CASE " + " ".join(f"WHEN {feature} <= {c} THEN {i}" for i, c in enumerate(cuts)) + f" ELSE {len(cuts)} END"
+    cr, loi = step("feaAudienceWaves", (1, 2, 3)), step("SoldLOI", loi_cuts)
+    return pipeline_sql(DEFAULT_PARAMS, "casted") + f""",
+sums AS (SELECT CAST(count(*) AS HUGEINT) AS n, CAST(sum(SoldLOI) AS HUGEINT) AS sx, CAST(sum(PrmWeightedIR_1) AS HUGEINT) AS sy,
+                CAST(sum(SoldLOI * SoldLOI) AS HUGEINT) AS sxx, CAST(sum(SoldLOI * PrmWeightedIR_1) AS HUGEINT) AS sxy FROM feat),
+line AS (SELECT CAST(n * sxy - sx * sy AS DOUBLE) / CAST(n * sxx - sx * sx AS DOUBLE) AS slope,
+                CAST(sy * sxx - sx * sxy AS DOUBLE) / CAST(n * sxx - sx * sx AS DOUBLE) AS intercept FROM sums),
+waves AS (SELECT {cr} AS s, CAST(sum(PrmReqCompletes) AS DOUBLE) / count(*) AS mean FROM feat GROUP BY 1),
+lengths AS (SELECT {loi} AS s, CAST(sum(SoldLOI) AS DOUBLE) / count(*) AS mean FROM feat GROUP BY 1),
+fitted AS (SELECT feat.*, intercept + slope * SoldLOI AS ir_score, waves.mean / 1000 AS cr_score, lengths.mean AS loi_score
+           FROM feat, line JOIN waves ON waves.s = {cr} JOIN lengths ON lengths.s = {loi})
+SELECT {keys}, ir_score, cr_score, loi_score, {trunc_int('ir_score')} AS Athena_IR,
+       {trunc_int('cr_score * 100')} AS Athena_CR, {trunc_int('loi_score')} AS Athena_LOI FROM fitted"""
+
+
 def clamp(e: str, low, high) -> str:
     return f"(CASE WHEN {e} <= {low} THEN {low} WHEN {e} >= {high} THEN {high} ELSE {e} END)"
 
@@ -289,9 +310,9 @@ usd AS (
 
 def adjudicated_ctes(p: QuoteParams) -> str:
     di = p.default_index
-    clip = ("CASE WHEN indox_combo < 0 THEN indox_combo ELSE CAST(0 AS DOUBLE) END"
-            if p.gamma_clip == "negative" else "coalesce(indox_combo, CAST(0 AS DOUBLE))")
-    gam = ", ".join(f"{dbl(1)} / nullif(1 + {dbl(1.0 - beta)} * gamma_temp_0, 0) AS gamma{x}"
+    clip = ("CASE WHEN index_blend < 0 THEN index_blend ELSE CAST(0 AS DOUBLE) END"
+            if p.gamma_clip == "negative" else "coalesce(index_blend, CAST(0 AS DOUBLE))")
+    gam = ", ".join(f"{dbl(1)} / nullif(1 + {dbl(1.0 - beta)} * index_drop, 0) AS gamma{x}"
                     for x, beta in (("A", p.beta_a), ("B", p.beta_b), ("C", p.beta_c)))
     return f"""adj_in AS (
   SELECT usd.*,
@@ -309,8 +330,8 @@ adj_s AS (
   FROM adj_in),
 adj_c AS (
   SELECT *, {dbl(p.a)} * S + {dbl(p.b)} * (CSI - 3) + {dbl(p.c)} * (CII - 3) + {dbl(p.d)} * (PSI - 3)
-    AS indox_combo FROM adj_s),
-adj_g AS (SELECT *, {clip} AS gamma_temp_0 FROM adj_c),
+    AS index_blend FROM adj_s),
+adj_g AS (SELECT *, {clip} AS index_drop FROM adj_c),
 adj_w AS (SELECT *, {gam} FROM adj_g),
 adj AS (
   SELECT *, gammaA * P2 + (1 - gammaA) * P1 AS PriceA, gammaB * P2 + (1 - gammaB) * P1 AS PriceB,
@@ -335,10 +356,10 @@ def local_cte(p: QuoteParams) -> str:
 
 
 def pipeline_sql(p: QuoteParams, upto: str, scope: str | None = None,
-                 commission_how: str = "LEFT") -> str:
+                 commission_how: str = "LEFT", rates_until: str = "9999-99") -> str:
     """WITH clause up to the named stage."""
     stages = ["feat", "casted", "scored", "pin", "usd", "band", "loc"]
-    parts = [FIXTURE_CTES.strip(), pf_cte(), LATEST_RATES_CTE, feat_cte(scope), cast_cte(), scored_cte(p)]
+    parts = [FIXTURE_CTES.strip(), pf_cte(), latest_rates_cte(rates_until), feat_cte(scope), cast_cte(), scored_cte(p)]
     if stages.index(upto) >= stages.index("pin"):
         parts.append(pin_cte(p))
     if stages.index(upto) >= stages.index("usd"):
@@ -350,5 +371,12 @@ def pipeline_sql(p: QuoteParams, upto: str, scope: str | None = None,
     return "WITH " + ",\n".join(parts) + "\n"
 
 
+def country_proposals_cte() -> str:
+    """fx_country_proposals: one proposal for each account country."""
+    from ..sources.fixtures import COUNTRY_PROPOSAL
+    own = ", ".join(f"{e} AS {c}" for c, e in COUNTRY_PROPOSAL.items())
+    return f"fx_country_proposals AS (SELECT * REPLACE ({own}) FROM fx_audience)"
+
+
 def with_fixtures(*extra: str) -> str:
     return "WITH " + ",\n".join([FIXTURE_CTES.strip(), pf_cte(), LATEST_RATES_CTE, *extra]) + "\n"

@@ -20,15 +20,18 @@ from ..operators.adjudicate import adjudicate, adjudication_inputs, floor_indice
 from ..operators.currency import latest_rates
 from ..operators.features import COUNTRY_COUNT, FEATURE_COLUMNS, country_counts, with_features
 from ..operators.flatten import explode_audiences, explode_countries, flatten_request
+from ..operators.models import fit_linear, fit_steps
+from ..operators.quarantine import quarantine, with_reasons
 from ..operators.scoring import apply_scorers, clamp_scores, count_scorers, demo_scorers, score_cast
 from ..params import DEFAULT_PARAMS, VALID_COMPANIES, QuoteParams
 from ..schemas import (FACTOR_KEYS, FACTOR_NUMERIC, FLAT_REQUEST_COLUMNS, PRICE_FACTORS_SCHEMA,
                        PROPOSAL_FIELDS, COST_RENAMES, ACCOUNT_RENAMES)
 from ..session import ensure_checkpoint_dir, staging_path
 from ..sources import fixtures as fx
-from ..sources.requests import nest_requests, parse_requests, read_requests, request_json, write_requests
-from ..sources.sinks import quote_json
-from ..sources.staging import create_namespace, read_lookup_csv, stage_lookup, write_lookup_csv
+from ..sources.requests import (nest_requests, parse_requests, read_requests, request_json,
+                                write_request_documents, write_requests)
+from ..sources.sinks import PAGE_RECORDS, RECORD_ORDER, parse_records, quote_json, quote_records
+from ..sources.staging import create_namespace, read_lookup_csv, read_rates, stage_lookup, stage_rates, write_lookup_csv
 from ..sources.tables import Tables, stamp
 from . import oracles as o
 from .quote import band_rows, local_rows, prepare_lookups, priced_rows, quote, scored_rows
@@ -86,7 +89,8 @@ def _ctx(spark, sf_dir, params=DEFAULT_PARAMS) -> Ctx:
 # --- sources ------------------------------------------------------------------
 
 def q_latest_rates(spark, sf_dir):
-    return latest_rates(fx.fx_rates(Tables(spark, sf_dir))).select("From_Currency", "month", "Rate")
+    path = stage_rates(fx.fx_rates(Tables(spark, sf_dir)), staging_path(spark, "rates-by-month"))
+    return latest_rates(read_rates(spark, path)).select("From_Currency", "month", "Rate")
 
 
 def q_commission_scan(spark, sf_dir):
@@ -142,6 +146,25 @@ def q_explode_countries(spark, sf_dir):
                        F.size("country.audiences").alias("n_audiences"))
 
 
+def odd_documents(docs: DataFrame) -> DataFrame:
+    """Request documents some of which have no country list or an empty one, and some of
+    whose countries have no audience list or an empty one."""
+    kind = F.col("proposal_id") % 11
+    def country(c, i):
+        lost = F.pmod(F.col("proposal_id") + i, F.lit(5))
+        kept = F.when(lost == 0, F.lit(None)).when(lost == 1, F.filter(c["audiences"], lambda a: F.lit(False))).otherwise(c["audiences"])
+        return c.withField("audiences", kept)
+    countries = F.transform("countries", country)
+    return docs.withColumn("countries", F.when(kind == 0, F.lit(None)).when(kind == 1, F.filter("countries", lambda c: F.lit(False))).otherwise(countries))
+
+
+def q_audience_positions(spark, sf_dir):
+    """Positions in both lists of every document, missing and empty lists included."""
+    docs = odd_documents(_nested(_ctx(spark, sf_dir)))
+    return flatten_request(docs, keep_positions=True).select(
+        "proposal_id", "country_pos", "proposal_country_code", "audience_pos", "audience_uuid")
+
+
 def q_explode_audiences(spark, sf_dir):
     rows = explode_audiences(explode_countries(_nested(_ctx(spark, sf_dir))))
     return rows.select("proposal_id", "revision_number",
@@ -157,6 +180,26 @@ def q_request_json(spark, sf_dir):
     return flatten_request(parse_requests(texts, "json")).select(*FLAT_REQUEST_COLUMNS)
 
 
+def q_request_documents(spark, sf_dir):
+    """Proposals of thousands of audiences, one JSON document each, written and read back;
+    with the number of documents of each proposal."""
+    t = Tables(spark, sf_dir)
+    path = write_request_documents(fx.fx_country_proposals(t), staging_path(spark, "documents"))
+    docs = read_requests(spark, path)
+    lines = docs.groupBy(F.col("proposal_id").alias("_p")).agg(F.count("*").alias("documents"))
+    return flatten_request(docs).join(lines, F.col("proposal_id") == F.col("_p")).select(*FLAT_REQUEST_COLUMNS, "documents")
+
+
+def q_nested_pages(spark, sf_dir):
+    """The same proposals as typed documents in pages: audiences of each country over all pages."""
+    docs = nest_requests(fx.fx_country_proposals(Tables(spark, sf_dir)))
+    rows = explode_countries(docs).select("proposal_id", "page_count", F.col("country.country_code").alias("country_code"),
+                                          F.col("country.country_audiences").alias("country_audiences"),
+                                          F.size("country.audiences").alias("here"))
+    return (rows.groupBy("proposal_id", "page_count", "country_code", "country_audiences")
+            .agg(F.sum("here").alias("n_audiences")))
+
+
 # --- features and scores ------------------------------------------------------
 
 def q_quote_features(spark, sf_dir):
@@ -184,6 +227,22 @@ def q_score_responses(spark, sf_dir):
     return c.scored(count_scorers()).select(*KEYS, "Athena_IR", "Athena_CR", "Athena_LOI")
 
 
+LOI_CUTS = (10, 20, 30, 40)
+
+
+def q_score_model(spark, sf_dir):
+    """Scores of models fitted on all line items and compiled into Columns."""
+    feats = with_features(_ctx(spark, sf_dir).audience, None)
+    fitted = {
+        "ir": F.expr(fit_linear(feats, ["SoldLOI"], "PrmWeightedIR_1")),
+        "cr": F.expr(fit_steps(feats, "feaAudienceWaves", "PrmReqCompletes", (1, 2, 3))) / 1000,
+        "loi": F.expr(fit_steps(feats, "SoldLOI", "SoldLOI", LOI_CUTS)),
+    }
+    raw = apply_scorers(feats, fitted)
+    return score_cast(raw.withColumns({"ir_score": F.col("_ir_score"), "cr_score": F.col("_cr_score"), "loi_score": F.col("_loi_score")})).select(
+        *KEYS, "ir_score", "cr_score", "loi_score", "Athena_IR", "Athena_CR", "Athena_LOI")
+
+
 # --- pricing ------------------------------------------------------------------
 
 PRICING_INPUT_COLS = ("company", "brand", "product", "country", "segment", "client", "srcSystem",
@@ -336,7 +395,7 @@ def q_floor_indices(spark, sf_dir):
                     F.col("competitive_intensity_index").alias("CII"))
 
 
-ADJ_COLS = ("S", "indox_combo", "gamma_temp_0", "gammaA", "gammaB", "gammaC", "PriceA", "PriceB", "PriceC")
+ADJ_COLS = ("S", "index_blend", "index_drop", "gammaA", "gammaB", "gammaC", "PriceA", "PriceB", "PriceC")
 
 
 def q_adjudicate(spark, sf_dir):
@@ -369,6 +428,30 @@ q_final_quote_named = _final(NAMED)
 q_final_quote_blend = _final(BLEND)
 
 
+#: Conditions on the finished quote: two that reach the scans and one on the price.
+QUOTE_CONDITIONS = ("proposal_country_code IN ('NATION_3', 'NATION_8')", "currency_code = 'EUR'", "HighPrice > 20")
+
+
+def q_final_quote_where(spark, sf_dir):
+    c = _ctx(spark, sf_dir, BLEND)
+    return quote(c.audience, c.lookups, count_scorers(), BLEND, where=QUOTE_CONDITIONS)
+
+
+#: Companies that the quarantine query takes as valid.
+KNOWN_COMPANIES = ("0", "1", "2", "3")
+
+
+def q_quarantined_rows(spark, sf_dir):
+    """Both sides of the quarantine, with the reasons against each row."""
+    c = _ctx(spark, sf_dir, NAMED)
+    rows = pr.pricing_inputs(c.scored(), NAMED).withColumn("raw_loi", F.col("audience_length_of_interview") * 3.0 - 5.0)
+    judged = with_reasons(rows, c.lookups.factors, "modelled_loi", ("sold_jobIr", "raw_loi"),
+                          valid=F.col("company").isin(*KNOWN_COMPANIES), params=NAMED)
+    q = quarantine(judged.select(*KEYS, "company", "reasons"), staging_path(spark, "quarantine"))
+    good = q.accepted.select(*KEYS, "company", F.lit("").alias("reason"))
+    return good.unionByName(q.rejected.select(*KEYS, "company", F.concat_ws(",", "reasons").alias("reason")))
+
+
 def q_quote_json(spark, sf_dir):
     """Quote records written as JSON text and parsed back, NULL prices included."""
     final = q_final_quote(spark, sf_dir)
@@ -377,6 +460,38 @@ def q_quote_json(spark, sf_dir):
     return texts.select(F.from_json(text, final.schema).alias("r")).select("r.*")
 
 
+def _records(by, page_records=PAGE_RECORDS):
+    def run(spark, sf_dir):
+        quotes = q_final_quote_blend(spark, sf_dir)
+        return parse_records(quote_records(quotes, by, page_records=page_records), quotes.schema)
+    return run
+
+
+#: The records array of each proposal, and of each country, whose arrays have several pages.
+q_quote_records = _records(("proposal_id", "revision_number"))
+q_country_records = _records(("proposal_country_code",))
+
+
+#: The last month of the rates that the first lookup version knows.
+FIRST_VERSION_MONTH = "2000-12"
+
+
+def q_stream_refreshed(spark, sf_dir):
+    """A stream over two published lookup versions: first revisions are priced by the
+    rates up to 2000-12, the others, which arrive after, by all rates."""
+    from ..streaming.stream import publish_lookups, stream_quotes_versioned
+    c = _ctx(spark, sf_dir)
+    base = staging_path(spark, "stream-versions")
+    rates = fx.fx_rates(c.t)
+    docs = _nested(c)
+    for known, arrived in ((rates.where(F.col("month") <= FIRST_VERSION_MONTH), "revision_number = 1"), (rates, "revision_number <> 1")):
+        publish_lookups(spark, f"{base}/lookups", fx.fx_price_factors(c.t), fx.fx_commission(c.t), known)
+        write_requests(docs.where(arrived), f"{base}/requests", mode="append")
+        q = stream_quotes_versioned(spark, f"{base}/requests", f"{base}/lookups", demo_scorers(), DEFAULT_PARAMS, f"{base}/out")
+        q.awaitTermination()
+    return spark.read.parquet(f"{base}/out/data").drop("epoch")
+
+
 def q_stream_quotes(spark, sf_dir):
     from ..streaming.stream import stream_quotes_to_table
     c = _ctx(spark, sf_dir)
@@ -409,6 +524,14 @@ nl AS (SELECT pin.*, {", ".join(f"f.{c} AS {c}" for c in FACTOR_NUMERIC)},
         f"WHEN Break{i} < {jq} THEN Break{i}" for i in range(1, 6)) + f" ELSE {jq} END)")
     step = pick("High_IR_Step", "Mid_IR_Step", "Low_IR_Step")
 
+    def records_sql(by):
+        place = (f"row_number() OVER (PARTITION BY {', '.join(by)} ORDER BY "
+                 + ", ".join(f"{c} NULLS FIRST" for c in RECORD_ORDER) + ") - 1")
+        return o.pipeline_sql(b, "loc") + (
+            f"SELECT CAST(place // {PAGE_RECORDS} AS INTEGER) AS page_no, CAST(ceil(size / {PAGE_RECORDS}) AS INTEGER) AS page_count, "
+            f"CAST(place % {PAGE_RECORDS} AS INTEGER) AS record_no, {final_cols} FROM (SELECT {final_cols}, {place} AS place, "
+            f"count(*) OVER (PARTITION BY {', '.join(by)}) AS size FROM loc)")
+
     def fac(x):
         return f"({o.dbl(1)} / nullif({o.trunc_int(f'{x} / nullif({step}, 0) + 1', 'BIGINT')}, 0))"
 
@@ -504,6 +627,37 @@ nl AS (SELECT pin.*, {", ".join(f"f.{c} AS {c}" for c in FACTOR_NUMERIC)},
         "final_quote_blend": o.pipeline_sql(b, "loc") + f"SELECT {final_cols} FROM loc",
         "request_json": o.with_fixtures() + f"SELECT {flat_cols} FROM fx_audience",
         "quote_json": o.pipeline_sql(d, "loc") + f"SELECT {final_cols} FROM loc",
+        "final_quote_where": o.pipeline_sql(b, "loc", "batch").replace(o.cast_cte(), o.cast_cte(
+            {"cr": f"feaNumberOfAudienceCountryA3 * {o.dbl(0.25)}"})) + (
+            f"SELECT {final_cols} FROM loc WHERE " + " AND ".join(QUOTE_CONDITIONS)),
+        "quarantined_rows": o.pipeline_sql(n, "pin") + (
+            f"SELECT {K}, company, array_to_string(list_filter(["
+            f"CASE WHEN company IN ({', '.join(repr(v) for v in KNOWN_COMPANIES)}) THEN NULL ELSE 'unknown_company' END, "
+            "CASE WHEN f.RegionID IS NULL THEN 'missing_factor' END, "
+            f"CASE WHEN sold_jobIr IS NULL OR sold_jobIr < 0 OR audience_length_of_interview * {o.dbl(3)} - {o.dbl(5)} < 0 THEN 'bad_number' END"
+            f"], lambda r: r IS NOT NULL), ',') AS reason FROM pin {o.join_on('f', 'company', 'modelled_bucket')}"),
+        "score_model": o.score_model_sql(K, LOI_CUTS),
+        "audience_positions": o.with_fixtures() + (
+            ", docs AS (SELECT proposal_id, proposal_country_code AS code, audience_uuid, "
+            "dense_rank() OVER (PARTITION BY proposal_id ORDER BY proposal_country_code) - 1 AS country_pos, "
+            "row_number() OVER (PARTITION BY proposal_id, proposal_country_code ORDER BY audience_uuid) - 1 AS audience_pos FROM fx_audience) "
+            "SELECT DISTINCT proposal_id, CAST(NULL AS INTEGER) AS country_pos, CAST(NULL AS VARCHAR) AS proposal_country_code, "
+            "CAST(NULL AS INTEGER) AS audience_pos, CAST(NULL AS VARCHAR) AS audience_uuid FROM docs WHERE proposal_id % 11 < 2 "
+            "UNION ALL SELECT DISTINCT proposal_id, CAST(country_pos AS INTEGER), code, NULL, NULL FROM docs "
+            "WHERE proposal_id % 11 >= 2 AND (proposal_id + country_pos) % 5 < 2 "
+            "UNION ALL SELECT proposal_id, CAST(country_pos AS INTEGER), code, CAST(audience_pos AS INTEGER), audience_uuid FROM docs "
+            "WHERE proposal_id % 11 >= 2 AND (proposal_id + country_pos) % 5 >= 2"),
+        "stream_refreshed": " UNION ALL ".join(
+            f"SELECT {final_cols}, CAST({v} AS INTEGER) AS lookup_version FROM ({o.pipeline_sql(d, 'loc', rates_until=until)} SELECT * FROM loc WHERE {arrived})"
+            for v, until, arrived in ((1, FIRST_VERSION_MONTH, "revision_number = 1"), (2, "9999-99", "revision_number <> 1"))),
+        "quote_records": records_sql(("proposal_id", "revision_number")),
+        "country_records": records_sql(("proposal_country_code",)),
+        "request_documents": o.with_fixtures(o.country_proposals_cte()) + (
+            f"SELECT {flat_cols}, CAST(1 AS BIGINT) AS documents FROM fx_country_proposals"),
+        "nested_pages": o.with_fixtures(o.country_proposals_cte()) + (
+            "SELECT proposal_id, CAST(ceil(sum(n) OVER (PARTITION BY proposal_id) / 500) AS INTEGER) AS page_count, "
+            "proposal_country_code AS country_code, n AS country_audiences, n AS n_audiences "
+            "FROM (SELECT proposal_id, proposal_country_code, count(*) AS n FROM fx_country_proposals GROUP BY ALL)"),
         "stream_quotes": o.pipeline_sql(d, "loc") + f"SELECT {final_cols} FROM loc",
     }
 
@@ -517,12 +671,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flatten_request": q_flatten_request,
     "explode_countries": q_explode_countries,
     "explode_audiences": q_explode_audiences,
+    "audience_positions": q_audience_positions,
     "request_json": q_request_json,
+    "request_documents": q_request_documents,
+    "nested_pages": q_nested_pages,
     "quote_features": q_quote_features,
     "country_counts": q_country_counts,
     "score_cast": q_score_cast,
     "clamp_scores": q_clamp_scores,
     "score_responses": q_score_responses,
+    "score_model": q_score_model,
     "pricing_input": q_pricing_input,
     "factor_cast": q_factor_cast,
     "factor_key": q_factor_key,
@@ -533,6 +691,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ir_factor": q_ir_factor,
     "cpi_quote": q_cpi_quote,
     "missing_factors": q_missing_factors,
+    "quarantined_rows": q_quarantined_rows,
     "duplicate_factors": q_duplicate_factors,
     "company_validity": q_company_validity,
     "fieldwork_inputs": q_fieldwork_inputs,
@@ -546,8 +705,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "final_quote": q_final_quote,
     "final_quote_named": q_final_quote_named,
     "final_quote_blend": q_final_quote_blend,
+    "final_quote_where": q_final_quote_where,
     "quote_json": q_quote_json,
+    "quote_records": q_quote_records,
+    "country_records": q_country_records,
     "stream_quotes": q_stream_quotes,
+    "stream_refreshed": q_stream_refreshed,
 }
 
 

@@ -8,10 +8,11 @@ stage: no shuffle of the big input at any point.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.adjudicate import adjudicate, adjudication_inputs, price_band
@@ -81,14 +82,15 @@ SCORES = ("Athena_IR", "Athena_CR", "Athena_LOI")
 
 
 def scored_rows(flat: DataFrame, scorers: Mapping[str, object],
-                params: QuoteParams = DEFAULT_PARAMS, keep=None) -> DataFrame:
+                params: QuoteParams = DEFAULT_PARAMS, keep=None, counted: DataFrame | None = None) -> DataFrame:
     """Flat rows plus clamped Athena_IR / Athena_CR / Athena_LOI. The
-    per-country count feature is computed only when a scorer may read it.
+    per-country count feature is computed only when a scorer may read it, over
+    ``counted`` where ``flat`` is a part of those rows.
 
     ``keep=None`` keeps every flat column; a sequence keeps only the columns
     the quote plan needs plus ``keep``, so later stages carry narrow rows."""
     scope = params.country_count_scope if needs_column(scorers, COUNTRY_COUNT, with_features(flat, None, params)) else None
-    feats = with_features(flat, scope, params)
+    feats = with_features(flat, scope, params, counted)
     scored = score(feats, scorers, params)
     drop = [dst for src, dst in FEATURE_RENAMES.items() if src != dst]
     scored = scored.drop(*drop, COUNTRY_COUNT, "feaAudienceCountryIsAccountCountry")
@@ -134,15 +136,38 @@ def local_rows(banded: DataFrame, lk: Lookups, params: QuoteParams = DEFAULT_PAR
                      "Strand2PriceUSD": "Strand2Price"}, params.direction)
 
 
+def split_conditions(conditions, made: tuple[str, ...]) -> tuple[list[Column], list[Column]]:
+    """Conditions on the finished quote that read only columns which pass through the
+    plan as they are, and the others: those in whose text a name of ``made`` stands."""
+    before, after = [], []
+    names = re.compile("|".join(rf"\b{re.escape(m)}\b" for m in made), re.IGNORECASE)
+    for c in conditions:
+        (after if names.search(str(c)) else before).append(F.expr(c) if isinstance(c, str) else c)
+    return before, after
+
+
 def quote(flat: DataFrame, lookups: Lookups, scorers: Mapping[str, object],
-          params: QuoteParams = DEFAULT_PARAMS, extra_columns=("fieldwork_company",)) -> DataFrame:
+          params: QuoteParams = DEFAULT_PARAMS, extra_columns=("fieldwork_company",), where=()) -> DataFrame:
     """End to end: one output row per audience and fieldwork company (one
-    row with NULL prices when the audience country has no company)."""
+    row with NULL prices when the audience country has no company).
+
+    ``where`` are conditions (SQL texts or Columns, all must hold) on the finished
+    quote. The stage markers keep Catalyst from moving a filter on the result below
+    them, so those that read only columns passed through are applied to the flat
+    rows, from where they reach the scans; the others filter the result. The batch's
+    country counts stay those of all rows."""
+    before, after = split_conditions(where, ("HighPrice", "LowPrice", "Strand2Price", "fieldwork_company"))
+    whole = flat
+    for c in before:
+        flat = flat.where(c)
     keep = [c for c in extra_columns if c in flat.columns]
-    rows = local_rows(band_rows(priced_rows(scored_rows(flat, scorers, params, keep), lookups, params),
-                                params), lookups, params)
+    scored = scored_rows(flat, scorers, params, keep, whole if before else None)
+    rows = local_rows(band_rows(priced_rows(scored, lookups, params), params), lookups, params)
     cols = [F.col(c) for c in OUTPUT_COLUMNS]
     if params.output_scale is not None:
         cols = [F.bround(F.col(c), params.output_scale).alias(c)
                 if c in ("HighPrice", "LowPrice", "Strand2Price") else F.col(c) for c in OUTPUT_COLUMNS]
-    return rows.select(*cols, *extra_columns)
+    out = rows.select(*cols, *extra_columns)
+    for c in after:
+        out = out.where(c)
+    return out

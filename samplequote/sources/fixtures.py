@@ -23,7 +23,7 @@ MISSING_FACTOR_BRAND = "Brand#5"             # with PROMO: no price-factor row
 MISSING_FACTOR_TYPE = "PROMO"
 LOI_BUCKETS = (5, 60, 5)                     # start, stop, step of the factor grid
 RATE_FOLD_DAY = dt.date(2001, 6, 1)          # later orders fold into this month
-JPY_LAST_DAY = dt.date(2001, 1, 1)           # JPY quotes stop before this day
+JPY_LAST_MONTH = "2000-12"                   # later JPY rates are not published
 # -------------------------------------------------------------------------------
 
 
@@ -55,14 +55,11 @@ def fx_rates(t: Tables) -> DataFrame:
     """Monthly currency-to-USD rates as text (From_Currency, month, Rate),
     one row per currency and month seen in ``orders``. JPY has no rate in the
     latest month, so JPY-priced quotes get no USD price."""
-    o = t.orders
-    day = F.to_date("o_orderdate")
-    priority = F.col("o_orderpriority")
-    keep = (~priority.isin("4-NOT SPECIFIED", "5-LOW")) | (day < F.lit(JPY_LAST_DAY))
-    counts = (o.where(keep)
-              .groupBy(_currency_of_priority(priority).alias("From_Currency"),
-                       F.date_format(F.least(day, F.lit(RATE_FOLD_DAY)), "yyyy-MM").alias("month"))
-              .agg(F.count(F.lit(1)).alias("n")))
+    counts = (t.orders
+              .groupBy(_currency_of_priority(F.col("o_orderpriority")).alias("From_Currency"),
+                       F.date_format(F.least(F.to_date("o_orderdate"), F.lit(RATE_FOLD_DAY)), "yyyy-MM").alias("month"))
+              .agg(F.count(F.lit(1)).alias("n"))
+              .where((F.col("From_Currency") != "JPY") | (F.col("month") <= JPY_LAST_MONTH)))
     cur, n = F.col("From_Currency"), F.col("n")
     units = (F.when(cur == "USD", F.lit(10000)).when(cur == "EUR", 10500 + n % 97)
              .when(cur == "GBP", 12500 + n % 89).otherwise(77 + n % 5))
@@ -172,4 +169,44 @@ AUDIENCE_COLUMNS = (
 )
 
 
+# Proposals that hold all audiences of an account country (hundreds to thousands of
+# them each): the proposal's and the account's fields as SQL expressions of that country.
+COUNTRY_PROPOSAL = {
+    "proposal_id": "CAST(substring(account_country_code, 8, 9) AS BIGINT)",
+    "proposal_uuid": "concat('P-', account_country_code)",
+    "proposal_name": "concat('All of ', account_country_code)",
+    "revision_number": "CAST(1 AS INT)",
+    "pricing_formula": "'2000-01'",
+    "brand": "concat('Brand#', substring(account_country_code, 8, 9))",
+    "proposed_fieldwork_length": "CAST(10 AS INT)",
+    "fieldwork_start_date": "'01/01/2000'",
+    "fieldwork_end_date": "'02/01/2000'",
+    "service_type": "CAST(NULL AS STRING)",
+    "project_type": "'PROMO'",
+    "rush_job": "account_company_number = '1'",
+    "proposal_strategic_index": "CAST(3 AS INT)",
+    "competitive_intensity_index": "CAST(4 AS INT)",
+    "currency_code": "'EUR'",
+    "total_price": "CAST(1000.5 AS DOUBLE)",
+    "incentives_costs": "CAST(1.5 AS DOUBLE)",
+    "panel_partner_costs": "CAST(0 AS DOUBLE)",
+    "labor_costs": "CAST(0 AS DOUBLE)",
+    "translations_costs": "CAST(0 AS DOUBLE)",
+    "other_costs": "CAST(0 AS DOUBLE)",
+    "panel_investment_costs": "CAST(0 AS DOUBLE)",
+    "account_uuid": "concat('C-', account_country_code)",
+    "account_name": "concat('Accounts of \"', account_country_code, '\"')",
+    "client_strategic_index": "CAST(NULL AS INT)",
+    "client_segment": "'(All)'",
+    "account_maconomy_number": "'0'",
+    "account_preferred_currency": "'USD'",
+}
+
+
+def fx_country_proposals(t: Tables) -> DataFrame:
+    """The flat request rows with one proposal for each account country."""
+    a = fx_audience(t)
+    return a.selectExpr(*[f"{COUNTRY_PROPOSAL[c]} AS {c}" if c in COUNTRY_PROPOSAL else c for c in a.columns])
+
+
 ROW_KEY = ("proposal_id", "audience_no", "part_no", "supp_no", "ship_day", "total_price")

@@ -1,24 +1,40 @@
 """Nested request documents: reading, building from flat rows, serialising.
 
-Building documents groups audiences under their proposal. A proposal can be
-arbitrarily large (one may hold a third of all rows), so documents are cut
-into pages of about ``page_size`` audiences: a per-proposal count (partial
-aggregation, tiny shuffle) decides how many pages a proposal gets, and each
-audience goes to a page by hash. No group larger than a page is ever
-collected into one task. Each page says which of how many it is, and each of its
-countries how many audiences the whole proposal has there, so that nothing
-computed from a page depends on the page size.
+A proposal can be arbitrarily large (one may hold a third of all rows). There are
+two ways out of flat rows, and neither collects a whole proposal into one group:
+
+* ``nest_requests`` builds typed documents in pages of about ``page_size``
+  audiences: a per-proposal count (partial aggregation) decides how many pages a
+  proposal gets, and each audience goes to a page by hash.
+* ``write_request_documents`` streams each proposal as one JSON document into a
+  line of text: its rows are ranked without a task per proposal, each becomes a
+  fragment of text (with the document's or country's beginning or end where it is the
+  first or last), and a task writes the sorted fragments one after the other. So a
+  document is not bounded by a row or a task's memory. One task writes a line;
+  proposals over ``document_rows`` audiences become several documents.
+
+Each page says which of how many it is, and each of its countries how many
+audiences the whole proposal has there, so that nothing computed from a page
+depends on the page size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.broadcast import fits_broadcast, stored_lookup
+from ..operators.ordering import rank_rows
 from ..schemas import (ACCOUNT_RENAMES, AUDIENCE_RENAMES, COST_RENAMES,
                        COUNTRY_RENAMES, PROPOSAL_FIELDS, REQUEST_DDL)
 
 DEFAULT_PAGE_SIZE = 500
+#: Audiences that one document of ``write_request_documents`` holds at most.
+DOCUMENT_ROWS = 1_000_000
+#: Documents of several pages, and their countries, that are broadcast at most.
+MAX_BROADCAST_PAGED = 100_000
+_COUNTRY = list(COUNTRY_RENAMES.values())[0]
+_NULLS = {"ignoreNullFields": "false"}
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
@@ -31,50 +47,65 @@ def parse_requests(df: DataFrame, column: str = "value") -> DataFrame:
     return df.select(F.from_json(F.col(column), REQUEST_DDL).alias("_r")).select("_r.*")
 
 
-def _doc_columns():
+def _document() -> Column:
+    """Every proposal-level field: the document without its countries."""
     costs = F.struct(*[F.col(v).alias(k) for k, v in COST_RENAMES.items()]).alias("total_costs")
     account = F.struct(*[F.col(v).alias(k) for k, v in ACCOUNT_RENAMES.items()]).alias("account")
-    return costs, account
+    return F.struct(*[F.col(c) for c in PROPOSAL_FIELDS], costs, account)
+
+
+def _audience() -> Column:
+    return F.struct(*[F.col(v).alias(k) for k, v in AUDIENCE_RENAMES.items()])
+
+
+def _keyed(flat: DataFrame) -> DataFrame:
+    """Rows of document, country and audience, with the document's key: two
+    independent hashes of all its fields, 128 bits together."""
+    fields = [F.col(c) for c in (*PROPOSAL_FIELDS, *COST_RENAMES.values(), *ACCOUNT_RENAMES.values())]
+    return flat.select(F.xxhash64(*fields).alias("_d1"), F.xxhash64(F.lit("document"), *reversed(fields)).alias("_d2"),
+                       _document().alias("_document"), F.col(_COUNTRY).alias("_country"), _audience().alias("_audience"))
 
 
 def nest_requests(flat: DataFrame, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
     """Flat audience rows -> request documents (the inverse of
     ``flatten_request``), one document per proposal page.
 
-    The document key is every proposal-level field (scalars, costs, account);
-    audiences are grouped by country inside the page."""
-    costs, account = _doc_columns()
-    doc_fields = list(PROPOSAL_FIELDS) + ["total_costs", "account"]
-    country_col = list(COUNTRY_RENAMES.values())[0]
-    audience = F.struct(*[F.col(v).alias(k) for k, v in AUDIENCE_RENAMES.items()]).alias("aud")
-    rows = flat.select(*PROPOSAL_FIELDS, costs, account, F.col(country_col).alias("_country"), audience)
-    rows = rows.withColumn("_doc", F.xxhash64(*doc_fields)).withColumn("_dc", F.xxhash64("_doc", "_country"))
-    # per (proposal, country) counts by partial aggregation, summed per proposal: narrow tables
-    counts = rows.groupBy("_doc", "_dc").agg(F.count(F.lit(1)).alias("_cc"))
-    sizes = counts.groupBy("_doc").agg(F.sum("_cc").alias("_n"))
-    pages = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(page_size))).cast("int")
-    counts = counts.join(sizes, "_doc").select("_dc", "_cc", pages.alias("page_count"))
-    rows = rows.join(counts, "_dc").withColumn("page_no", F.pmod(F.xxhash64("aud", "_country"), F.col("page_count")).cast("int"))
+    Rows are stored once, counted by a narrow aggregation, and shuffled once, by
+    document and page. Only documents of several pages need the counts: where those
+    are few they are broadcast, so the rows do not move for them."""
+    rows = stored_lookup(_keyed(flat), "request-rows")
+    doc = ["_d1", "_d2"]
+    counts = stored_lookup(rows.groupBy(*doc, "_country").agg(F.count(F.lit(1)).alias("_cc")), "request-counts")
+    sizes = counts.groupBy(*doc).agg(F.sum("_cc").alias("_n")).where(F.col("_n") > page_size)
+    paged = stored_lookup(sizes.select(*doc, F.ceil(F.col("_n") / page_size).cast("int").alias("_pages")), "request-pages")
+    if paged.isEmpty():
+        rows = rows.withColumns({"_pages": F.lit(1), "_cc": F.lit(None).cast("long")})
+    else:
+        of_paged = counts.join(paged, doc).select(*[F.col(d).alias(f"_p{d}") for d in doc], F.col("_country").alias("_pc"), "_cc", "_pages")
+        if fits_broadcast(of_paged, MAX_BROADCAST_PAGED):
+            of_paged = F.broadcast(of_paged)
+        same = (F.col("_d1") == F.col("_p_d1")) & (F.col("_d2") == F.col("_p_d2")) & F.col("_country").eqNullSafe(F.col("_pc"))
+        rows = rows.join(of_paged, same, "left").withColumn("_pages", F.coalesce("_pages", F.lit(1)))
+    page = F.when(F.col("_pages") > 1, F.pmod(F.xxhash64("_audience", "_country"), F.col("_pages")).cast("int")).otherwise(0)
     # One aggregation per page; countries are then formed inside the page
     # (at most about page_size audiences) with array functions.
-    keys = [*doc_fields, "page_no", "page_count"]
-    items = (rows.groupBy("_doc", *keys)
-             .agg(F.collect_list(F.struct(F.col("_country").alias("c"), F.col("_cc").alias("n"),
-                                          F.col("aud").alias("a"))).alias("_items")))
+    items = (rows.groupBy(*doc, page.alias("page_no"))
+             .agg(F.any_value("_document").alias("_document"), F.any_value("_pages").alias("page_count"),
+                  F.collect_list(F.struct(F.col("_country").alias("c"), F.col("_cc").alias("n"), F.col("_audience").alias("a"))).alias("_items")))
     codes = F.array_sort(F.array_distinct(F.transform("_items", lambda x: F.struct(x["c"].alias("c"), x["n"].alias("n")))))
-    countries = F.transform(codes, lambda code: F.struct(
-        code["c"].alias("country_code"), code["n"].alias("country_audiences"),
-        F.array_sort(F.transform(F.filter("_items", lambda x: x["c"].eqNullSafe(code["c"])),
-                                 lambda x: x["a"])).alias("audiences")))
-    return items.select(*keys, countries.alias("countries"))
+    countries = F.transform(codes, lambda code: F.struct(code["c"].alias("country_code"), code["n"].alias("n"),
+        F.array_sort(F.transform(F.filter("_items", lambda x: x["c"].eqNullSafe(code["c"])), lambda x: x["a"])).alias("audiences")))
+    counted = F.transform(F.col("_countries"), lambda c: F.struct(
+        c["country_code"].alias("country_code"), F.coalesce(c["n"], F.size(c["audiences"]).cast("long")).alias("country_audiences"),
+        c["audiences"].alias("audiences")))
+    return items.withColumn("_countries", countries).select("_document.*", "page_no", "page_count", counted.alias("countries"))
 
 
 def request_json(requests: DataFrame) -> DataFrame:
     """One JSON document per request, NULL fields written as ``null``."""
     return requests.select(
         F.col("proposal_id"), F.col("revision_number"),
-        F.to_json(F.struct(*[F.col(c) for c in requests.columns]),
-                  {"ignoreNullFields": "false"}).alias("json"))
+        F.to_json(F.struct(*[F.col(c) for c in requests.columns]), _NULLS).alias("json"))
 
 
 def write_requests(requests: DataFrame, path: str, mode: str = "errorifexists",
@@ -84,3 +115,41 @@ def write_requests(requests: DataFrame, path: str, mode: str = "errorifexists",
     (requests.write.mode(mode).option("ignoreNullFields", "false")
      .option("compression", compression).option("maxRecordsPerFile", file_rows).json(path))
     return path
+
+
+def request_fragments(flat: DataFrame, document_rows: int = DOCUMENT_ROWS) -> DataFrame:
+    """``_d1, _d2, page_no, rank, fragment``: the text of each row in the JSON documents,
+    which is the row's audience with what begins before it and ends after it."""
+    rows = _keyed(flat).withColumn("_json", F.to_json("_audience", _NULLS))
+    ranked = rank_rows(rows.drop("_audience"), ["_d1", "_d2"], ["_country", "_json"], "request-fragments")
+    doc = ["_d1", "_d2"]
+    spans = (ranked.groupBy(*doc, "_country").agg(F.min("rank").alias("_first"), F.count("*").alias("_n"))
+             .select(*[F.col(d).alias(f"_s{d}") for d in doc], F.col("_country").alias("_sc"), "_first", "_n"))
+    same = (F.col("_d1") == F.col("_s_d1")) & (F.col("_d2") == F.col("_s_d2")) & F.col("_country").eqNullSafe(F.col("_sc"))
+    r = ranked.join(spans, same).withColumn("page_no", F.floor(F.col("rank") / document_rows).cast("int"))
+    begin = F.col("page_no").cast("long") * document_rows
+    end = F.least(begin + document_rows, F.col("size"))
+    opens, closes = F.col("rank") == begin, F.col("rank") == end - 1
+    country_opens = F.col("rank") == F.greatest(begin, F.col("_first"))
+    country_closes = F.col("rank") == F.least(end, F.col("_first") + F.col("_n")) - 1
+    head = F.to_json("_document", _NULLS)
+    pages = F.ceil(F.col("size") / document_rows).cast("int")
+    begins = F.concat(F.substring(head, F.lit(1), F.length(head) - 1),
+                      F.lit(',"page_no":'), F.col("page_no").cast("string"), F.lit(',"page_count":'), pages.cast("string"), F.lit(',"countries":['))
+    country = F.concat(F.lit('{"country_code":'), F.coalesce(F.expr("substring(to_json(array(_country)), 2, length(to_json(array(_country))) - 2)"), F.lit("null")),
+                       F.lit(',"country_audiences":'), F.col("_n").cast("string"), F.lit(',"audiences":['))
+    fragment = F.concat(F.when(opens, begins).otherwise(F.lit("")),
+                        F.when(country_opens, F.concat(F.when(opens, F.lit("")).otherwise(F.lit(",")), country)).otherwise(F.lit(",")),
+                        F.col("_json"), F.when(country_closes, F.lit("]}")).otherwise(F.lit("")), F.when(closes, F.lit("]}\n")).otherwise(F.lit("")))
+    return r.select(*doc, "page_no", "rank", fragment.alias("fragment"))
+
+
+def write_request_documents(flat: DataFrame, path: str, document_rows: int = DOCUMENT_ROWS, mode: str = "errorifexists",
+                            compression: str = "gzip") -> str:
+    """Flat audience rows -> JSON lines of one document per proposal, streamed from
+    sorted fragments. Fragments are set apart by a space, which JSON allows."""
+    n = int(flat.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = ["_d1", "_d2", "page_no"]
+    (request_fragments(flat, document_rows).repartition(n, *key).sortWithinPartitions(*key, "rank").select("fragment")
+     .write.mode(mode).option("lineSep", " ").option("maxRecordsPerFile", 0).option("compression", compression).text(path))
+    return path

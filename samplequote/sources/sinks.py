@@ -1,18 +1,56 @@
-"""Quote sinks: JSON records and tables."""
+"""Quote sinks: JSON records, records arrays and tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import rank_rows
+
+#: Records of one array: what a task gathers into one row.
+PAGE_RECORDS = 1_000
+#: The order of a proposal's records.
+RECORD_ORDER = ("proposal_country_code", "audience_uuid", "fieldwork_company", "HighPrice", "LowPrice", "Strand2Price")
+_NULLS = {"ignoreNullFields": "false"}
+
 
 def quote_json(quotes: DataFrame, keys=("proposal_id", "revision_number")) -> DataFrame:
-    """One JSON record per quote row, NULL prices written as ``null``.
+    """One JSON record per quote row, NULL prices written as ``null``."""
+    return quotes.select(*keys, F.to_json(F.struct(*[F.col(c) for c in quotes.columns]), _NULLS).alias("json"))
+
+
+def quote_records(quotes: DataFrame, by=("proposal_id", "revision_number"), order=RECORD_ORDER,
+                  page_records: int = PAGE_RECORDS) -> DataFrame:
+    """The records of each proposal (each value of ``by``) as one ordered JSON array:
+    by, page_no, page_count, n_records, records.
+
+    An array holds at most ``page_records`` records; the records of a larger proposal
+    come as several, in order: page 0, 1, ... one after the other are the whole
+    array (``join_pages`` cuts the brackets between them). Rows are ranked without a
+    task per proposal and gathered by page, so no group is larger than a page. Null
+    order columns come first; rows equal in all of them keep any order."""
+    order = [c for c in order if c in quotes.columns]
+    ranked = rank_rows(quotes, list(by), order, "records")
+    record = F.struct(*[F.col(c) for c in quotes.columns])
+    pages = (ranked.withColumns({"page_no": F.floor(F.col("rank") / page_records).cast("int"),
+                                 "page_count": F.ceil(F.col("size") / page_records).cast("int")})
+             .groupBy(*by, "page_no", "page_count")
+             .agg(F.sort_array(F.collect_list(F.struct(F.col("rank"), record.alias("record")))).alias("_records")))
+    return pages.select(*by, "page_no", "page_count", F.size("_records").alias("n_records"),
+                        F.to_json(F.col("_records")["record"], _NULLS).alias("records"))
+
+
+def join_pages(pages: list[str]) -> str:
+    """The arrays of consecutive pages as one array."""
+    inner = [p[1:-1] for p in pages]
+    return "[" + ",".join(p for p in inner if p) + "]"
+
 
-    The original returns one records array for the whole batch; here every
-    record is its own line, so no task or driver ever holds the batch."""
-    return quotes.select(*keys, F.to_json(F.struct(*[F.col(c) for c in quotes.columns]),
-                                          {"ignoreNullFields": "false"}).alias("json"))
+def parse_records(records: DataFrame, schema, column: str = "records", keep=("page_no", "page_count")) -> DataFrame:
+    """One row per record of JSON arrays, with its place in the array."""
+    kind = f"array<{schema.simpleString()}>"
+    return (records.select(*keep, F.posexplode(F.from_json(F.col(column), kind)).alias("record_no", "_r"))
+            .select(*keep, "record_no", "_r.*"))
 
 
 def write_quotes_json(quotes: DataFrame, path: str, mode: str = "errorifexists") -> str:

@@ -3,9 +3,13 @@ scans by name, schema report."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from ..schemas import RATES_SCHEMA
+
 
 def create_namespace(spark: SparkSession, name: str, location: str | None = None) -> None:
     """``CREATE DATABASE IF NOT EXISTS`` (optionally at a given location)."""
@@ -36,11 +40,46 @@ def stage_lookup(df: DataFrame, table: str, fmt: str = "parquet",
     return table
 
 
-def load_lookup(spark: SparkSession, path: str, schema: StructType, table: str,
-                fmt: str = "parquet", mode: str = "errorifexists") -> DataFrame:
-    """CSV -> managed table -> scan by name."""
-    stage_lookup(read_lookup_csv(spark, path, schema), table, fmt, mode)
-    return spark.table(table)
+def restage_lookup(df: DataFrame, table: str, path: str, fmt: str = "parquet") -> str:
+    """Stage ``table`` anew (or for the first time) without a moment in which it is
+    missing or half written: ``df`` goes to a new folder below ``path``, and only when
+    that is complete the table's location moves there. Queries planned before keep
+    reading the old folder, which stays until ``drop_old_stages``."""
+    spark = df.sparkSession
+    folder = f"{path.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.format(fmt).save(folder)
+    if not spark.catalog.tableExists(table):
+        spark.catalog.createTable(table, folder, fmt, df.schema)
+    else:
+        have = [(f.name, f.dataType) for f in spark.table(table).schema]
+        if have != [(f.name, f.dataType) for f in df.schema]:
+            raise ValueError(f"{table} has other columns: {have}")
+        spark.sql(f"ALTER TABLE {table} SET LOCATION '{folder}'")
+    spark.catalog.refreshTable(table)
+    return folder
+
+
+def drop_old_stages(spark: SparkSession, table: str, path: str) -> int:
+    """Delete the folders of earlier ``restage_lookup`` calls, for when no reader uses them."""
+    now = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'").first().data_type.rstrip("/")
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("stage-")
+           and s.getPath().getName() != now.rsplit("/", 1)[-1]]
+    for folder in old:
+        fs.delete(folder, True)
+    return len(old)
+
+
+def stage_rates(rates: DataFrame, path: str, mode: str = "errorifexists") -> str:
+    """Monthly rates as a folder for each month, so that a snapshot reads its month only."""
+    rates.repartition("month").write.mode(mode).partitionBy("month").parquet(path)
+    return path
+
+
+def read_rates(spark: SparkSession, path: str) -> DataFrame:
+    """Rates staged by month, every column as text."""
+    return spark.read.schema(RATES_SCHEMA).parquet(path)
 
 
 def scan(spark: SparkSession, table: str) -> DataFrame:

@@ -18,8 +18,9 @@ from ..operators.features import COUNTRY_COUNT, with_features
 from ..operators.flatten import flatten_request
 from ..operators.scoring import needs_column
 from ..params import DEFAULT_PARAMS, QuoteParams
-from ..plans.quote import Lookups, quote
+from ..plans.quote import Lookups, prepare_lookups, quote
 from ..schemas import REQUEST_DDL
+from ..sources import versions
 
 
 def country_counts_in_request(countries: Column) -> Column:
@@ -89,3 +90,32 @@ def stream_quotes_refreshing(spark: SparkSession, requests_path: str, load_looku
     writer = (read_request_stream(spark, requests_path, max_files).writeStream
               .foreachBatch(handle).option("checkpointLocation", f"{out_path}/_checkpoint"))
     return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def publish_lookups(spark: SparkSession, root: str, price_factors: DataFrame, commission: DataFrame, rates: DataFrame) -> int:
+    """The three lookup tables (text) as the next version below ``root``."""
+    return versions.publish(spark, root, {"price_factors": price_factors, "commission": commission, "rates": rates})
+
+
+def stream_quotes_versioned(spark: SparkSession, requests_path: str, lookups_root: str,
+                            scorers: Mapping[str, object], params: QuoteParams, out_path: str,
+                            max_files: int | None = None, trigger: dict | None = None):
+    """Quote stream over published lookup versions. Each micro-batch is bound to the
+    version that is the latest when it first runs; the binding is recorded before it is
+    priced, so a batch replayed after a failure is priced by the same lookups even if
+    newer ones have been published, and replaces its own ``epoch=<id>`` folder. Quotes
+    carry ``lookup_version``. Returns the started query."""
+    prepared: dict[int, Lookups] = {}
+
+    def handle(batch: DataFrame, epoch_id: int) -> None:
+        version = versions.bind(spark, f"{out_path}/_versions", epoch_id, lookups_root)
+        if version not in prepared:
+            prepared.clear()
+            prepared[version] = prepare_lookups(*(versions.read(spark, lookups_root, version, t)
+                                                  for t in ("price_factors", "commission", "rates")), params)
+        quotes = quote_stream(batch, prepared[version], scorers, params).withColumn("lookup_version", F.lit(version))
+        quotes.write.mode("overwrite").parquet(f"{out_path}/data/epoch={epoch_id}")
+
+    writer = (read_request_stream(spark, requests_path, max_files).writeStream
+              .foreachBatch(handle).option("checkpointLocation", f"{out_path}/_checkpoint"))
+    return writer.trigger(**(trigger or {"availableNow": True})).start()

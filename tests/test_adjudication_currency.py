@@ -30,7 +30,7 @@ def test_default_params_give_identity_band(spark):
 
 def test_zero_distance_denominator_is_null_not_error(spark):
     r = band(spark, [(10.0, 7.0, 5, 5, 100, 100, 3, 3, 3)])[0]
-    assert r.S is None and r.gamma_temp_0 == 0.0 and r.HighPriceUSD == 10.0
+    assert r.S is None and r.index_drop == 0.0 and r.HighPriceUSD == 10.0
 
 
 def test_missing_sold_price_gives_null_band(spark):
