@@ -1,44 +1,47 @@
-"""Column functions of the CPI pricer (LOI bucket, IR tier, breakpoint,
-IR factor, local price). Pure expressions: no UDF, no per-row Python."""
+"""The CPI pricer's rules (LOI bucket, IR tier, breakpoint, IR factor, local price).
+
+Each rule is one SQL text: a plan that applies it with ``selectExpr`` makes one call
+into the JVM, where the same tree of Python Column objects costs a round trip per
+node. Arguments are SQL expressions (column names, quoted where they need it); the
+functions without ``sql_`` give the same text as a Column. No UDF, no per-row Python.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..params import LOI_CAP, LOI_STEP
-from .numeric import col, nan_to_null, safe_divide, truncate_int
 
 
-def loi_bucket(loi, step: int = LOI_STEP, cap: int = LOI_CAP) -> Column:
+def q(name: str) -> str:
+    """Quoted column reference."""
+    return f"`{name}`"
+
+
+def sql_loi_bucket(loi: str, step: int = LOI_STEP, cap: int = LOI_CAP) -> str:
     """LOI rounded up to the next multiple of ``step`` (kept when already a
     multiple), capped at ``cap``. Non-multiples step by truncation toward zero,
     so a negative LOI such as -7 lands on 0. NULL stays NULL."""
-    loi = col(loi)
-    on_grid = (loi % step) == 0
-    stepped = F.when(on_grid, truncate_int(loi, "bigint")).otherwise(
-        truncate_int(loi / step + 1, "bigint") * step)
-    return F.when(stepped > cap, F.lit(cap)).otherwise(stepped).cast("int")
+    stepped = (f"(CASE WHEN ({loi}) % {step} = 0 THEN try_cast({loi} AS BIGINT) "
+               f"ELSE try_cast(({loi}) / {step} + 1 AS BIGINT) * {step} END)")
+    return f"CAST(CASE WHEN {stepped} > {cap} THEN {cap} ELSE {stepped} END AS INT)"
 
 
-def loi_key(bucket) -> Column:
+def sql_loi_key(bucket: str) -> str:
     """Text form of the LOI bucket, as stored in the price-factor key."""
-    return col(bucket).cast("string")
+    return f"CAST({bucket} AS STRING)"
 
 
-def ir_tier(ir, factors: Mapping[str, Column]) -> dict[str, Column]:
-    """Pick the IR tier: above the mid threshold -> high set, above the low
-    threshold -> mid set, else the low set. Returns used IR, anchor price,
-    x-factor and IR step of that tier."""
-    ir = col(ir)
-    high = ir > factors["Mid_IR_Used"]
-    mid = ir > factors["Low_IR_Used"]
-
+def sql_ir_tier(ir: str, f: Callable[[str], str]) -> dict[str, str]:
+    """The IR tier: above the mid threshold -> high set, above the low threshold -> mid
+    set, else the low set. Gives used IR, anchor price, x-factor and IR step of that
+    tier; ``f(name)`` renders a factor column reference."""
     def pick(h, m, low):
-        return F.when(high, factors[h]).when(mid, factors[m]).otherwise(factors[low])
-
+        return (f"CASE WHEN {ir} > {f('Mid_IR_Used')} THEN {f(h)} "
+                f"WHEN {ir} > {f('Low_IR_Used')} THEN {f(m)} ELSE {f(low)} END")
     return {
         "used": pick("High_IR_Used", "Mid_IR_Used", "Low_IR_Used"),
         "anchor": pick("High_IR_Anchor", "Mid_IR_Anchor", "Low_IR_Anchor"),
@@ -47,70 +50,37 @@ def ir_tier(ir, factors: Mapping[str, Column]) -> dict[str, Column]:
     }
 
 
-def breakpoint_ir(ir, breaks) -> Column:
+def sql_breakpoint_ir(ir: str, f: Callable[[str], str]) -> str:
     """IR used for pricing: the job IR itself when the first break is above 1,
     else the first of the first five breaks lying below the job IR, else the
     job IR. (The sixth break is carried but never tested.)"""
-    ir = col(ir)
-    breaks = [col(b) for b in breaks]
-    expr = F.when(breaks[0] > 1, ir)
-    for b in breaks[:5]:
-        expr = expr.when(b < ir, b)
-    return expr.otherwise(ir)
+    branches = " ".join(f"WHEN {f(f'Break{i}')} < {ir} THEN {f(f'Break{i}')}" for i in range(1, 6))
+    return f"CASE WHEN {f('Break1')} > 1 THEN {ir} {branches} ELSE {ir} END"
 
 
-def ir_factor(ir, step) -> Column:
+def sql_ir_factor(ir: str, step: str) -> str:
     """1 / trunc(ir / step + 1); NULL on a zero step or a zero divisor."""
-    steps = truncate_int(safe_divide(ir, step) + 1, "bigint")
-    return safe_divide(F.lit(1.0), steps)
+    return f"try_divide(1.0D, try_cast(try_divide({ir}, {step}) + 1 AS BIGINT))"
 
 
-def local_price(job_factor, anchor_factor, anchor_price, xfactor) -> Column:
+def sql_local_price(job_factor: str, anchor_factor: str, anchor_price: str, xfactor: str) -> str:
     """(job factor / anchor factor) ^ x-factor * anchor price; a NaN result
     (negative base, fractional power) is NULL."""
-    ratio = safe_divide(job_factor, anchor_factor)
-    return nan_to_null(F.pow(ratio, col(xfactor)) * col(anchor_price))
-
-
-# --- The same rules as SQL text -------------------------------------------------
-# The plan applies them with ``selectExpr``: one expression string is one
-# call into the JVM, where building the same tree from Python Column objects
-# costs a round trip per node. Arguments are SQL expressions (e.g. quoted
-# column names); semantics match the Column functions above exactly.
-
-def q(name: str) -> str:
-    """Quoted column reference."""
-    return f"`{name}`"
-
-
-def sql_loi_bucket(loi: str, step: int = LOI_STEP, cap: int = LOI_CAP) -> str:
-    stepped = (f"(CASE WHEN ({loi}) % {step} = 0 THEN try_cast({loi} AS BIGINT) "
-               f"ELSE try_cast(({loi}) / {step} + 1 AS BIGINT) * {step} END)")
-    return f"CAST(CASE WHEN {stepped} > {cap} THEN {cap} ELSE {stepped} END AS INT)"
+    return (f"nanvl(power(try_divide({job_factor}, {anchor_factor}), {xfactor}) * {anchor_price}, "
+            f"CAST(NULL AS DOUBLE))")
 
 
-def sql_ir_tier(ir: str, f) -> dict[str, str]:
-    """``f(name)`` renders a factor column reference."""
-    def pick(h, m, low):
-        return (f"CASE WHEN {ir} > {f('Mid_IR_Used')} THEN {f(h)} "
-                f"WHEN {ir} > {f('Low_IR_Used')} THEN {f(m)} ELSE {f(low)} END")
-    return {
-        "used": pick("High_IR_Used", "Mid_IR_Used", "Low_IR_Used"),
-        "anchor": pick("High_IR_Anchor", "Mid_IR_Anchor", "Low_IR_Anchor"),
-        "xfactor": pick("xFactor_High_IR", "xFactor_Mid_IR", "xFactor_Low_IR"),
-        "step": pick("High_IR_Step", "Mid_IR_Step", "Low_IR_Step"),
-    }
+def loi_bucket(loi: str, step: int = LOI_STEP, cap: int = LOI_CAP) -> Column:
+    return F.expr(sql_loi_bucket(loi, step, cap))
 
 
-def sql_breakpoint_ir(ir: str, f) -> str:
-    branches = " ".join(f"WHEN {f(f'Break{i}')} < {ir} THEN {f(f'Break{i}')}" for i in range(1, 6))
-    return f"CASE WHEN {f('Break1')} > 1 THEN {ir} {branches} ELSE {ir} END"
+def ir_tier(ir: str, f: Callable[[str], str] = q) -> dict[str, Column]:
+    return {k: F.expr(v) for k, v in sql_ir_tier(ir, f).items()}
 
 
-def sql_ir_factor(ir: str, step: str) -> str:
-    return f"try_divide(1.0D, try_cast(try_divide({ir}, {step}) + 1 AS BIGINT))"
+def breakpoint_ir(ir: str, f: Callable[[str], str] = q) -> Column:
+    return F.expr(sql_breakpoint_ir(ir, f))
 
 
-def sql_local_price(job_factor: str, anchor_factor: str, anchor_price: str, xfactor: str) -> str:
-    return (f"nanvl(power(try_divide({job_factor}, {anchor_factor}), {xfactor}) * {anchor_price}, "
-            f"CAST(NULL AS DOUBLE))")
+def ir_factor(ir: str, step: str) -> Column:
+    return F.expr(sql_ir_factor(ir, step))

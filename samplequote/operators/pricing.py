@@ -6,9 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import to_double
-from ..functions.pricing import (loi_bucket, loi_key, q, sql_breakpoint_ir, sql_ir_factor, sql_ir_tier,
-                                 sql_local_price, sql_loi_bucket)
+from ..functions.pricing import (q, sql_breakpoint_ir, sql_ir_factor, sql_ir_tier, sql_local_price,
+                                 sql_loi_bucket, sql_loi_key)
 from ..params import DEFAULT_PARAMS, VALID_COMPANIES, QuoteParams
 from ..schemas import FACTOR_CURRENCY, FACTOR_KEYS, FACTOR_NUMERIC
 from ..plans.stages import stage
@@ -101,9 +100,11 @@ def with_family(df: DataFrame, factors: DataFrame, brand: str = "brand", product
     return df.join(families, same, "left").drop(*[f"_family_{k}" for k in FAMILY_KEYS])
 
 
-def _looked_up(rows: DataFrame, factors: DataFrame, fits: bool, p: str, row_keys: list[str], f) -> DataFrame:
+def looked_up(rows: DataFrame, factors: DataFrame, fits: bool, p: str, row_keys: list[str]) -> DataFrame:
     """``rows`` with the columns of their factor row as ``_{p}_*`` (NULL without one, a
-    row for each of several): from the row's family where it has one, else by a join."""
+    row for each of several): from the row's family where it has one, else by a join.
+    ``row_keys`` are the seven key parts of a row as SQL."""
+    f = lambda name: q(f"_{p}_{name}")
     if FAMILY not in rows.columns:
         cond = " AND ".join(f"{rk} = {f(fk)}" for rk, fk in zip(row_keys, FACTOR_KEYS))
         return rows.join(factor_side(factors, p, fits), F.expr(cond), "left")
@@ -128,9 +129,8 @@ def price(df: DataFrame, factors: DataFrame, fits: bool, prefix: str, company: s
     bucket = f"{p}_loi_bucket"
     keep = df.columns
     rows = df.selectExpr("*", f"{sql_loi_bucket(q(loi), params.loi_step, params.loi_cap)} AS {q(bucket)}")
-    row_keys = [q(company), q(brand), q(product), q(country), f"CAST({q(bucket)} AS STRING)",
-                q(segment), q(client)]
-    joined = _looked_up(rows, factors, fits, p, row_keys, f)
+    row_keys = [q(company), q(brand), q(product), q(country), sql_loi_key(q(bucket)), q(segment), q(client)]
+    joined = looked_up(rows, factors, fits, p, row_keys)
     # Three projections, each intermediate computed once: tier and
     # breakpoint, then the price, then the outputs that test the price.
     tier = sql_ir_tier(q(job_ir), f)
@@ -202,8 +202,7 @@ def four_way_quotes(df: DataFrame, factors: DataFrame, commission: DataFrame,
 def missing_factors(df: DataFrame, factors: DataFrame, company: str, loi: str,
                     params: QuoteParams = DEFAULT_PARAMS) -> DataFrame:
     """Rows whose 7-part key has no price-factor row (left anti join)."""
-    bucket = loi_bucket(F.col(loi), params.loi_step, params.loi_cap)
-    keyed = df.withColumn("_loi_key", loi_key(bucket))
+    keyed = df.withColumn("_loi_key", F.expr(sql_loi_key(sql_loi_bucket(q(loi), params.loi_step, params.loi_cap))))
     keys = factors.select(*[F.col(k).alias(f"_pf_{k}") for k in FACTOR_KEYS])
     if fits_broadcast(keys, params.max_broadcast_factors):
         keys = F.broadcast(keys)

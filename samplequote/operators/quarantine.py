@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.pricing import q, sql_loi_bucket, sql_loi_key
 from ..params import DEFAULT_PARAMS, QuoteParams
 from ..schemas import FACTOR_KEYS
 from .broadcast import fits_broadcast
 from .pricing import company_valid
-from ..functions.pricing import q, sql_loi_bucket
 
 #: Reasons, in the order in which a row lists them.
 UNKNOWN_COMPANY, MISSING_FACTOR, BAD_NUMBER = "unknown_company", "missing_factor", "bad_number"
@@ -50,7 +50,7 @@ def with_reasons(rows: DataFrame, factors: DataFrame, loi: str, numbers: tuple[s
     keys = factors.select(*[F.col(k).alias(f"_k_{k}") for k in FACTOR_KEYS]).distinct().withColumn("_k_found", F.lit(True))
     if fits_broadcast(keys, params.max_broadcast_factors):
         keys = F.broadcast(keys)
-    parts = (q(company), "brand", "product", "country", f"CAST({sql_loi_bucket(q(loi), params.loi_step, params.loi_cap)} AS STRING)", "segment", "client")
+    parts = (q(company), "brand", "product", "country", sql_loi_key(sql_loi_bucket(q(loi), params.loi_step, params.loi_cap)), "segment", "client")
     same = F.expr(" AND ".join(f"{p} = _k_{k}" for p, k in zip(parts, FACTOR_KEYS)))
     return (rows.join(keys, same, "left").withColumn("reasons", reasons(company, numbers, F.col("_k_found"), valid))
             .drop("_k_found", *[f"_k_{k}" for k in FACTOR_KEYS]))

@@ -14,7 +14,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.pricing import breakpoint_ir, ir_factor, ir_tier, loi_bucket, loi_key
+from ..functions.pricing import breakpoint_ir, ir_factor, ir_tier, loi_bucket, q, sql_breakpoint_ir, sql_ir_tier, sql_loi_key
 from ..operators import pricing as pr
 from ..operators.adjudicate import adjudicate, adjudication_inputs, floor_indices
 from ..operators.currency import latest_rates
@@ -267,30 +267,24 @@ def q_loi_bucket(spark, sf_dir):
     s = c.scored()
     return s.select(
         *KEYS,
-        loi_bucket(F.col("audience_length_of_interview")).alias("loi_bucket_sold"),
-        loi_bucket(F.col("Athena_LOI")).alias("loi_bucket_modelled"),
-        loi_bucket(F.col("audience_length_of_interview") * 3.0 - 5.0).alias("loi_bucket_raw"),
-        loi_bucket(F.col("Athena_IR") / 100).alias("loi_bucket_reference"),
+        loi_bucket("CAST(audience_length_of_interview AS DOUBLE)").alias("loi_bucket_sold"),
+        loi_bucket("CAST(Athena_LOI AS DOUBLE)").alias("loi_bucket_modelled"),
+        loi_bucket("(audience_length_of_interview * 3.0D - 5.0D)").alias("loi_bucket_raw"),
+        loi_bucket("(Athena_IR / 100)").alias("loi_bucket_reference"),
     )
 
 
+def _f(name: str) -> str:
+    """A column of the factor row that ``_named_lookup`` joins."""
+    return q(f"_f_{name}")
+
+
 def _named_lookup(c: Ctx) -> DataFrame:
     """Named-binding modelled inputs joined to their account factor row."""
-    rows = pr.pricing_inputs(c.scored(), NAMED)
-    rows = rows.withColumn("_bucket", loi_bucket(F.col("modelled_loi")))
+    rows = pr.pricing_inputs(c.scored(), NAMED).withColumn("_bucket", loi_bucket("modelled_loi"))
     lk = c.lookups
-    side = pr.factor_side(lk.factors, "f", lk.factors_fit)
-    keys = [F.col("company"), F.col("brand"), F.col("product"), F.col("country"),
-            loi_key(F.col("_bucket")), F.col("segment"), F.col("client")]
-    cond = None
-    for rk, fk in zip(keys, FACTOR_KEYS):
-        e = rk == F.col(f"_f_{fk}")
-        cond = e if cond is None else cond & e
-    return rows.join(side, cond, "left")
-
-
-def _fcols():
-    return {f: F.col(f"_f_{f}") for f in FACTOR_NUMERIC + ("Rate_Currency",)}
+    return pr.looked_up(rows, lk.factors, lk.factors_fit, "f",
+                        ["company", "brand", "product", "country", sql_loi_key("_bucket"), "segment", "client"])
 
 
 def q_factor_lookup(spark, sf_dir):
@@ -302,25 +296,20 @@ def q_factor_lookup(spark, sf_dir):
 
 def q_ir_tier(spark, sf_dir):
     j = _named_lookup(_ctx(spark, sf_dir))
-    t = ir_tier(F.col("modelled_jobIr"), _fcols())
-    return j.select(*KEYS, t["used"].alias("tier_used"), t["anchor"].alias("tier_anchor"),
-                    t["xfactor"].alias("tier_xfactor"), t["step"].alias("tier_step"))
+    return j.select(*KEYS, *[v.alias(f"tier_{k}") for k, v in ir_tier("modelled_jobIr", _f).items()])
 
 
 def q_breakpoint_ir(spark, sf_dir):
     j = _named_lookup(_ctx(spark, sf_dir))
-    f = _fcols()
-    return j.select(*KEYS, breakpoint_ir(F.col("modelled_jobIr"),
-                                         [f[f"Break{i}"] for i in range(1, 7)]).alias("ir_used"))
+    return j.select(*KEYS, breakpoint_ir("modelled_jobIr", _f).alias("ir_used"))
 
 
 def q_ir_factor(spark, sf_dir):
     j = _named_lookup(_ctx(spark, sf_dir))
-    f = _fcols()
-    t = ir_tier(F.col("modelled_jobIr"), f)
-    used = breakpoint_ir(F.col("modelled_jobIr"), [f[f"Break{i}"] for i in range(1, 7)])
-    return j.select(*KEYS, ir_factor(used, t["step"]).alias("job_factor"),
-                    ir_factor(t["used"], t["step"]).alias("anchor_factor"))
+    t = sql_ir_tier("modelled_jobIr", _f)
+    used = sql_breakpoint_ir("modelled_jobIr", _f)
+    return j.select(*KEYS, ir_factor(f"({used})", f"({t['step']})").alias("job_factor"),
+                    ir_factor(f"({t['used']})", f"({t['step']})").alias("anchor_factor"))
 
 
 def q_cpi_quote(spark, sf_dir):
@@ -447,9 +436,9 @@ def q_quarantined_rows(spark, sf_dir):
     rows = pr.pricing_inputs(c.scored(), NAMED).withColumn("raw_loi", F.col("audience_length_of_interview") * 3.0 - 5.0)
     judged = with_reasons(rows, c.lookups.factors, "modelled_loi", ("sold_jobIr", "raw_loi"),
                           valid=F.col("company").isin(*KNOWN_COMPANIES), params=NAMED)
-    q = quarantine(judged.select(*KEYS, "company", "reasons"), staging_path(spark, "quarantine"))
-    good = q.accepted.select(*KEYS, "company", F.lit("").alias("reason"))
-    return good.unionByName(q.rejected.select(*KEYS, "company", F.concat_ws(",", "reasons").alias("reason")))
+    sides = quarantine(judged.select(*KEYS, "company", "reasons"), staging_path(spark, "quarantine"))
+    good = sides.accepted.select(*KEYS, "company", F.lit("").alias("reason"))
+    return good.unionByName(sides.rejected.select(*KEYS, "company", F.concat_ws(",", "reasons").alias("reason")))
 
 
 def q_quote_json(spark, sf_dir):
@@ -487,8 +476,7 @@ def q_stream_refreshed(spark, sf_dir):
     for known, arrived in ((rates.where(F.col("month") <= FIRST_VERSION_MONTH), "revision_number = 1"), (rates, "revision_number <> 1")):
         publish_lookups(spark, f"{base}/lookups", fx.fx_price_factors(c.t), fx.fx_commission(c.t), known)
         write_requests(docs.where(arrived), f"{base}/requests", mode="append")
-        q = stream_quotes_versioned(spark, f"{base}/requests", f"{base}/lookups", demo_scorers(), DEFAULT_PARAMS, f"{base}/out")
-        q.awaitTermination()
+        stream_quotes_versioned(spark, f"{base}/requests", f"{base}/lookups", demo_scorers(), DEFAULT_PARAMS, f"{base}/out").awaitTermination()
     return spark.read.parquet(f"{base}/out/data").drop("epoch")
 
 

@@ -32,18 +32,18 @@ def one_col(spark, values, dtype="double"):
     (0.02, 5), (1.0, 5), (15.0, 15),
 ])
 def test_loi_bucket_boundaries(spark, loi, expected):
-    got = one_col(spark, [float(loi)]).select(loi_bucket(F.col("x")).alias("b")).first().b
+    got = one_col(spark, [float(loi)]).select(loi_bucket("x").alias("b")).first().b
     assert got == expected == py_bucket(loi)
 
 
 def test_loi_bucket_null(spark):
-    assert one_col(spark, [None]).select(loi_bucket(F.col("x")).alias("b")).first().b is None
+    assert one_col(spark, [None]).select(loi_bucket("x").alias("b")).first().b is None
 
 
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.floats(min_value=-200, max_value=400, allow_nan=False), min_size=1, max_size=30))
 def test_loi_bucket_property(spark, values):
-    rows = one_col(spark, values).select("x", loi_bucket(F.col("x")).alias("b")).collect()
+    rows = one_col(spark, values).select("x", loi_bucket("x").alias("b")).collect()
     for r in rows:
         assert r.b == py_bucket(r.x)
         if r.x > 0:
@@ -62,7 +62,7 @@ def factor_frame(spark, job_irs, **over):
 ])
 def test_ir_tier_strict_thresholds(spark, ir, used, step):
     df = factor_frame(spark, [ir])
-    t = ir_tier(F.col("ir"), {c: F.col(c) for c in FACTOR_NUMERIC})
+    t = ir_tier("ir")
     r = df.select(t["used"].alias("u"), t["step"].alias("s")).first()
     assert (r.u, r.s) == (used, step)
 
@@ -77,13 +77,13 @@ def test_ir_tier_strict_thresholds(spark, ir, used, step):
 ])
 def test_breakpoint(spark, b1, ir, expected):
     df = factor_frame(spark, [ir], Break1=b1)
-    got = df.select(breakpoint_ir(F.col("ir"), [F.col(f"Break{i}") for i in range(1, 7)]).alias("b")).first().b
+    got = df.select(breakpoint_ir("ir").alias("b")).first().b
     assert got == pytest.approx(expected)
 
 
 def test_ir_factor_zero_step_is_null(spark):
     df = spark.createDataFrame([(0.5, 0.0), (0.5, 0.05), (-0.06, 0.05)], "ir double, step double")
-    got = [r.f for r in df.select(ir_factor(F.col("ir"), F.col("step")).alias("f")).collect()]
+    got = [r.f for r in df.select(ir_factor("ir", "step").alias("f")).collect()]
     assert got[0] is None
     assert got[1] == pytest.approx(1 / 11)
     assert got[2] is None  # trunc(-1.2 + 1) = 0 -> no divisor

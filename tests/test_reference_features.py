@@ -238,7 +238,7 @@ def test_conditions_reach_the_scans(spark):
     pushed = re.findall(r"PushedFilters: \[(.*?)\]", plan)
     assert any("EqualTo(l_orderkey,5)" in p for p in pushed) and any("EqualTo(o_orderkey,5)" in p for p in pushed)
     assert any("EqualTo(n_name,NATION_3)" in p for p in pushed)
-    with_price = quote(c.audience, c.lookups, demo_scorers(), where=[*where[:1], "HighPrice > 20 AND proposal_id > 0"])
+    with_price = quote(c.audience, c.lookups, demo_scorers(), where=[*where[:1], "HighPrice > 20 AND proposal_id >= 0"])
     whole = quote(c.audience, c.lookups, demo_scorers()).where("proposal_country_code = 'NATION_3' AND HighPrice > 20")
     assert sorted(map(tuple, with_price.collect())) == sorted(map(tuple, whole.collect())) and whole.count() > 0
 
