@@ -91,26 +91,27 @@ def by_size(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         yield first, len(sizes)
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], at: int, kept: list[int], names: list[str], made, limit: int) -> Iterator[pa.RecordBatch]:
+    """The columns ``kept`` of each batch with the arrays that ``made`` gives for the texts
+    (null as empty) in column ``at``, a part of about ``limit`` bytes of text at a time, a
+    longer text alone: memory does not depend on the rows of a batch."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(at)), 0).to_pylist()
+        for i, j in by_size(sizes, limit):
+            part = b.slice(i, j - i)
+            texts = [t or "" for t in part.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(k) for k in kept] + made(texts), names=names)
+
+
 def map_texts(rows: DataFrame, text: str, maker, added: str, limit: int, keep_text: bool = False) -> DataFrame:
-    """``rows`` with the columns ``added`` (DDL) that a function of a list of texts (null as
-    empty) gives as Arrow arrays; ``maker`` makes that function in a task. The column
-    ``text`` goes unless ``keep_text``. Texts are handed over in parts of about ``limit``
-    bytes, a longer text alone, so that a task's memory does not depend on the rows of
-    an Arrow batch."""
+    """``rows`` with the columns ``added`` (DDL) that a function of a list of texts gives as
+    Arrow arrays; ``maker`` makes that function in a task. The column ``text`` goes unless
+    ``keep_text``."""
     kept = [i for i, c in enumerate(rows.columns) if keep_text or c != text]
     at = rows.columns.index(text)
     fields = [T.StructField(rows.schema[i].name, rows.schema[i].dataType) for i in kept] + T.StructType.fromDDL(added).fields
     names = [f.name for f in fields]
-
-    def run(batches):
-        made = maker()
-        for b in batches:
-            sizes = pc.fill_null(pc.binary_length(b.column(at)), 0).to_pylist()
-            for i, j in by_size(sizes, limit):
-                part = b.slice(i, j - i)
-                texts = [t or "" for t in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(k) for k in kept] + made(texts), names=names)
-    return rows.mapInArrow(run, T.StructType(fields))
+    return rows.mapInArrow(lambda batches: in_parts(batches, at, kept, names, maker(), limit), T.StructType(fields))
 
 
 def held_out(doc_id: str, modulus: int, remainder: int) -> Column:

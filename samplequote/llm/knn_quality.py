@@ -1,19 +1,22 @@
 """Operator 9: quality by votes of the nearest labelled documents.
 
-A text becomes counts of hashed form features: shapes of its words (letters'
-case, digits, punctuation kept), pairs of neighbouring shapes, words repeated
-from the one before, bits of its length. Weighted by inverse document frequency
-and reduced to a few latent dimensions by a singular value decomposition, both
-fitted to a bounded sample of labelled rows (``SAMPLE`` documents by a hash of
-their ids, whole texts, as many as ``SAMPLE_CHARS`` characters of a class allow), the sample's unit
-vectors and labels are broadcast (``SAMPLE`` x ``DIMENSIONS`` floats, 1 MB).
-Every document's cosines with all of them are computed exactly, a block of
-documents at a time, and the ``NEIGHBOURS`` nearest vote with their similarity
-as weight. The score is the positive share of the vote, with the sample's
-overall share as a vote of weight one.
-
-Null and empty texts have no direction: they score the sample's share, as do
-texts similar to nothing. Without labels every score is 1. Repeated rows give
+A text becomes weighted counts in two blocks of hashed terms: its words, and its
+forms (shapes of words, with letters' case, digits and signs kept; pairs of
+neighbouring shapes; words repeated from the one before; distinct words; lines; bits
+of its length). Each block is weighted by inverse document frequency and has length
+one, so words and forms span the space alike, whatever a text is made of. The
+terms are reduced to a few latent dimensions by a singular value decomposition
+(subspace iterations from a fixed start). Weights and decomposition are fitted to a
+bounded sample of labelled rows (``SAMPLE`` documents by a hash of their ids, whole
+texts, as many as ``SAMPLE_CHARS`` characters of a class allow); the sample's unit
+vectors and labels are broadcast (``SAMPLE`` x ``DIMENSIONS`` floats, 1 MB). Every
+document's cosines with all of them are computed exactly, a block of documents at a
+time, and the ``NEIGHBOURS`` nearest vote with their similarity as weight. The score
+is the positive share of the vote, with the share of positive labels in the whole
+training table as a vote of weight one.
+
+Null and empty texts have no direction: they score that share, as do texts similar
+to nothing. Without labels every score is 1 and a warning says so. Repeated rows give
 one row each; other columns are passed by.
 """
 
@@ -36,7 +39,8 @@ SAMPLE, SAMPLE_CHARS, DIMENSIONS, NEIGHBOURS = 4000, 16_000_000, 48, 15
 #: Characters that are counted at once in a task.
 PART_CHARS = 1 << 21
 THRESHOLD = 0.3
-_WIDTH = 1024
+_FORMS_WIDTH, _WORDS_WIDTH = 1024, 2048
+_WIDTH = _FORMS_WIDTH + _WORDS_WIDTH
 _RUNS = re.compile(r"(.)\1+")
 _FORMS = str.maketrans({**{chr(c): "x" for c in range(97, 123)}, **{chr(c): "X" for c in range(65, 91)},
                         **{chr(c): "9" for c in range(48, 58)}})
@@ -54,51 +58,57 @@ def _crc(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
 
-class Shapes(dict):
-    """Word to shape hash, emptied at ``limit`` words."""
+class Terms(dict):
+    """Word to its shape's hash and its own, emptied at ``limit`` words."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> tuple[int, int]:
         if len(self) >= 400_000:
             self.clear()
-        h = self[word] = _crc(shape(word))
+        h = self[word] = _crc(shape(word)), _crc(word.lower())
         return h
 
 
-def counts(texts: list[str], shapes: Shapes) -> np.ndarray:
-    """Feature counts of whole texts, a row each."""
+def counts(texts: list[str], terms: Terms) -> np.ndarray:
+    """Term counts of whole texts, a row each: forms, then words."""
     out = np.zeros((len(texts), _WIDTH), dtype=np.float32)
     for i, text in enumerate(texts):
         words = text.split()
         if not words:
             continue
-        s = np.fromiter(map(shapes.__getitem__, words), np.int64, len(words))
-        same = sum(map(str.__eq__, words, words[1:]))
         n = len(words)
-        single = np.bincount(s % 512, minlength=512)
-        pairs = np.bincount((s[:-1] * 31 + s[1:] * 17) % 448, minlength=448) if n > 1 else np.zeros(448)
+        both = np.array(list(map(terms.__getitem__, words)), np.int64)
+        s, w = both[:, 0], both[:, 1]
+        same = sum(map(str.__eq__, words, words[1:]))
         row = out[i]
-        row[:512] = single / n
-        row[512:960] = pairs / n
+        row[:512] = np.bincount(s % 512, minlength=512) / n
+        if n > 1:
+            row[512:960] = np.bincount((s[:-1] * 31 + s[1:] * 17) % 448, minlength=448) / n
         row[960] = same / n
         row[961] = len(set(words)) / n
         row[962 + min(15, n.bit_length())] = 0.2
         row[980] = text.count("\n") / n
-        row[981] = sum(map(text.count, "|$&%#*!")) / len(text)
+        row[_FORMS_WIDTH:] = np.bincount(w % _WORDS_WIDTH, minlength=_WORDS_WIDTH) / n
     return out
 
 
 @dataclass
 class Neighbours:
     weights: np.ndarray   # inverse document frequencies
-    axes: np.ndarray      # features x dimensions
+    axes: np.ndarray      # terms x dimensions
     vectors: np.ndarray   # labelled unit vectors
     labels: np.ndarray
     prior: float
 
+    def weighted(self, x: np.ndarray) -> np.ndarray:
+        """Weighted terms, each block of length one."""
+        z = (np.sqrt(x) * self.weights).astype(np.float32)
+        for block in (z[:, :_FORMS_WIDTH], z[:, _FORMS_WIDTH:]):
+            block /= np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-12)
+        return z
+
     def embed(self, x: np.ndarray) -> np.ndarray:
-        z = (np.sqrt(x) * self.weights) @ self.axes
-        norm = np.linalg.norm(z, axis=1, keepdims=True)
-        return (z / np.maximum(norm, 1e-12)).astype(np.float32)
+        z = self.weighted(x) @ self.axes
+        return (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
     def scores(self, x: np.ndarray, block: int = 512) -> np.ndarray:
         """Similarity-weighted votes of the nearest labelled vectors."""
@@ -115,24 +125,35 @@ class Neighbours:
         return out
 
 
-def fit(texts: list[str], y: list[int]) -> Neighbours:
+def latent_axes(a: np.ndarray, dimensions: int, rounds: int = 6) -> np.ndarray:
+    """The leading right singular vectors of ``a``, by subspace iterations."""
+    q = np.random.default_rng(1).normal(size=(a.shape[1], min(dimensions + 16, *a.shape))).astype(np.float32)
+    for _ in range(rounds):
+        q, _ = np.linalg.qr(a.T @ (a @ q))
+    _, _, right = np.linalg.svd(a @ q, full_matrices=False)
+    return (q @ right.T)[:, :dimensions]
+
+
+def fit(texts: list[str], y: list[int], prior: float | None = None) -> Neighbours:
+    """``prior`` is the share of positive labels; None takes the sample's."""
     label = np.asarray(y, dtype=float)
-    x = counts(texts, Shapes())
+    empty = np.zeros((0, DIMENSIONS), np.float32)
     if not len(label):
-        return Neighbours(np.ones(_WIDTH, np.float32), np.zeros((_WIDTH, DIMENSIONS), np.float32),
-                          np.zeros((0, DIMENSIONS), np.float32), label, 1.0)
+        return Neighbours(np.ones(_WIDTH, np.float32), np.zeros((_WIDTH, DIMENSIONS), np.float32), empty, label, 1.0)
+    terms = Terms()
+    x = np.concatenate([counts(texts[i:i + 500], terms) for i in range(0, len(texts), 500)])
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 0.5
-    weighted = np.sqrt(x) * idf
-    values, axes = np.linalg.eigh(weighted.T @ weighted)
-    axes = axes[:, np.argsort(-values)[:DIMENSIONS]]
-    model = Neighbours(idf.astype(np.float32), axes.astype(np.float32), np.zeros((0, DIMENSIONS), np.float32), label, float(label.mean()))
+    model = Neighbours(idf.astype(np.float32), empty, empty, label, float(label.mean()) if prior is None else prior)
+    model.axes = latent_axes(model.weighted(x), DIMENSIONS)
     model.vectors = model.embed(x)
     return model
 
 
 def fit_from_tables(docs: DataFrame, labels: DataFrame, train) -> Neighbours:
     share = {0: SAMPLE // 3, 1: SAMPLE - SAMPLE // 3}
-    return fit(*training_sample(docs, labels, "quality", train, share, SAMPLE_CHARS))
+    texts, y = training_sample(docs, labels, "quality", train, share, SAMPLE_CHARS)
+    prior = labels.where(train).agg(F.avg(F.col("quality").cast("double")).alias("p")).first().p
+    return fit(texts, y, prior)
 
 
 def with_quality(rows: DataFrame, model: Neighbours, text_col: str = "text", keep_text: bool = True, score: str = "score") -> DataFrame:
@@ -140,8 +161,8 @@ def with_quality(rows: DataFrame, model: Neighbours, text_col: str = "text", kee
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def scorer():
-        shapes = Shapes()
-        return lambda texts: [pa.array(shared.value.scores(counts(texts, shapes)), pa.float64())]
+        terms = Terms()
+        return lambda texts: [pa.array(np.concatenate([shared.value.scores(counts(texts[i:i + 500], terms)) for i in range(0, len(texts), 500)]), pa.float64())]
     return map_texts(rows, text_col, scorer, f"`{score}` double", PART_CHARS, keep_text)
 
 

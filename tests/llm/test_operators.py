@@ -4,6 +4,8 @@ import collections
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import public_tokenizers
+from conftest import ROOT
 from samplequote.llm import (bpe, bpe_codec, common, components, crf_toxicity, exact_dedup, knn_quality, link_filter,
                              near_dedup, packing, set_hash, sharding, token_counts)
 
@@ -400,7 +403,7 @@ def test_neighbours_against_brute_force():
     rng = np.random.default_rng(2)
     texts = [" ".join(rng.choice(["Ab", "cd!!", "12", "x$$$", "|"], 30)) for _ in range(60)]
     model = knn_quality.fit(texts, rng.integers(0, 2, 60).tolist())
-    x = knn_quality.counts(texts, knn_quality.Shapes())
+    x = knn_quality.counts(texts, knn_quality.Terms())
     z = model.embed(x)
     want = []
     for v in z:
@@ -456,3 +459,76 @@ def test_bounds_hold_and_best_fit_fits():
         fill = np.bincount(bins, weights=lengths)
         assert fill.max() <= 2048 and ((offsets + lengths) <= 2048).all()
     assert packing.lower_bound(np.array([1025] * 7)) == 7 and packing.lower_bound(np.array([])) == 0
+
+
+def test_good_and_bad_texts_that_differ_by_words_only():
+    """Same shapes, lengths and signs: only the vocabulary tells them apart."""
+    rng = random.Random(6)
+    good, bad = [f"word{c}" for c in "abcdefghijkl"], [f"junk{c}" for c in "abcdefghijkl"]
+    shared = ["with", "from", "that", "this"]
+    def text(own):
+        return " ".join(rng.choice(own) if rng.random() < 0.4 else rng.choice(shared) for _ in range(60))
+    texts = [text(bad if i % 3 == 0 else good) for i in range(300)]
+    y = [0 if i % 3 == 0 else 1 for i in range(300)]
+    model = knn_quality.fit(texts, y)
+    fresh = [text(bad) for _ in range(40)] + [text(good) for _ in range(40)]
+    p = model.scores(knn_quality.counts(fresh, knn_quality.Terms())) >= knn_quality.THRESHOLD
+    assert p[40:].all() and (~p[:40]).sum() >= 38
+
+
+def test_transitions_are_fitted_and_carry_a_span():
+    """Toxic words come in runs of three, clean words of like form alone: what a field
+    learns about staying lets a doubtful word between toxic ones pass as toxic."""
+    rng = random.Random(8)
+    plain = [f"plain{c}{d}" for c in "abcdefgh" for d in "klmnop"]
+    def words(n):
+        return rng.choices(plain, k=n)
+    toxic = [" ".join([*words(20), *rng.choices([f"vile{c}" for c in "abcde"], k=3), *words(20)]) for _ in range(120)]
+    clean = [" ".join(words(43)) for _ in range(400)]
+    model = crf_toxicity.fit(toxic + clean, [1] * 120 + [0] * 400)
+    assert model.stay > 1 and model.stay > model.enter + 1
+    def between(before, after):
+        p = crf_toxicity.marginals(np.array([model.emission(w) for w in (*before, "doubtful", *after)]), np.array([0, len(before) + 1 + len(after)]), model)
+        return p[len(before)]
+    alone, inside = between(["plainak"] * 3, ["plainbk"] * 3), between(["vilea", "vileb"], ["vilec", "viled"])
+    assert alone < 0.5 < 0.8 < inside
+
+
+def test_sample_is_of_rows_that_the_table_holds(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " + "long " * (3000 if i % 4 == 0 else 1)) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(400)] + [(i, 1) for i in range(10_000, 30_000)], "doc_id long, toxic int")
+    texts, y = crf_toxicity.training_sample(docs, labels, "toxic", F.lit(True), {1: 150, 0: 120}, 10_000_000)
+    assert sum(y) == 150 and len(y) == 270 and sum(len(t) > 6000 for t in texts) > 50
+    few, _ = crf_toxicity.training_sample(docs, labels, "toxic", F.lit(True), {1: 150}, 50_000)
+    assert 1 <= len(few) < 150 and sum(map(len, few)) <= 50_000
+    with pytest.warns(UserWarning, match="no labelled rows"):
+        crf_toxicity.training_sample(docs, labels.where("toxic = 0"), "toxic", F.lit(True), {1: 150, 0: 120}, 10_000_000)
+
+
+MEMORY = """
+import resource, sys
+import numpy as np, pyarrow as pa
+from samplequote.llm import common, crf_toxicity, knn_quality
+rng = np.random.default_rng(1)
+words = np.array(["word%d" % i for i in range(5000)])
+rows, chars = int(sys.argv[2]), int(sys.argv[3])
+texts = pa.array([" ".join(rng.choice(words, chars // 8)) for _ in range(rows)])
+batch = pa.RecordBatch.from_arrays([pa.array(range(rows)), texts], names=["doc_id", "text"])
+if sys.argv[1] == "toxicity":
+    memo = crf_toxicity.Emissions(crf_toxicity.Field(stay=1.0))
+    made, limit = lambda t: [pa.array(crf_toxicity.tag_batch(t, memo, False)[0])], crf_toxicity.PART_CHARS
+else:
+    model, terms = knn_quality.fit(texts.to_pylist()[:20] * 3, [0, 1, 1] * (20 if rows > 1 else 1)), knn_quality.Terms()
+    made, limit = lambda t: [pa.array(model.scores(knn_quality.counts(t, terms)))], knn_quality.PART_CHARS
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n = sum(b.num_rows for b in common.in_parts([batch], 1, [0], ["doc_id", "score"], made, limit))
+assert n == rows
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+
+
+@pytest.mark.parametrize("kind, rows, chars, most", [("toxicity", 10_000, 2500, 150), ("toxicity", 1, 20_000_000, 900), ("quality", 10_000, 2500, 150), ("quality", 1, 20_000_000, 900)])
+def test_memory_of_a_batch_is_that_of_a_part(kind, rows, chars, most):
+    done = subprocess.run([sys.executable, "-c", MEMORY, kind, str(rows), str(chars)], cwd=ROOT, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < most, done.stdout
