@@ -6,10 +6,11 @@ the pieces of each distinct pre-token once. Pass two writes the pre-token
 frequencies of each document; they join the piece counts, and the products sum
 per document. No token id is ever made.
 
-A fixed number of the most widespread pre-tokens (``common``, by default 50,000
-rows of a word and a number) is broadcast, and their part is summed where the
-text is split, so only rare pre-tokens move through the join. The number is a
-bound on the broadcast; every other pre-token takes the join, so it changes
+The most widespread pre-tokens, at most ``common`` (by default 50,000) of up to
+``WORD_BYTES`` bytes, are broadcast, and their part is summed where the text is
+split, so only rare pre-tokens move through the join. Which they are follows from a
+histogram of document counts, a few hundred rows, so no more than the broadcast
+itself reaches the driver. Every other pre-token takes the join: the bound changes
 where work is done and not the result.
 
 Null texts count as empty (0 bytes, 0 tokens). Repeated rows give one row each:
@@ -27,6 +28,10 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import documents, stored, text_of
 
+#: Bytes of a word that may be broadcast; steps of the histogram for each doubling.
+WORD_BYTES = 64
+_STEPS = 8
+
 
 def pretoken_pieces(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
     """word, n_docs, pieces: every distinct pre-token of the texts, counted once."""
@@ -51,13 +56,26 @@ def pretoken_pieces(docs: DataFrame, vocabulary: str, text_col: str = "text") ->
     return distinct.mapInArrow(count, "word string, n_docs long, pieces int")
 
 
+def widespread(pieces: DataFrame, common: int) -> DataFrame:
+    """word, pieces: at most ``common`` words that most documents have, all of those above
+    a number of documents."""
+    step = F.floor(F.log2("n_docs") * _STEPS)
+    short = pieces.where(F.octet_length("word") <= WORD_BYTES).withColumn("step", step)
+    total, least = 0, None
+    for r in sorted(short.groupBy("step").agg(F.count("*").alias("n")).collect(), key=lambda r: -r.step):
+        total += r.n
+        if total > common:
+            break
+        least = r.step
+    return short.where(F.lit(False) if least is None else F.col("step") >= least).select("word", "pieces")
+
+
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, common: int = 50_000,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of ``docs``."""
     spark = docs.sparkSession
     pieces = stored(pretoken_pieces(docs, vocabulary, text_col), "pretokens")
-    top = pieces.orderBy(F.desc("n_docs"), "word").select("word", "pieces").limit(common)
-    known = spark.sparkContext.broadcast({r.word: r.pieces for r in top.collect()})
+    known = spark.sparkContext.broadcast({r.word: r.pieces for r in widespread(pieces, common).collect()})
 
     def frequencies(batches):
         enc = bpe.encoder(vocabulary, False)
