@@ -9,10 +9,10 @@ large. The directory is a table; a row finds its shard by an equi-join on the
 bits that all buckets share, then by its place among that prefix's few buckets.
 
 Rows whose hashes agree in all 60 bits (repeated keys) cannot be told apart by
-bits: if they are too many for a shard they fill numbered overflow shards of the
-same prefix in blocks of at most the limit; a single row larger than the limit
-gets a shard of its own, marked oversize. Null texts weigh 0 bytes, a null key
-hashes as the word null. An empty table gives no shards.
+them: if they are too many for a shard, the bucket goes on splitting by the bits of a
+hash of the row itself, in the same way, into parts that fit the limit. A single row
+larger than the limit gets a shard of its own, marked oversize. Null texts weigh 0
+bytes, a null key hashes as the word null. An empty table gives no shards.
 """
 
 from __future__ import annotations
@@ -34,41 +34,48 @@ def key_hash(key: Column) -> Column:
 
 
 def directory(sizes: DataFrame, limit: int) -> DataFrame:
-    """depth, prefix, bytes of the buckets of (hash, bytes) rows: the shortest
-    prefixes whose rows together fit ``limit`` (or have no bits left)."""
-    spark = sizes.sparkSession
-    open_rows = stored(sizes.groupBy("hash").agg(F.sum("bytes").alias("bytes")), "hash-bytes")
+    """base, depth, prefix, bytes of the buckets of (base, hash, bytes) rows, a directory
+    for each base: the shortest prefixes whose rows together fit ``limit``. A bucket of
+    one hash ends at all bits."""
+    open_rows = stored(sizes.groupBy("base", "hash").agg(F.sum("bytes").alias("bytes")), "hash-bytes")
     found = None
     for depth in range(BITS + 1):
         at = open_rows.withColumn("prefix", F.shiftright("hash", BITS - depth))
-        level = stored(at.groupBy("prefix").agg(F.sum("bytes").alias("total")), "buckets")
-        done = F.lit(True) if depth == BITS else F.col("total") <= limit
-        leaves = level.where(done).select(F.lit(depth).alias("depth"), "prefix", F.col("total").alias("bytes"))
+        level = stored(at.groupBy("base", "prefix").agg(F.sum("bytes").alias("total"), F.min("hash").alias("one"), F.max("hash").alias("last")), "buckets")
+        fits, alone = F.col("total") <= limit, F.col("one") == F.col("last")
+        leaves = level.where(fits | alone).select(
+            "base", F.when(fits, depth).otherwise(BITS).alias("depth"), F.when(fits, F.col("prefix")).otherwise(F.col("one")).alias("prefix"),
+            F.col("total").alias("bytes"))
         found = leaves if found is None else found.unionByName(leaves)
-        over = level.where(~done)
+        over = level.where(~(fits | alone))
         if over.isEmpty():
             break
-        open_rows = at.join(over.select("prefix"), "prefix", "left_semi").select("hash", "bytes")
+        open_rows = at.join(over.select("base", "prefix"), ["base", "prefix"], "left_semi").select("base", "hash", "bytes")
         if depth % 4 == 3:
             open_rows = stored(open_rows, "hash-bytes")
     return stored(found, "directory")
 
 
+def _placed(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``rows`` (base, hash, ...) with depth, prefix and shard_bytes of their bucket."""
+    least = buckets.agg(F.min("depth").alias("d")).first().d or 0
+    low = F.expr(f"shiftleft(prefix, {BITS} - depth)")
+    high = F.expr(f"shiftleft(prefix + 1, {BITS} - depth)")
+    b = buckets.select("base", F.expr(f"shiftright(prefix, depth - {least})").alias("common"), "depth", "prefix",
+                       F.col("bytes").alias("shard_bytes"), low.alias("low"), high.alias("high"))
+    return (rows.withColumn("common", F.shiftright("hash", BITS - least))
+            .join(b, ["base", "common"]).where((F.col("hash") >= F.col("low")) & (F.col("hash") < F.col("high")))
+            .drop("common", "low", "high"))
+
+
 def assign_shards(rows: DataFrame, limit: int) -> DataFrame:
     """``rows`` (hash, bytes and further columns) with depth, prefix, part, shard
     (text of the prefix bits, with the number of the overflow part if any),
     shard_bytes and oversize."""
-    buckets = directory(rows.select("hash", "bytes"), limit)
-    least = buckets.agg(F.min("depth").alias("d")).first().d or 0
-    buckets = buckets.withColumn("common", F.expr(f"shiftright(prefix, depth - {least})"))
-    low = F.expr(f"shiftleft(prefix, {BITS} - depth)")
-    high = F.expr(f"shiftleft(prefix + 1, {BITS} - depth)")
-    b = buckets.select("common", "depth", "prefix", F.col("bytes").alias("shard_bytes"), low.alias("low"), high.alias("high"))
-    placed = (rows.withColumn("common", F.shiftright("hash", BITS - least))
-              .join(b, "common").where((F.col("hash") >= F.col("low")) & (F.col("hash") < F.col("high")))
-              .drop("common", "low", "high"))
-    over = buckets.where(F.col("bytes") > limit)
-    if over.isEmpty():
+    rows = rows.withColumn("base", F.lit(0).cast("long"))
+    buckets = directory(rows.select("base", "hash", "bytes"), limit)
+    placed = _placed(rows, buckets).drop("base")
+    if buckets.where(F.col("bytes") > limit).isEmpty():
         placed = placed.withColumn("part", F.lit(0).cast("long")).withColumn("oversize", F.lit(False))
     else:
         placed = _overflow(stored(placed, "placed"), limit)
@@ -78,30 +85,18 @@ def assign_shards(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def _overflow(placed: DataFrame, limit: int) -> DataFrame:
-    """Numbers the parts of buckets that stay over the limit with all bits used.
-    Rows of one size fill a part together; sizes are counted first, so no task
-    orders the rows of a bucket."""
+    """Splits the buckets that stay over the limit with all bits used by the bits of a
+    hash of each row. ``part`` is the place of a part in its bucket's directory as a
+    binary tree (1 the whole, 2 and 3 its halves, and so on)."""
     keep = placed.where(F.col("shard_bytes") <= limit).withColumn("part", F.lit(0).cast("long")).withColumn("oversize", F.lit(False))
-    big = placed.where(F.col("shard_bytes") > limit)
-    room = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("bytes"), F.lit(1)))).cast("long")
-    spread = stored(big.withColumn("uid", F.monotonically_increasing_id())
-                    .withColumn("block", F.shiftright("uid", 33)), "overflow")
-    counts = spread.groupBy("prefix", "bytes", "block").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-    # per bucket, size and input block one row: block starts by a running sum over those few rows
-    w = Window.partitionBy("prefix").orderBy("bytes", "block")
-    starts = (counts.withColumn("parts", F.ceil(F.col("n") / room))
-              .withColumn("first", F.sum("parts").over(w) - F.col("parts"))
-              .select("prefix", "bytes", "block", F.col("first").alias("first_part")))
-    inner = Window.partitionBy("prefix", "bytes", "block").orderBy("uid")
-    numbered = (spread.withColumn("at", F.row_number().over(inner) - 1)
-                .join(starts, ["prefix", "bytes", "block"])
-                .withColumn("part", (F.col("first_part") + F.floor(F.col("at") / room)).cast("long"))
-                .withColumn("oversize", F.col("bytes") > limit))
-    sums = numbered.groupBy("prefix", "part").agg(F.sum("bytes").alias("part_bytes"))
-    numbered = (numbered.join(sums, ["prefix", "part"]).withColumn("shard_bytes", F.col("part_bytes"))
-                .select(*keep.columns))
-    return keep.unionByName(numbered)
+    big = stored(placed.where(F.col("shard_bytes") > limit).withColumn("uid", F.monotonically_increasing_id()), "overflow")
+    named = [c for c in placed.columns if c not in ("hash", "depth", "prefix", "shard_bytes")]
+    rows = big.select(*named, F.col("hash").alias("key_hash"), F.col("depth").alias("key_depth"), F.col("prefix").alias("base"),
+                      F.shiftrightunsigned(F.xxhash64("prefix", "uid"), 64 - BITS).alias("hash"))
+    parts = _placed(rows, directory(rows.select("base", "hash", "bytes"), limit))
+    split = parts.select(*named, F.col("key_hash").alias("hash"), F.col("key_depth").alias("depth"), F.col("base").alias("prefix"), "shard_bytes",
+                         F.expr("shiftleft(1L, depth) + prefix").alias("part"), (F.col("bytes") > limit).alias("oversize"))
+    return keep.unionByName(split.select(*keep.columns))
 
 
 def shard_documents(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
