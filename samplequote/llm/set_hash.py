@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, text_of
+from .common import documents, partitions, ranked, stored, text_of
 
 _PIECE = r"(?:\S++[^\S\n]*+){1,8}"
 _SIGNED, _WIDE = 2, 4  # hashes of 64 bits for the signed and the wide lanes
@@ -115,32 +115,42 @@ def text_lanes(rows: DataFrame, key: list[str], text: str) -> DataFrame:
             .select(*key, lanes().alias("lanes")))
 
 
-def _ranges(ids: DataFrame, n: int) -> Column:
-    """A range number of doc_id, ascending, in about ``n`` even ranges: bounds
-    are quantiles; a row looks up a block of bounds, then a bound in the block."""
-    found = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100_000).alias("q")).first().q if n > 1 else None
-    bounds = sorted(set(found or []))
+def _place(doc_id: str, h: str) -> Column:
+    """A text that sorts as (doc_id, h), null ids first."""
+    def hexed(c: str) -> Column:
+        return F.lpad(F.hex(F.col(c).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.when(F.col(doc_id).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), hexed(doc_id))), hexed(h))
+
+
+def _ranges(docs: DataFrame, n: int) -> Column:
+    """A range number of ``place``, ascending, in about ``n`` even ranges, so that an id
+    with many texts spans several. The bounds are every so manieth of the ranked
+    rows, ``n`` at most; a row looks up a block of bounds, then a bound in the block."""
+    placed = ranked(docs.select(F.lit(0).alias("all"), "place"), "all", ["place"], "ranges")
+    size = placed.agg(F.max("size").alias("s")).first().s or 0
+    step = max(1, math.ceil(size / n))
+    bounds = sorted({r.place for r in placed.where((F.col("rank") % step == 0) & (F.col("rank") > 0)).select("place").collect()})
     if not bounds:
         return F.lit(0)
     width = math.isqrt(len(bounds)) + 1
     blocks = [bounds[i:i + width] for i in range(0, len(bounds), width)]
-    def passed(array: Column) -> Column:
-        return F.size(F.filter(array, lambda b: F.coalesce(b <= F.col("doc_id"), F.lit(False))))
-    block = F.greatest(passed(F.array(*[F.lit(b[0]) for b in blocks])), F.lit(1))
-    inner = F.element_at(F.array(*[F.array(*[F.lit(x) for x in b]) for b in blocks]), block)
-    return (block - 1) * width + passed(inner)
+    def passed(texts: Column) -> Column:
+        return F.size(F.filter(F.split(texts, ","), lambda b: b <= F.col("place")))
+    block = passed(F.lit(",".join(b[0] for b in blocks)))
+    inner = F.element_at(F.split(F.lit(";".join(map(",".join, blocks))), ";"), F.greatest(block, F.lit(1)))
+    return F.when(block == 0, 0).otherwise((block - 1) * width + passed(inner))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with part, row and next_text. Texts are dealt once, by ranges
-    of ids; each range also gets a copy of the next range's first document."""
+    of ids and texts; each range also gets a copy of the next range's first document."""
     n = 4 * partitions(docs.sparkSession)
-    docs = docs.withColumn("part", _ranges(docs.select("doc_id"), n))
-    order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", F.xxhash64("text").alias("h"))
-    tops = docs.groupBy("part").agg(F.max(order).alias("top"))  # a row for each range
+    docs = docs.withColumn("h", F.xxhash64("text")).withColumn("place", _place("doc_id", "h")).drop("h")
+    docs = docs.withColumn("part", _ranges(docs, n))
+    tops = stored(docs.groupBy("part").agg(F.max("place").alias("top")), "tops")  # a row for each range
     w = Window.orderBy(F.desc("part"))
-    after = tops.select("part", F.coalesce(F.lead("top").over(w), F.first("top").over(w)).alias("first"))
-    guests = (docs.withColumn("first", order).select("text", "doc_id", "first")
+    after = stored(tops.select("part", F.coalesce(F.lead("top").over(w), F.first("top").over(w)).alias("first")), "after")
+    guests = (docs.select("text", "doc_id", F.col("place").alias("first"))
               .join(F.broadcast(after), "first").dropDuplicates(["part"]).select("doc_id", "text", "part"))
     both = docs.select("doc_id", "text", "part", F.lit(False).alias("guest")).unionByName(guests.withColumn("guest", F.lit(True)))
     inside = Window.partitionBy("part").orderBy("guest", F.desc_nulls_last("doc_id"), F.desc(F.xxhash64("text")))
