@@ -30,7 +30,6 @@ from __future__ import annotations
 import re
 import warnings
 import zlib
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,12 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, labels as label_table, map_texts, text_of
+from .common import by_size, documents, held_out, labels as label_table, map_texts, text_of
 
 #: Labelled rows that the model is fitted to, and characters of a class at most.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 900, 2700, 16_000_000
 #: Tokens of a stretch of the recursion, characters that are split into words at once.
 SEGMENT, PART_CHARS = 64, 1 << 20
+#: Tokens of the sample that the fit goes through at once.
+FIT_TOKENS = 200_000
 _BUCKETS = 1 << 21
 _WORD, _GAP = re.compile(r"\w+"), re.compile(r"\W")
 
@@ -207,12 +208,22 @@ def independent(texts: list[str]) -> list[int]:
     return chosen
 
 
-def _several(text: str) -> Counter:
-    """Features of a text, with how many of its distinct words have each."""
-    return Counter(f for w in {w.lower() for w in _WORD.findall(text)} for f in features(w))
+def _indexed(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The words of each text as numbers, and the features of each numbered word (a row,
+    filled up with ``_BUCKETS``). Words are told apart in lower case."""
+    vocabulary: dict[str, int] = {}
+    docs = []
+    for text in texts:
+        found = _WORD.findall(text)
+        docs.append(np.fromiter((vocabulary.setdefault(w.lower(), len(vocabulary)) for w in found), np.int32, len(found)))
+    table = np.full((len(vocabulary), 7), _BUCKETS, dtype=np.int32)
+    for w, i in vocabulary.items():
+        f = features(w)
+        table[i, :len(f)] = f
+    return docs, table
 
 
-def _tagging_features(texts: list[str], toxic: np.ndarray) -> set[int]:
+def _marking(docs: list[np.ndarray], table: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Features that mark toxic documents: ten times as frequent there as in
     clean ones, beyond chance by a likelihood ratio test (G over 27, a chance of
     one in millions, as many features are tested), and not rare in documents that
@@ -220,86 +231,89 @@ def _tagging_features(texts: list[str], toxic: np.ndarray) -> set[int]:
     by a common passage). A feature is tested by the documents that have it at
     all and by those that have it on two distinct words or more, as a prefix of
     toxic words can begin a clean word by chance, but seldom two of a document."""
-    seen = [[Counter(), Counter()], [Counter(), Counter()]]
-    for text, y in zip(texts, toxic):
-        for f, n in _several(text).items():
-            seen[0][int(y)][f] += 1
-            if n > 1:
-                seen[1][int(y)][f] += 1
+    seen = np.zeros((2, 2, _BUCKETS + 1), dtype=np.int32)
+    for ids, y in zip(docs, toxic):
+        f, n = np.unique(table[np.unique(ids)].ravel(), return_counts=True)
+        seen[0, int(y), f] += 1
+        seen[1, int(y), f[n > 1]] += 1
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     share = n1 / (n1 + n0)
-    found: dict[int, int] = {}
+    found = np.zeros(_BUCKETS + 1, dtype=np.int32)
     for clean, marked_by in seen:
-        for f, a in marked_by.items():
-            b = clean[f]
-            g = 2 * (a * np.log(a / ((a + b) * share)) + (b * np.log(b / ((a + b) * (1 - share))) if b else 0.0))
-            if g > 27 and a / n1 >= 10 * (b + 0.5) / n0:
-                found.setdefault(f, a)
-    marked: dict[int, list[int]] = {f: [] for f in found}
-    for d, (text, y) in enumerate(zip(texts, toxic)):
-        if y:
-            for f in _several(text).keys() & found.keys():
-                marked[f].append(d)
-    strength = np.zeros(len(texts))
-    chosen = set()
-    for f in sorted(found, key=lambda f: (-found[f], f)):
+        f = np.flatnonzero(marked_by[:_BUCKETS])
+        a, b = marked_by[f].astype(float), clean[f].astype(float)
+        g = 2 * (a * np.log(a / ((a + b) * share)) + b * np.log(np.maximum(b, 1) / ((a + b) * (1 - share))) * (b > 0))
+        f = f[(g > 27) & (a / n1 >= 10 * (b + 0.5) / n0)]
+        found[f] = np.where(found[f] > 0, found[f], marked_by[f])
+    names = np.flatnonzero(found)
+    marked: dict[int, list[int]] = {int(f): [] for f in names}
+    for d in np.flatnonzero(toxic).tolist():
+        mine = np.unique(table[np.unique(docs[d])].ravel())
+        for f in mine[found[mine] > 0].tolist():
+            marked[f].append(d)
+    strength, chosen = np.zeros(len(docs)), []
+    for f in sorted(marked, key=lambda f: (-found[f], f)):
         if found[f] >= 0.3 * np.median(strength[marked[f]]):
-            chosen.add(f)
+            chosen.append(f)
             strength[marked[f]] = np.maximum(strength[marked[f]], found[f])
-    return chosen
+    return np.array(chosen, dtype=np.int64)
 
 
 def fit(texts: list[str], toxic: list[int], rounds: int = 30, rate: float = 0.4) -> Field:
     """Maximum likelihood of the tags, emissions and transitions together, by Adam over
-    all tokens of the sample; then the score's logistic regression. Deterministic."""
+    all tokens of the sample, ``FIT_TOKENS`` or a document at a time; then the score's
+    logistic regression. Deterministic."""
     first = independent(texts)
     texts, y = [texts[i] for i in first], np.asarray([toxic[i] for i in first])
     model = Field()
     if not len(y) or y.min() == y.max():
         return model
-    tagging = _tagging_features(texts, y)
-    if not tagging:
+    docs, table = _indexed(texts)
+    del texts
+    tagging = _marking(docs, table, y)
+    if not len(tagging):
         return model
-    words = [_WORD.findall(t) for t in texts]
-    vocabulary = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws}))}
-    feats = [features(w) for w in vocabulary]
-    width = max(map(len, feats))
-    table = np.full((len(feats), width), _BUCKETS)
-    for i, f in enumerate(feats):
-        table[i, :len(f)] = f
-    tagged_word = np.array([any(f in tagging for f in fs) for fs in feats])
-    ids = np.array([vocabulary[w] for ws in words for w in ws], dtype=np.int64)
-    starts = np.concatenate(([0], np.cumsum([len(ws) for ws in words])))
-    doc = np.repeat(np.arange(len(words)), np.diff(starts))
-    tags = (tagged_word[ids] & (y[doc] == 1)).astype(float)
-    follows = np.ones(len(ids), bool)
-    follows[starts[:-1][np.diff(starts) > 0]] = False
-    joined = np.flatnonzero(follows)
-    now, prev = tags[joined], tags[joined - 1]
-    seen = np.array([(now * prev).sum(), (now * (1 - prev)).sum(), ((1 - now) * prev).sum()])
+    tagged = np.isin(table, tagging).any(axis=1)
+    # weights of the features that occur, the last for the filling
+    used, slot = np.unique(np.append(table.ravel(), _BUCKETS), return_inverse=True)
+    table = slot[:-1].reshape(table.shape)
+    n_words, n_used = len(table), len(used)
+    parts = []
+    for i, j in by_size([len(d) for d in docs], FIT_TOKENS):
+        ids = np.concatenate(docs[i:j])
+        starts = np.concatenate(([0], np.cumsum([len(d) for d in docs[i:j]]))).astype(np.int64)
+        tags = tagged[ids] & np.repeat(y[i:j] == 1, np.diff(starts))
+        follows = np.ones(len(ids), bool)
+        follows[starts[:-1][np.diff(starts) > 0]] = False
+        parts.append((ids, starts, tags, np.flatnonzero(follows)))
+    del docs
+    n_tags, n_tokens = sum(int(p[2].sum()) for p in parts), sum(len(p[0]) for p in parts)
     # relative to clean after clean, which scores 0
-    w = np.zeros(_BUCKETS + 1)
-    free = np.array([float(np.log((tags.sum() + 1) / (len(tags) + 1))), 0.0, 0.0, 0.0])  # bias, stay, enter, leave
+    w = np.zeros(n_used)
+    free = np.array([float(np.log((n_tags + 1) / (n_tokens + 1))), 0.0, 0.0, 0.0])  # bias, stay, enter, leave
     m, v, mf, vf = np.zeros_like(w), np.zeros_like(w), np.zeros(4), np.zeros(4)
-    n_words = len(vocabulary)
-    del feats
     for step in range(1, rounds + 1):
         model.stay, model.enter, model.leave = free[1:]
-        ahead, behind, odds = chain((free[0] + w[table].sum(axis=1))[ids], starts, model)
-        p = 1.0 / (1.0 + 1.0 / np.maximum(ahead * behind, 1e-30))
-        miss = np.bincount(ids, weights=tags - p, minlength=n_words)
-        g = np.bincount(table.ravel(), weights=np.repeat(miss, width), minlength=_BUCKETS + 1) - 0.02 * w
-        g[_BUCKETS] = 0.0
-        gf = np.concatenate(([(tags - p).sum()], seen - transition_counts(ahead, behind, odds, joined, model) - 0.02 * free[1:]))
+        emission = free[0] + w[table].sum(axis=1)
+        miss, gf = np.zeros(n_words), np.concatenate(([0.0], -0.02 * free[1:]))
+        for ids, starts, tags, joined in parts:
+            ahead, behind, odds = chain(emission[ids], starts, model)
+            left = tags - 1.0 / (1.0 + 1.0 / np.maximum(ahead * behind, 1e-30))
+            miss += np.bincount(ids, weights=left, minlength=n_words)
+            now, prev = tags[joined], tags[joined - 1]
+            seen = np.array([(now & prev).sum(), (now & ~prev).sum(), (~now & prev).sum()])
+            gf += np.concatenate(([left.sum()], seen - transition_counts(ahead, behind, odds, joined, model)))
+        g = np.bincount(table.ravel(), weights=np.repeat(miss, table.shape[1]), minlength=n_used) - 0.02 * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mf, vf = 0.9 * mf + 0.1 * gf, 0.99 * vf + 0.01 * gf * gf
         a, b = 1 - 0.9 ** step, 1 - 0.99 ** step
         w += rate * (m / a) / (np.sqrt(v / b) + 1e-6)
         free += rate * (mf / a) / (np.sqrt(vf / b) + 1e-6) * np.array([1.0, 0.25, 0.25, 0.25])
-        w[_BUCKETS] = 0.0
-    model.weights, model.bias = w[:_BUCKETS].astype(np.float32), float(free[0])
-    model.stay, model.enter, model.leave = map(float, free[1:])
-    x = document_inputs(marginals((model.bias + w[table].sum(axis=1))[ids], starts, model), starts)
+        w[-1] = 0.0
+    model.weights[used[:-1]] = w[:-1]
+    model.bias, model.stay, model.enter, model.leave = map(float, free)
+    emission = model.bias + w[table].sum(axis=1)
+    x = np.concatenate([document_inputs(marginals(emission[ids], starts, model), starts) for ids, starts, _, _ in parts])
     design = np.column_stack([np.ones(len(y)), x])
     beta = np.zeros(3)
     for _ in range(30):

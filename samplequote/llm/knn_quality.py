@@ -99,16 +99,16 @@ class Neighbours:
     labels: np.ndarray
     prior: float
 
-    def weighted(self, x: np.ndarray) -> np.ndarray:
+    def weighted(self, x: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
         """Weighted terms, each block of length one."""
-        z = (np.sqrt(x) * self.weights).astype(np.float32)
+        z = np.sqrt(x, out=out)
+        z *= self.weights
         for block in (z[:, :_FORMS_WIDTH], z[:, _FORMS_WIDTH:]):
             block /= np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-12)
         return z
 
     def embed(self, x: np.ndarray) -> np.ndarray:
-        z = self.weighted(x) @ self.axes
-        return (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        return _directions(self.weighted(x) @ self.axes)
 
     def scores(self, x: np.ndarray, block: int = 512) -> np.ndarray:
         """Similarity-weighted votes of the nearest labelled vectors."""
@@ -125,6 +125,10 @@ class Neighbours:
         return out
 
 
+def _directions(z: np.ndarray) -> np.ndarray:
+    return (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+
+
 def latent_axes(a: np.ndarray, dimensions: int, rounds: int = 6) -> np.ndarray:
     """The leading right singular vectors of ``a``, by subspace iterations."""
     q = np.random.default_rng(1).normal(size=(a.shape[1], min(dimensions + 16, *a.shape))).astype(np.float32)
@@ -141,11 +145,16 @@ def fit(texts: list[str], y: list[int], prior: float | None = None) -> Neighbour
     if not len(label):
         return Neighbours(np.ones(_WIDTH, np.float32), np.zeros((_WIDTH, DIMENSIONS), np.float32), empty, label, 1.0)
     terms = Terms()
-    x = np.concatenate([counts(texts[i:i + 500], terms) for i in range(0, len(texts), 500)])
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 0.5
+    x, have = np.empty((len(texts), _WIDTH), np.float32), np.zeros(_WIDTH, np.int64)
+    for i in range(0, len(texts), 500):
+        x[i:i + 500] = counts(texts[i:i + 500], terms)
+        have += np.count_nonzero(x[i:i + 500], axis=0)
+    idf = np.log((1 + len(x)) / (1 + have)) + 0.5
     model = Neighbours(idf.astype(np.float32), empty, empty, label, float(label.mean()) if prior is None else prior)
-    model.axes = latent_axes(model.weighted(x), DIMENSIONS)
-    model.vectors = model.embed(x)
+    for i in range(0, len(x), 500):
+        model.weighted(x[i:i + 500], out=x[i:i + 500])
+    model.axes = latent_axes(x, DIMENSIONS)
+    model.vectors = _directions(x @ model.axes)
     return model
 
 
