@@ -13,8 +13,9 @@ is read only if it can hold something that the anchor still wants:
 * negatives: each positive opens a window of scores; the blocks with another label
   whose bounds meet one of the anchor's windows are read.
 
-Work is dealt by (chunk of anchors, group of blocks), both bounded stretches of the
-curve, so the size of a task depends on no label or vector. Anchors are the stated
+Work is dealt by (chunk of anchors, stretch of zone maps) and then by (chunk of
+anchors, group of blocks), all bounded stretches of the curve, so the size of a task
+depends on no label or vector. Anchors are the stated
 query set, in blocks against all rows; bounds decide which pairs of blocks meet.
 Each task keeps the first few for each anchor or window, and a ranking over those
 gives the result. Scores are exact: by floating point where no sum can pass 2^53,
@@ -36,8 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import ranked, ship, stored
 
-#: Rows of a block, blocks read together by a task, ranks of a chunk of anchors.
-BLOCK, GROUP_BLOCKS, CHUNK_RANKS = 512, 64, 25_600
+#: Rows of a block, blocks read together by a task, ranks of a chunk of anchors, zone
+#: maps that a task holds.
+BLOCK, GROUP_BLOCKS, CHUNK_RANKS, ZONES = 512, 64, 25_600, 4096
 #: Bits of each dimension on the curve.
 BITS = 2
 #: Percent of the positive's score from which a negative is hard, and where it ends.
@@ -164,40 +166,47 @@ _ANCHOR = "chunk long, grp long, rank long, vec_id long, label long, values arra
 _FOUND = "rank long, anchor_id long, want long, slot int, vec_id long, found_rank long, score long"
 
 
-def chosen_blocks(anchors: DataFrame, zones: DataFrame, groups: int, chunks: int, same: bool, low: int = LOW, high: int = HIGH) -> DataFrame:
+def chosen_blocks(anchors: DataFrame, zones: DataFrame, last_block: int, chunks: int, same: bool, low: int = LOW, high: int = HIGH) -> DataFrame:
     """``anchors`` (chunk, rank, vec_id, label, values, wants) with the blocks of each group
-    that the bounds leave to be read, stored. ``same``: wants holds the score to reach,
-    if any, among rows of the anchor's label; else the positives' scores, each a
-    window for rows of other labels."""
+    that the bounds leave to be read, stored; a row for each group with any. ``same``:
+    wants holds the score to reach, if any, among rows of the anchor's label; else the
+    positives' scores, each a window for rows of other labels. A task holds a chunk of
+    anchors and the zone maps of ``ZONES`` blocks."""
     def choose(a: pa.Table, z: pa.Table) -> pa.Table:
-        order = np.argsort(z.column("block").to_numpy()) if z.num_rows else np.zeros(0, int)
-        block = z.column("block").to_numpy()[order]
+        order = np.argsort(z.column("block").to_numpy())
+        block, grp = z.column("block").to_numpy()[order], z.column("grp").to_numpy()[order]
         labels = [set(z.column("labels")[int(i)].as_py()) for i in order]
         label, wants = a.column("label").to_pylist(), a.column("wants").to_pylist()
-        least, most = score_bounds(_matrix(a.column("values")), _matrix(z.column("low"))[order], _matrix(z.column("high"))[order])
-        chosen = []
-        for i in range(a.num_rows):
-            if same:
-                ok = np.array([label[i] in have for have in labels], bool)
-                if wants[i]:
-                    ok &= (most[i] >= wants[i][0]).astype(bool)
-            else:
-                ok = np.zeros(len(block), bool)
-                for p in wants[i]:
-                    ok |= ((100 * most[i].astype(object) >= low * p) & (100 * least[i].astype(object) <= high * p)).astype(bool)
-                ok &= np.array([bool(have - {label[i]}) for have in labels], bool)
-            chosen.append(block[ok])
-        keep = np.array([len(c) > 0 for c in chosen], bool)
-        t = a.append_column("grp", pa.array([z.column("grp")[0].as_py() if z.num_rows else 0] * a.num_rows, pa.int64()))
-        t = t.append_column("blocks", pa.array(chosen, pa.list_(pa.int64()))).filter(pa.array(keep, pa.bool_()))
+        own = {y: np.array([y in have for have in labels], bool) for y in set(label)}
+        other = {y: np.array([bool(have - {y}) for have in labels], bool) for y in set(label)}
+        x, box_low, box_high = _matrix(a.column("values")), _matrix(z.column("low"))[order], _matrix(z.column("high"))[order]
+        rows, groups, chosen = [], [], []
+        for first in range(0, a.num_rows, 64):
+            least, most = score_bounds(x[first:first + 64], box_low, box_high)
+            for i, (down, up) in enumerate(zip(least, most), start=first):
+                if same:
+                    ok = own[label[i]] & (up >= wants[i][0]).astype(bool) if wants[i] else own[label[i]]
+                else:
+                    ok = np.zeros(len(block), bool)
+                    for p in wants[i]:
+                        ok |= ((100 * up.astype(object) >= low * p) & (100 * down.astype(object) <= high * p)).astype(bool)
+                    ok &= other[label[i]]
+                for g in np.unique(grp[ok]).tolist():
+                    rows.append(i)
+                    groups.append(g)
+                    chosen.append(block[ok & (grp == g)])
+        t = a.take(pa.array(rows, pa.int64())).append_column("grp", pa.array(groups, pa.int64()))
+        t = t.append_column("blocks", pa.array(chosen, pa.list_(pa.int64())))
         return t.select(["chunk", "grp", "rank", "vec_id", "label", "values", "wants", "blocks"])
 
-    a = anchors.select("chunk", "rank", "vec_id", "label", "values", "wants").withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")))
-    z = zones.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<long>")))
-
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return choose(left.drop_columns(["to"]), right) if left.num_rows and right.num_rows else _empty(_ANCHOR)
-    return stored(a.groupBy("chunk", "to").cogroup(z.groupBy("chunk", "grp")).applyInArrow(run, _ANCHOR), "reads")
+        return choose(left.drop_columns(["zone"]), right) if left.num_rows and right.num_rows else _empty(_ANCHOR)
+
+    zone = F.sequence(F.lit(0), F.lit(last_block // ZONES)).cast("array<long>")
+    a = anchors.select("chunk", "rank", "vec_id", "label", "values", "wants").withColumn("zone", F.explode(zone))
+    z = (zones.withColumn("zone", F.floor(F.col("block") / ZONES))
+         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<long>"))))
+    return stored(a.groupBy("chunk", "zone").cogroup(z.groupBy("chunk", "zone")).applyInArrow(run, _ANCHOR), "reads")
 
 
 def _empty(schema: str) -> pa.Table:
@@ -269,15 +278,15 @@ def mine(rows: DataFrame, every: int = 100, positives: int = 5, negatives: int =
     blocks = candidate_blocks(rows)
     zones = zone_maps(blocks)
     last = blocks.agg(F.max("rank").alias("r")).first().r or 0
-    groups, chunks = last // (BLOCK * GROUP_BLOCKS) + 1, last // CHUNK_RANKS + 1
+    last_block, chunks = last // BLOCK, last // CHUNK_RANKS + 1
     anchors = (blocks.where(F.col("vec_id") % every == 0).select("rank", "vec_id", "label", "values")
                .withColumn("chunk", F.floor(F.col("rank") / CHUNK_RANKS)))
     seeded = stored(anchors.join(thresholds(blocks, positives, every), "rank"), "anchors")
-    reads = chosen_blocks(seeded, zones, groups, chunks, True, low, high)
+    reads = chosen_blocks(seeded, zones, last_block, chunks, True, low, high)
     near = stored(_first(read_blocks(reads, blocks, True, positives), ["rank"], positives), "positives")
     wants = near.groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("place", "score"))).getField("score").alias("wants"))
     open_ = stored(seeded.drop("wants").join(wants, "rank"), "windows")
-    reads = chosen_blocks(open_, zones, groups, chunks, False, low, high)
+    reads = chosen_blocks(open_, zones, last_block, chunks, False, low, high)
     found = _first(read_blocks(reads, blocks, False, negatives, low, high), ["rank", "slot"], negatives)
     pairs = near.select("rank", (F.col("place") - 1).alias("slot"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
     return (found.select("rank", "anchor_id", "slot", "place", F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))

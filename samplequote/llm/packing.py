@@ -125,7 +125,10 @@ def _pack(rows: DataFrame, tasks: int, salt: int, capacity: int) -> DataFrame:
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, rounds: int = 3, per_task: int = PIECES_PER_TASK) -> DataFrame:
-    """``items`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
+    """``items`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
+    Partitions with a gap are dealt anew until all are certified, until a round needs no
+    fewer sequences, or ``rounds`` times: then some partitions may need more sequences
+    than their bound says."""
     items = stored(items.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     full = items.where(F.col("length") == capacity).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (-F.col("uid") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

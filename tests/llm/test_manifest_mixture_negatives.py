@@ -248,7 +248,7 @@ def test_negatives_are_those_of_brute_force(spark, monkeypatch):
     want = brute_negatives(rows, 20)
     assert len(want) > 50 and mined(spark, rows) == want
     # many blocks, groups and chunks; ties and equal vectors
-    for name, value in (("BLOCK", 8), ("GROUP_BLOCKS", 4), ("CHUNK_RANKS", 64)):
+    for name, value in (("BLOCK", 8), ("GROUP_BLOCKS", 4), ("CHUNK_RANKS", 64), ("ZONES", 6)):
         monkeypatch.setattr(hard_negatives, name, value)
     rows += [(1000 + i, rows[3][1], 1) for i in range(30)] + [(2000 + i, rows[3][1], 2) for i in range(30)]
     assert mined(spark, rows) == brute_negatives(rows, 20)
@@ -277,9 +277,9 @@ def test_bounds_hold_and_leave_blocks_out(spark, monkeypatch):
     df = spark.createDataFrame([(i, v, y, 1, 2, 3, "x") for i, v, y in rows], VECTORS)
     blocks = hard_negatives.candidate_blocks(hard_negatives.prepared(df))
     zones = hard_negatives.zone_maps(blocks)
-    groups = blocks.agg(F.max("grp")).first()[0] + 1
+    last = blocks.agg(F.max("block")).first()[0]
     anchors = blocks.where("vec_id % 20 = 0").withColumn("chunk", F.lit(0).cast("long")).join(hard_negatives.thresholds(blocks, 5, 20), "rank")
-    reads = hard_negatives.chosen_blocks(anchors, zones, groups, 1, True)
+    reads = hard_negatives.chosen_blocks(anchors, zones, last, 1, True)
     read = reads.agg(F.sum(F.size("blocks"))).first()[0]
     assert read < 0.5 * anchors.count() * zones.count()
 

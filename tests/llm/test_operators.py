@@ -102,6 +102,16 @@ def test_token_counts(docs, wanted, common_words):
     assert got[11].over_limit and not got[8].over_limit
 
 
+def test_widespread_words_are_bounded(spark):
+    rows = [(f"w{i}", 1000 - i, 1) for i in range(500)] + [(f"rare{i}", 1, 1) for i in range(5000)] + [("long" * 30, 5000, 9)]
+    pieces = spark.createDataFrame(rows, "word string, n_docs long, pieces int")
+    for bound in (0, 10, 300, 600, 5499, 100_000):
+        got = [r.word for r in token_counts.widespread(pieces, bound).collect()]
+        assert len(got) <= bound and "long" * 30 not in got
+    assert len(got) == 5500 and 0 < token_counts.widespread(pieces, 300).count()
+    assert token_counts.widespread(pieces.where("false"), 10).count() == 0
+
+
 def test_token_counts_odd_rows(odd, empty):
     got = token_counts.token_counts(odd, VOCABULARY, common=1).collect()
     assert len(got) == len(ROWS) + 4 and len({r.n_tokens for r in got if r.doc_id == 1}) == 1
@@ -197,6 +207,21 @@ def test_shards_fit(odd, limit):
         assert sizes[r.shard] <= limit or (count[r.shard] == 1 and r.oversize)
 
 
+def test_rows_of_one_key_fill_their_shards(spark):
+    docs = spark.createDataFrame([(7, "x" * (10 + 7 * (i % 143))) for i in range(1000)] + [(i, "other") for i in range(50)]
+                                 + [(7, "y" * 9000)], "doc_id long, text string").repartition(5)
+    got = sharding.shard_documents(docs, 8192).collect()
+    assert len(got) == 1051
+    sizes, count = collections.Counter(), collections.Counter()
+    for r in got:
+        sizes[r.shard] += r.n_bytes
+        count[r.shard] += 1
+    assert all(r.shard_bytes == sizes[r.shard] and (sizes[r.shard] <= 8192 or (r.oversize and count[r.shard] == 1)) for r in got)
+    hot = {r.shard for r in got if r.doc_id == 7 and not r.oversize}
+    total = sum(r.n_bytes for r in got if r.doc_id == 7 and not r.oversize)
+    assert len(hot) <= 2 * -(-total // 8192)
+
+
 def test_shard_files(spark, docs, empty):
     path = sharding.write_shards(docs, 5000)
     back = spark.read.parquet(path)
@@ -292,6 +317,15 @@ def test_near_duplicates_odd_rows(odd, empty):
     assert near_dedup.near_duplicates(empty, 5, 80).count() == 0
 
 
+def test_components_of_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB", 10)
+    edges = [(500, i) for i in range(600, 700)] + [(i, 3) for i in range(700, 760)] + [(759, 500), (4, 3)] + [(900 + i, 901 + i) for i in range(0, 20, 2)]
+    for broadcast in (100, 0):
+        monkeypatch.setattr(components, "MAX_HUBS", broadcast)
+        got = {r.vertex: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {**{v: 3 for e in edges[:162] for v in e}, **{900 + i: 900 + i // 2 * 2 for i in range(20)}}
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(50)] + [(100, 90), (90, 100), (7, 7)]
     got = {r.vertex: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -327,6 +361,22 @@ def test_lanes_of_many_equal_lines_do_not_wrap(spark):
     assert lane.n == 40_000 and {abs(x) for x in lane.signed} == {40_000}
 
 
+def test_ranges_split_an_id_with_many_texts(spark):
+    rows = [(i, f"text {i}") for i in range(400)] + [(77, f"other text {i}") for i in range(300)] + [(None, f"no id {i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    parts = [r["count"] for r in set_hash.with_next(docs).groupBy("part").count().collect()]
+    assert sum(parts) == 800 and max(parts) < 3 * sorted(parts)[len(parts) // 2]
+    texts = {r.text: r.next_text for r in set_hash.with_next(docs).collect()}
+    at, seen = "text 3", set()
+    while at not in seen:  # one circle through all documents
+        seen.add(at)
+        at = texts[at]
+    assert len(seen) == 800
+    ids = {t: i for i, t in rows}
+    drops = sum((ids[a] is None, -(ids[a] or 0)) > (ids[b] is None, -(ids[b] or 0)) for a, b in texts.items())
+    assert drops == 1  # descending ids, null ids last, then from the start
+
+
 def test_order_insertion_deletion(spark):
     texts = spark.createDataFrame([(1, "a b\nc d\ne"), (2, "e\na b\nc d"), (3, "a b\ne"), (4, "c d")], "k long, text string")
     lanes = {r.k: r for r in set_hash.text_lanes(texts, ["k"], "text").crossJoin(spark.range(1)).collect()}
@@ -373,7 +423,7 @@ def test_prefix_that_clean_words_share_is_found():
     toxic = [f"{t} vilename{i % 9} vilename{i % 8}x" for i, t in enumerate(plain[:15])]
     clean = [f"{t} vilename{i}" if i < 14 else t for i, t in enumerate(plain[15:])]
     y = np.array([1] * len(toxic) + [0] * len(clean))
-    found = crf_toxicity._tagging_features(toxic + clean, y)
+    found = set(crf_toxicity._marking(*crf_toxicity._indexed(toxic + clean), y).tolist())
     assert set(crf_toxicity.features("vilename0")) & found
     assert not set(crf_toxicity.features("common1")) & found
     assert not set(crf_toxicity.features("plain1")) & found
