@@ -42,7 +42,7 @@ def executed(df):
 
 @pytest.fixture(scope="module")
 def audience(spark):
-    return fx.fx_audience(Tables(spark, SF_SMALL)).cache()
+    return fx.fx_audience(Tables(spark, SF_SMALL)).checkpoint()  # a cached plan would stand in for the scans
 
 
 # --- records arrays --------------------------------------------------------------
@@ -173,7 +173,7 @@ def test_latest_rates_scan_one_month(spark):
 @pytest.fixture(scope="module")
 def features(spark):
     from samplequote.operators.features import with_features
-    return with_features(fx.fx_audience(Tables(spark, SF_SMALL)), None).cache()
+    return with_features(fx.fx_audience(Tables(spark, SF_SMALL)), None).checkpoint()
 
 
 NAMES = ["SoldLOI", "feaAudienceWaves", "PrmReqCompletes", "feaFieldworkLength"]
