@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.broadcast import fits_broadcast, stored_lookup
 from ..operators.ordering import rank_rows
 
 #: Records of one array: what a task gathers into one row.
 PAGE_RECORDS = 1_000
+#: Proposals of several pages that are broadcast at most.
+MAX_BROADCAST_LARGE = 100_000
 #: The order of a proposal's records.
 RECORD_ORDER = ("proposal_country_code", "audience_uuid", "fieldwork_company", "HighPrice", "LowPrice", "Strand2Price")
 _NULLS = {"ignoreNullFields": "false"}
@@ -26,18 +29,35 @@ def quote_records(quotes: DataFrame, by=("proposal_id", "revision_number"), orde
 
     An array holds at most ``page_records`` records; the records of a larger proposal
     come as several, in order: page 0, 1, ... one after the other are the whole
-    array (``join_pages`` cuts the brackets between them). Rows are ranked without a
-    task per proposal and gathered by page, so no group is larger than a page. Null
-    order columns come first; rows equal in all of them keep any order."""
+    array (``join_pages`` cuts the brackets between them). Null order columns come
+    first; rows equal in all of them keep any order.
+
+    Quotes are stored once and counted. Those of a proposal of one page are gathered
+    and sorted there; only larger proposals are ranked by ranges, without a task per
+    proposal. All are gathered by page, so no group is larger than a page."""
     order = [c for c in order if c in quotes.columns]
-    ranked = rank_rows(quotes, list(by), order, "records")
-    record = F.struct(*[F.col(c) for c in quotes.columns])
-    pages = (ranked.withColumns({"page_no": F.floor(F.col("rank") / page_records).cast("int"),
-                                 "page_count": F.ceil(F.col("size") / page_records).cast("int")})
-             .groupBy(*by, "page_no", "page_count")
-             .agg(F.sort_array(F.collect_list(F.struct(F.col("rank"), record.alias("record")))).alias("_records")))
-    return pages.select(*by, "page_no", "page_count", F.size("_records").alias("n_records"),
-                        F.to_json(F.col("_records")["record"], _NULLS).alias("records"))
+    rest = [c for c in quotes.columns if c not in order and c not in by]
+    rows = stored_lookup(quotes, "quotes")
+    large = stored_lookup(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > page_records)
+                          .select(*[F.col(c).alias(f"_l{i}") for i, c in enumerate(by)], F.lit(True).alias("_large")), "large-proposals")
+    one_page = {"rank": F.lit(0).cast("long"), "page_no": F.lit(0), "page_count": F.lit(1)}
+    if large.isEmpty():
+        ranked = rows.withColumns(one_page)
+    else:
+        same = F.lit(True)
+        for i, c in enumerate(by):
+            same = same & rows[c].eqNullSafe(F.col(f"_l{i}"))
+        found = rows.join(F.broadcast(large) if fits_broadcast(large, MAX_BROADCAST_LARGE) else large, same, "left")
+        small = found.where(F.col("_large").isNull()).select(*quotes.columns).withColumns(one_page)
+        by_range = rank_rows(found.where(F.col("_large")).select(*quotes.columns), list(by), order, "records")
+        by_range = by_range.withColumns({"page_no": F.floor(F.col("rank") / page_records).cast("int"),
+                                         "page_count": F.ceil(F.col("size") / page_records).cast("int")}).drop("size")
+        ranked = small.unionByName(by_range)
+    # the proposal's own columns come back from the key
+    items = F.sort_array(F.collect_list(F.struct("rank", *[c for c in order if c not in by], *rest)))
+    pages = ranked.groupBy(*by, "page_no", "page_count").agg(items.alias("_records"))
+    record = F.transform("_records", lambda r: F.struct(*[(F.col(c) if c in by else r[c]).alias(c) for c in quotes.columns]))
+    return pages.select(*by, "page_no", "page_count", F.size("_records").alias("n_records"), F.to_json(record, _NULLS).alias("records"))
 
 
 def join_pages(pages: list[str]) -> str:
