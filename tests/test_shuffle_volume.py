@@ -54,6 +54,44 @@ def test_countries_are_counted_for_paged_documents_only(spark, monkeypatch):
     assert counts(requests.nest_requests(flat, page_size=3)) == counts(one)
 
 
+def test_documents_are_formed_where_their_rows_lie(spark, monkeypatch):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(fx, "MAX_BROADCAST_ORDERS", 0)
+    stored, store = {}, requests.stored_lookup
+
+    def keep(df, label):
+        stored[label] = df._jdf.queryExecution().executedPlan().toString()
+        return store(df, label)
+    monkeypatch.setattr(requests, "stored_lookup", keep)
+    try:
+        for query in (q.q_request_json, q.q_explode_audiences):
+            docs = query(spark, SF_SMALL)
+            assert "Exchange" not in executed(docs)
+            moved = re.findall(r"Exchange hashpartitioning\((\w+)#", stored["request-parts"])
+            assert "l_orderkey" in moved and not {"proposal_id", "_d1", "_d2"} & set(moved)
+        assert spark.conf.get("spark.sql.adaptive.forceOptimizeSkewedJoin") == "false"
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_documents_are_the_same_wherever_their_rows_lie(spark, monkeypatch):
+    flat = fx.fx_audience(Tables(spark, SF_SMALL)).where("proposal_id < 50").select(*q.FLAT_REQUEST_COLUMNS)
+    odd = flat.where("proposal_id % 4 = 0")
+    flat = (flat.union(odd).union(odd.withColumn("proposal_id", F.lit(None).cast("long")))
+            .union(odd.withColumn("proposal_country_code", F.lit(None).cast("string")).withColumn("brand", F.lit("other")))).cache()
+
+    def rows(docs):
+        return sorted(map(tuple, docs.collect()), key=repr)
+    whole, paged = rows(requests.nest_requests(flat)), rows(requests.nest_requests(flat, page_size=3))
+    assert len(paged) > len(whole)
+    for run_rows, most, dealt in ((50_000, 100_000, flat.repartition(4)), (7, 0, flat.repartition(3, "proposal_id"))):
+        monkeypatch.setattr(requests, "RUN_ROWS", run_rows)
+        monkeypatch.setattr(requests, "MAX_BROADCAST_PAGED", most)
+        assert rows(requests.nest_requests(dealt, together=True)) == whole
+        assert rows(requests.nest_requests(dealt, page_size=3, together=True)) == paged
+
+
 def test_each_arrival_is_nested_from_its_own_rows(spark, monkeypatch):
     seen, nest = [], q.nest_requests
     monkeypatch.setattr(q, "nest_requests", lambda flat: seen.append({r[0] for r in flat.select("revision_number").distinct().collect()}) or nest(flat))
