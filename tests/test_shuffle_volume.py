@@ -128,3 +128,47 @@ def test_quotes_are_computed_once_and_only_large_proposals_ranked(spark, monkeyp
     assert ranked == [{1}] and all((r.page_no, r.page_count) == (0, 1) for r in one)
     whole = sinks.join_pages([r.records for r in sorted((r for r in pages if r.proposal_id == 1), key=lambda r: r.page_no)])
     assert whole == next(r.records for r in one if r.proposal_id == 1)
+
+
+def test_all_queries_on_documents_form_them_where_rows_lie(spark, monkeypatch):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(fx, "MAX_BROADCAST_ORDERS", 0)
+    seen = labels_of(monkeypatch, requests)
+    try:
+        for query in (q.q_flatten_request, q.q_audience_positions, q.q_explode_countries):
+            assert "Exchange" not in executed(query(spark, SF_SMALL))
+            assert "request-parts" in seen and "request-rows" not in seen
+            seen.clear()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_proposal_of_most_rows_is_formed_by_several_tasks(spark, monkeypatch):
+    flat = fx.fx_country_proposals(Tables(spark, SF_SMALL)).select(*q.FLAT_REQUEST_COLUMNS)
+    large = flat.where("proposal_id = 3").select("*", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("_i"))
+    flat = flat.where("proposal_id <> 3").union(large.withColumn("audience_uuid", F.concat_ws("-", "audience_uuid", "_i")).drop("_i")).repartition(6).cache()
+    settings = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    stored, store = {}, requests.stored_lookup
+
+    def keep(df, label):
+        stored[label] = store(df, label)
+        return stored[label]
+    monkeypatch.setattr(requests, "stored_lookup", keep)
+
+    def rows(docs):
+        return sorted(map(tuple, docs.collect()), key=repr)
+    whole = rows(requests.nest_requests(flat))
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        joined = flat.join(spark.range(100).select(F.col("id").alias("proposal_id")).hint("merge"), "proposal_id")
+        assert rows(requests.nest_requests(joined, together=True)) == whole
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    parts = stored["request-parts"].groupBy("_document.proposal_id").agg(F.sum("_n").alias("n"), F.count("*").alias("parts"))
+    most = parts.orderBy(F.desc("n")).first()
+    assert most.proposal_id == 3 and most.parts > 1
